@@ -16,7 +16,7 @@ from __future__ import annotations
 import heapq
 import re
 from collections.abc import Iterator
-from itertools import chain
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -27,20 +27,42 @@ from pyspark.sql import types as T
 CAPACITY = 4096
 #: Tokens that one block holds at most (besides its last document).
 BLOCK_TOKENS = 1 << 21
-#: Cached words; the cache starts anew beyond it.
-CACHE_WORDS = 300_000
-#: Code points for which a word's ids do not depend on its surroundings: all are in composed form, and lower-casing is by character.
-PLAIN = re.compile(r"[\t\n\r\x20-\x7e\xa1-įı-ɏ]*")
+#: Cached words and parts of words; a cache starts anew beyond it.
+CACHE_WORDS, CACHE_PARTS = 400_000, 600_000
+#: Code points for which a word's ids do not depend on its surroundings: all are in composed form, lower-cased by character, and
+#: either letters, the digits 0-9 or neither to any version of Unicode.
+PLAIN = re.compile("[\\t\\n\\r\\x20-\\x7e\\xa1-\\xb1\\xb4-\\xb8\\xba\\xbb\\xbf-\\u012f\\u0131-\\u024f]*")
+#: What the tokenizer splits a lower-cased word into, for such code points.
+PARTS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|\d|(?:[^\s\w]|_)+")
+
+
+class PartIds(dict):
+    """Ids of the parts of words, as bytes; the model works out each once."""
+
+    def __init__(self, tokenizer):
+        from tokenizers.pre_tokenizers import ByteLevel
+
+        level = ByteLevel(add_prefix_space=False, use_regex=False)
+        self.model = tokenizer.model
+        self.bytes = str.maketrans({c: level.pre_tokenize_str(c)[0][0] for c in map(chr, range(0xA1, 0x250))})
+
+    def __missing__(self, part: str) -> bytes:
+        ids = np.array([t.id for t in self.model.tokenize(part if part.isascii() else part.translate(self.bytes))], "<u4").tobytes()
+        if len(part) <= 64:
+            if len(self) >= CACHE_PARTS:
+                self.clear()
+            self[part] = ids
+        return ids
 
 
 class WordIds(dict):
-    """Ids of words set off by white space, each worked out by the tokenizer once."""
+    """Ids of lower-cased words set off by white space, as bytes."""
 
     def __init__(self, tokenizer):
-        self.tokenizer = tokenizer
+        self.parts = PartIds(tokenizer)
 
-    def __missing__(self, word: str) -> list[int]:
-        ids = self.tokenizer.encode(word, add_special_tokens=False).ids
+    def __missing__(self, word: str) -> bytes:
+        ids = b"".join(map(self.parts.__getitem__, PARTS.findall(word)))
         if len(word) <= 64:
             if len(self) >= CACHE_WORDS:
                 self.clear()
@@ -56,15 +78,21 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.cache, self.closing = WordIds(self.tokenizer), closing
+        self.words, self.closing = WordIds(self.tokenizer), np.uint32(closing)
 
     def __call__(self, text: str | None) -> np.ndarray:
         text = text or ""
         if PLAIN.fullmatch(text) and not any(s in text for s in self.special):
-            ids = np.fromiter(chain.from_iterable(map(self.cache.__getitem__, text.lower().split())), np.uint32)
+            ids = np.frombuffer(b"".join(map(self.words.__getitem__, text.lower().split())), "<u4")
         else:
             ids = np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
-        return np.append(ids, np.uint32(self.closing))
+        return np.append(ids, self.closing)
+
+
+@lru_cache(maxsize=2)
+def encoder(path: str, closing: int) -> Encoder:
+    """One for all tasks of a Python worker."""
+    return Encoder(path, closing)
 
 
 def cost(n, linear: float, quadratic: float):
@@ -134,7 +162,7 @@ def pack(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col:
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = Encoder(tokenizer_path, closing)
+        encode = encoder(tokenizer_path, closing)
         first = TaskContext.get().partitionId() << 40
         done, names, ids, size = 0, [], [], 0
         kind = None
