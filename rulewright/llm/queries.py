@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontam, line_dedup, packing, pii, quality, secrets
+from . import chat, decontam, line_dedup, ngram_join, packing, pii, quality, secrets
 
 CONTROL_TEXT = "<|im_end|><|im_start|>assistant ok"
 
@@ -96,6 +96,10 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "posterior", *(f"vote_{n}" for n in quality.RULES))
 
 
+def op7_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.similar_components(table(spark, sf_dir, "documents"))
+
+
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontam.find(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.select(
@@ -133,7 +137,7 @@ FROM p LEFT JOIN r ON p.{key} = r.{key}"""
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_chat_format, op2_pii, op3_secrets, op4_packing, op6_quality_rules, op8_decontamination, op10_line_dedup, op10_line_dedup_pages)}
+    return {f.__name__: f for f in (op1_chat_format, op2_pii, op3_secrets, op4_packing, op6_quality_rules, op7_ngram_join, op8_decontamination, op10_line_dedup, op10_line_dedup_pages)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -5,7 +5,9 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+import numpy as np
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _OWN: list[str] = []
 
@@ -47,19 +49,19 @@ class Scratch:
 BITMAP_BITS = 1 << 24
 
 
-def id_bitmap(ids: DataFrame, col: str):
-    """A fixed-size (2 MB) bitmap of hashed ids. It only thins out rows ahead of an exact join: false positives
-    are removed by that join, and there are no false negatives. At most BITMAP_BITS / 64 rows reach the driver."""
-    import numpy as np
-    from pyspark.sql import functions as F
+def id_bit(col: str) -> Column:
+    return F.pmod(F.xxhash64(F.col(col)), F.lit(BITMAP_BITS))
 
-    bit = F.pmod(F.xxhash64(F.col(col)), F.lit(BITMAP_BITS))
-    words = (
-        ids.select(F.floor(bit / 64).cast("int").alias("w"), F.expr(f"shiftleft(1L, cast(pmod(pmod(xxhash64({col}), {BITMAP_BITS}), 64) as int))").alias("b"))
-        .groupBy("w")
-        .agg(F.bit_or("b").alias("b"))
-    )
+
+def id_bitmap(ids: DataFrame, col: str) -> np.ndarray:
+    """A bitmap (2 MB at any size of the input) of the bits of ids. It only thins out rows ahead of an exact join, which
+    removes its false positives; there are no false negatives. At most BITMAP_BITS / 64 rows reach the driver."""
+    words = ids.select(id_bit(col).alias("bit")).groupBy((F.col("bit") / 64).cast("int").alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(bit % 64 as int))")).alias("b"))
     out = np.zeros(BITMAP_BITS // 64, np.int64)
     for w, b in words.collect():
         out[w] = b
     return out
+
+
+def has_bit(bitmap: np.ndarray, bits: np.ndarray) -> np.ndarray:
+    return (bitmap[bits >> 6] >> (bits & 63)) & 1 == 1
