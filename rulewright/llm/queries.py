@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontam, line_dedup, ngram_join, packing, pii, quality, secrets
+from . import chat, decontam, line_dedup, ngram_join, packing, pii, quality, secrets, suffix_dedup
 
 CONTROL_TEXT = "<|im_end|><|im_start|>assistant ok"
 
@@ -91,6 +91,11 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = suffix_dedup.dedup(table(spark, sf_dir, "documents"), with_kept=False)
+    return done.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), "kept_sha256")
+
+
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = quality.assess(table(spark, sf_dir, "documents"))
     return done.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "posterior", *(f"vote_{n}" for n in quality.RULES))
@@ -137,7 +142,7 @@ FROM p LEFT JOIN r ON p.{key} = r.{key}"""
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_chat_format, op2_pii, op3_secrets, op4_packing, op6_quality_rules, op7_ngram_join, op8_decontamination, op10_line_dedup, op10_line_dedup_pages)}
+    return {f.__name__: f for f in (op1_chat_format, op2_pii, op3_secrets, op4_packing, op5_suffix_dedup, op6_quality_rules, op7_ngram_join, op8_decontamination, op10_line_dedup, op10_line_dedup_pages)}
 
 
 def oracle_sql() -> dict[str, str]:
