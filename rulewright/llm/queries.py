@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontam, line_dedup, ngram_join, packing, pii, quality, secrets, suffix_dedup
+from . import chat, decontam, line_dedup, ngram_join, packing, pii, quality, secrets, suffix_dedup, toxicity
 
 CONTROL_TEXT = "<|im_end|><|im_start|>assistant ok"
 
@@ -112,6 +112,12 @@ def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    chain = toxicity.train(docs, table(spark, sf_dir, "labels"), toxicity.label_categories())
+    return toxicity.score(docs, chain).withColumn("toxic", F.col("p_toxic") >= 0.5)
+
+
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents by their source; what is left of each text is told by length and digest."""
     done = line_dedup.drop_lines(table(spark, sf_dir, "documents"), F.col("source"), counts=True)
@@ -142,7 +148,7 @@ FROM p LEFT JOIN r ON p.{key} = r.{key}"""
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_chat_format, op2_pii, op3_secrets, op4_packing, op5_suffix_dedup, op6_quality_rules, op7_ngram_join, op8_decontamination, op10_line_dedup, op10_line_dedup_pages)}
+    return {f.__name__: f for f in (op1_chat_format, op2_pii, op3_secrets, op4_packing, op5_suffix_dedup, op6_quality_rules, op7_ngram_join, op8_decontamination, op9_toxicity, op10_line_dedup, op10_line_dedup_pages)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -81,11 +81,10 @@ ALNUM = np.zeros(256, bool)
 ALNUM[48:58] = ALNUM[65:91] = ALNUM[97:123] = ALNUM[128:] = True
 
 
-def words(data: np.ndarray, offs: np.ndarray, is_word: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hashes (A-Z lower-cased) of all words, the row of each, and n + 1 offsets of the rows' words."""
-    n = len(offs) - 1
+def word_places(data: np.ndarray, offs: np.ndarray, is_word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First byte and end of every word."""
     if not len(data):
-        return np.zeros(0, U), np.zeros(0, np.int64), np.zeros(n + 1, np.int64)
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
     w = is_word[data]
     prev, after = np.empty_like(w), np.empty_like(w)
     prev[0], prev[1:] = False, w[:-1]
@@ -93,7 +92,13 @@ def words(data: np.ndarray, offs: np.ndarray, is_word: np.ndarray) -> tuple[np.n
     cuts = offs[:-1][offs[:-1] < len(data)]
     prev[cuts] = False
     after[cuts[cuts > 0] - 1] = False
-    start, end = np.flatnonzero(w & ~prev), np.flatnonzero(w & ~after) + 1
+    return np.flatnonzero(w & ~prev), np.flatnonzero(w & ~after) + 1
+
+
+def words(data: np.ndarray, offs: np.ndarray, is_word: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes (A-Z lower-cased) of all words, the row of each, and n + 1 offsets of the rows' words."""
+    n = len(offs) - 1
+    start, end = word_places(data, offs, is_word)
     h = range_hash(prefix_hash(data, LOWER_VALUES), start, end)
     at = np.searchsorted(start, offs)
     row = np.repeat(np.arange(n), np.diff(at))
