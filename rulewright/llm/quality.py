@@ -27,20 +27,24 @@ SPACE = "[\\x20\\x09-\\x0D]"
 WINDOW = 5
 MIN_WORDS, MAX_REPEATED = 10, 20
 ROUNDS = 50
-#: Limits within which EM may move an accuracy and the share of good documents: rules are better than chance.
-ACCURACY, PRIOR = (0.55, 0.98), (0.5, 0.98)
+#: Limits within which EM may move the share of good documents, and how often a rule that votes is right on good and on bad
+#: documents. A rule looks for one defect and is silent about others, so it may miss most bad documents, but is seldom wrong on a
+#: good one; right on good plus right on bad is above one, which is all that better than chance means.
+PRIOR, ON_GOOD, ON_BAD = (0.5, 0.95), (0.975, 0.995), (0.15, 0.98)
 
 #: name: (good where, bad where) over the feature columns; else the rule abstains.
 RULES: dict[str, tuple[str, str]] = {
     "length": ("n_words >= 25", "n_words < 15"),
     "word_size": ("word_chars between 2 * n_words and 12 * n_words", "word_chars < 2 * n_words or word_chars > 16 * n_words"),
     "symbols": ("10 * n_symbols <= n_words", "4 * n_symbols > n_words"),
+    "symbol_share": ("40 * n_symbols <= word_chars", "12 * n_symbols > word_chars"),
+    "marks": ("40 * n_marks <= word_chars", "12 * n_marks > word_chars"),
     "lines": ("10 * n_dup_lines <= n_lines", "3 * n_dup_lines > n_lines"),
     "repeats": ("10 * n_repeat_words <= n_words", "5 * n_repeat_words > n_words"),
     "variety": ("10 * n_distinct >= 3 * n_words or n_distinct >= 150", "10 * n_distinct < n_words and n_distinct < 100"),
     "case": ("4 * n_upper <= word_chars", "2 * n_upper > word_chars"),
 }
-FEATURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_distinct", "n_upper")
+FEATURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_distinct", "n_upper", "n_marks")
 
 
 def repeat_words(words: Column, k: int = WINDOW) -> Column:
@@ -78,6 +82,7 @@ def features(docs: DataFrame, text_col: str = "text") -> DataFrame:
         n(F.size("__lines")).alias("n_lines"),
         n(F.size(F.array_distinct("__words"))).alias("n_distinct"),
         n(F.regexp_count(text, F.lit("[A-Z]"))).alias("n_upper"),
+        n(F.regexp_count(text, F.lit("[!?]"))).alias("n_marks"),
     )
 
 
@@ -90,10 +95,10 @@ def fit(patterns: Iterable[tuple[tuple[int, ...], int]], n_rules: int, rounds: i
     """(share of good, for each rule its accuracy on good and on bad documents) from counts of vote patterns. Abstaining
     says nothing of the class. Estimates are smoothed by a few made-up votes."""
     seen = sorted((tuple(p), c) for p, c in patterns if any(p))
-    prior, acc = 0.9, [(0.85, 0.75)] * n_rules
+    prior, acc = 0.85, [(0.98, 0.3)] * n_rules
     for _ in range(rounds):
         good = bad = 0.0
-        right = [[2.0, 0.5, 2.0, 0.5] for _ in range(n_rules)]  # good: right, wrong; bad: right, wrong
+        right = [[2.0, 0.1, 0.5, 1.0] for _ in range(n_rules)]  # good: right, wrong; bad: right, wrong
         for p, c in seen:
             q = posterior(p, prior, acc)
             good, bad = good + c * q, bad + c * (1 - q)
@@ -103,7 +108,7 @@ def fit(patterns: Iterable[tuple[tuple[int, ...], int]], n_rules: int, rounds: i
                     right[j][3 if v > 0 else 2] += c * (1 - q)
         clip = lambda x, lo, hi: min(max(x, lo), hi)
         prior = clip((good + 9) / (good + bad + 10), *PRIOR)
-        acc = [(clip(a / (a + b), *ACCURACY), clip(d / (d + e), *ACCURACY)) for a, b, d, e in right]
+        acc = [(clip(a / (a + b), *ON_GOOD), clip(d / (d + e), *ON_BAD)) for a, b, d, e in right]
     return prior, acc
 
 

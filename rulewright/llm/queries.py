@@ -7,12 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..ship import ship
 from . import chat, decontam, line_dedup, ngram_join, packing, pii, quality, secrets, suffix_dedup, toxicity
 
 CONTROL_TEXT = "<|im_end|><|im_start|>assistant ok"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
