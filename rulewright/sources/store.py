@@ -91,10 +91,18 @@ class QuadStore(Dataset):
     # ---- reading
 
     def scan(self, graphs: list[str]) -> DataFrame:
-        dirs = sorted({d for g in graphs for d in self.graphs.get(g, [])})
-        if not dirs:
+        """A directory can hold several graphs, of which some may have been replaced since: of each directory, only the
+        graphs that still point to it are read; directories with the same graphs are one scan."""
+        by_dir: dict[str, list[str]] = {}
+        for g in sorted(set(graphs)):
+            for d in self.graphs.get(g, []):
+                by_dir.setdefault(d, []).append(g)
+        groups: dict[tuple[str, ...], list[str]] = {}
+        for d, gs in by_dir.items():
+            groups.setdefault(tuple(gs), []).append(d)
+        if not groups:
             return self.spark.createDataFrame([], rdf.SCHEMA)
-        return self.spark.read.schema(rdf.SCHEMA).parquet(*dirs).where(F.col("g").isin(*graphs))
+        return union_all([self.spark.read.schema(rdf.SCHEMA).parquet(*sorted(dirs)).where(F.col("g").isin(*gs)) for gs, dirs in sorted(groups.items())])
 
     def graph_size(self, graph: str) -> int:
         return self.scan([graph]).count()

@@ -385,6 +385,14 @@ def test_rule_book_sets_and_tools(engine):
     assert "confirm" in tools.run_rules(X + "set", [g], replace=True)
 
 
+def test_a_replaced_graph_is_gone_from_shared_directories(engine):
+    engine.store.load_dataset(f"@prefix : <{X}> . :g1 {{ :a :p :b . }} :g2 {{ :c :p :d . }}")
+    put(engine, "g1", ":new :p :b .")
+    assert {r["s"] for r in engine.store.scan([X + "g1", X + "g2"]).collect()} == {n("new"), n("c")}
+    engine.store.drop_graph(X + "g2")
+    assert {r["s"] for r in engine.store.scan([X + "g1", X + "g2"]).collect()} == {n("new")}
+
+
 def test_a_lost_race_is_refused(engine):
     other = QuadStore(engine.spark, engine.store.path)
     put(engine, "g", ":a :p :b .")
