@@ -1,7 +1,7 @@
 """Line dedup by site-relative frequency.
 
 For every host, the pages that contain a line (stripped; blank lines don't count) are divided by the host's pages; a line
-above ``ratio`` on a host with ``min_pages`` pages or more is boilerplate there and is dropped from all its pages. Counting
+above ``ratio``, on ``min_line_pages`` pages or more of a host with ``min_pages`` pages or more, is boilerplate there and is dropped from all its pages. Counting
 shuffles a host, a 64-bit line hash and a partial count; a page counts a line once. Since such a line is on more than
 ratio x pages of its host, a host has less than (lines per page) / ratio of them: they are joined to the pages as one array
 for each host, by a broadcast where their measured size is below ``broadcast_bytes``, else by a join that splits skewed
@@ -18,27 +18,29 @@ from pyspark.sql import functions as F
 
 RATIO = 0.05
 MIN_PAGES = 20
+#: A line on fewer pages of a host is no boilerplate, however few pages the host has (two copies of a page are not a template).
+MIN_LINE_PAGES = 10
 BROADCAST_BYTES = 32 << 20
 
 
 def line_keys(text: Column) -> Column:
     """Distinct hashes of the lines of a page that aren't blank."""
-    return F.array_distinct(F.transform(F.filter(F.transform(F.split(text, "\n", -1), F.trim), lambda x: x != ""), lambda x: F.xxhash64(x)))
+    return F.array_distinct(F.transform(F.filter(F.transform(F.split(text, "\n", -1), lambda x: F.trim(x)), lambda x: x != ""), lambda x: F.xxhash64(x)))
 
 
-def boilerplate(pages: DataFrame, host: Column, text: Column, ratio: float = RATIO, min_pages: int = MIN_PAGES) -> DataFrame:
+def boilerplate(pages: DataFrame, host: Column, text: Column, ratio: float = RATIO, min_pages: int = MIN_PAGES, min_line_pages: int = MIN_LINE_PAGES) -> DataFrame:
     """(host, line, pages, host_pages) of the lines above the ratio."""
     base = pages.select(host.alias("host"), text.alias("text"))
     totals = base.groupBy("host").agg(F.count("*").alias("host_pages")).where(F.col("host_pages") >= min_pages)
     lines = base.select("host", F.explode(line_keys(F.col("text"))).alias("line")).groupBy("host", "line").agg(F.count("*").alias("pages"))
-    lines = lines.where(F.col("pages") >= max(2, int(ratio * min_pages)))
+    lines = lines.where(F.col("pages") >= min_line_pages)
     t = totals.withColumnRenamed("host", "h")
     return lines.join(t, lines["host"].eqNullSafe(t["h"])).where(F.col("pages") > ratio * F.col("host_pages")).select("host", "line", "pages", "host_pages")
 
 
-def drop_lines(pages: DataFrame, host: Column, text_col: str = "text", ratio: float = RATIO, min_pages: int = MIN_PAGES, broadcast_bytes: int = BROADCAST_BYTES, counts: bool = False) -> DataFrame:
+def drop_lines(pages: DataFrame, host: Column, text_col: str = "text", ratio: float = RATIO, min_pages: int = MIN_PAGES, min_line_pages: int = MIN_LINE_PAGES, broadcast_bytes: int = BROADCAST_BYTES, counts: bool = False) -> DataFrame:
     """The pages without their boilerplate lines (with ``n_lines`` and ``n_dropped``, if asked)."""
-    found = boilerplate(pages, host, F.col(text_col), ratio, min_pages)
+    found = boilerplate(pages, host, F.col(text_col), ratio, min_pages, min_line_pages)
     by_host = found.groupBy("host").agg(F.collect_list("line").alias("__lines")).withColumnRenamed("host", "__h")
     size = found.select("host", "line").agg(F.coalesce(F.sum(F.lit(8) + F.coalesce(F.length("host"), F.lit(0)) / 4), F.lit(0.0))).first()[0]
     side = F.broadcast(by_host) if size <= broadcast_bytes else by_host

@@ -141,7 +141,7 @@ WITH p AS (SELECT {key}, {host} AS host, {text} AS text, string_split({text}, ch
 l AS (SELECT {key}, host, unnest(lines) AS line, generate_subscripts(lines, 1) AS at FROM p),
 totals AS (SELECT host, count(*) AS n FROM p GROUP BY host HAVING count(*) >= {line_dedup.MIN_PAGES}),
 c AS (SELECT host, trim(line) AS line, count(DISTINCT {key}) AS n FROM l WHERE trim(line) <> '' GROUP BY ALL),
-d AS (SELECT c.host, c.line FROM c JOIN totals ON c.host IS NOT DISTINCT FROM totals.host WHERE c.n > {line_dedup.RATIO} * totals.n AND c.n >= 2),
+d AS (SELECT c.host, c.line FROM c JOIN totals ON c.host IS NOT DISTINCT FROM totals.host WHERE c.n > {line_dedup.RATIO} * totals.n AND c.n >= {line_dedup.MIN_LINE_PAGES}),
 r AS (SELECT l.{key}, count(*) AS n_lines, count(d.line) AS n_dropped,
       coalesce(string_agg(CASE WHEN d.line IS NULL THEN l.line END, chr(10) ORDER BY l.at), '') AS kept
       FROM l LEFT JOIN d ON l.host IS NOT DISTINCT FROM d.host AND trim(l.line) = d.line GROUP BY l.{key})

@@ -49,7 +49,7 @@ def test_lines(tables):
         hosts[r["source"]] = hosts.get(r["source"], 0) + 1
         for x in {x.strip(" ") for x in (r["text"] or "").split("\n")} - {""}:
             on[r["source"], x] = on.get((r["source"], x), 0) + 1
-    drop = {k for k, n in on.items() if hosts[k[0]] >= line_dedup.MIN_PAGES and n > 1 and n > line_dedup.RATIO * hosts[k[0]]}
+    drop = {k for k, n in on.items() if hosts[k[0]] >= line_dedup.MIN_PAGES and n >= line_dedup.MIN_LINE_PAGES and n > line_dedup.RATIO * hosts[k[0]]}
     want = {r["doc_id"]: "\n".join(x for x in r["text"].split("\n") if (r["source"], x.strip(" ")) not in drop) for r in before}
     assert rows(tables[2]) == want
 
