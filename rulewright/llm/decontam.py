@@ -8,8 +8,8 @@ less a word, and the cursors of all lanes of a batch move together, so that a st
 text is many lanes.
 
 The benchmark is the stated query set: it is read in blocks of at most ``block_words`` words, each block's tables go to the
-executors as one broadcast of bounded size, and the documents are scanned against each block; nothing is shuffled but
-(document, item) hits where there is more than one block.
+executors as one broadcast of bounded size, and the documents are scanned against each block: up to ``BLOCKS_AT_ONCE`` of them in
+a pass; a larger benchmark takes more passes, with what was found so far stored in between. Nothing is shuffled.
 
 Defined results: null or empty texts have no words and no hits; items without words match nothing; repeated items each count;
 repeated documents each get a row; an empty benchmark leaves every document clean; other columns are ignored.
@@ -22,15 +22,19 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import textops as X
+from .scratch import Scratch
 
 WIDTH = 10
 #: Entries of the shift table.
 TABLE = 1 << 18
 #: Words of the benchmark that one block of tables holds at most (about 100 bytes each).
 BLOCK_WORDS = 200_000
+#: Blocks whose tables are on the executors at a time; each lot of so many is a pass over the documents.
+BLOCKS_AT_ONCE = 8
 LANE = 256
 U = np.uint64
 
@@ -109,25 +113,35 @@ def blocks(benchmark: DataFrame, item_col: str, text_col: str, block_words: int
     yield some
 
 
-def find(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", width: int = WIDTH, keep: list[str] | None = None, block_words: int = BLOCK_WORDS) -> DataFrame:
+def find(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", width: int = WIDTH, keep: list[str] | None = None, block_words: int = BLOCK_WORDS, blocks_at_once: int = BLOCKS_AT_ONCE) -> DataFrame:
     """The kept columns (the id if none are named) of each document with ``n_words``, ``hits`` (array of first and last
     word of each maximal hit run) and ``items`` (items with occurring windows, as strings, sorted)."""
-    sc = docs.sparkSession.sparkContext
-    tables = [sc.broadcast((build(some, width), [str(i) for i, _ in some])) for some in blocks(benchmark, item_col, item_text, block_words)]
     keep = keep or [id_col]
     run_t = T.ArrayType(T.StructType([T.StructField("first", T.LongType()), T.StructField("last", T.LongType())]))
     schema = T.StructType([*(docs.schema[c] for c in keep), T.StructField("n_words", T.LongType()), T.StructField("n_hit", T.LongType()), T.StructField("hits", run_t), T.StructField("items", T.ArrayType(T.StringType()))])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            data, offs = X.utf8(b.column(b.num_columns - 1))
-            for i, j in X.pieces(offs, 1 << 21):
-                yield scan(b.slice(i, j - i), data[offs[i] : offs[j]], offs[i : j + 1] - offs[i])
+    def over(tables: list, carry: bool):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                text = b.column(b.num_columns - 1)
+                data, offs = X.utf8(text)
+                for i, j in X.pieces(offs, 1 << 20):
+                    yield scan(b.slice(i, j - i), data[offs[i] : offs[j]], offs[i : j + 1] - offs[i], tables, text.slice(i, j - i) if carry else None)
 
-    def scan(b: pa.RecordBatch, data: np.ndarray, offs: np.ndarray) -> pa.RecordBatch:
+        return run
+
+    def scan(b: pa.RecordBatch, data: np.ndarray, offs: np.ndarray, tables: list, text: pa.Array | None) -> pa.RecordBatch:
         h, row, at = X.words(data, offs, X.ALNUM)
         mark = np.zeros(len(h) + 1, np.int64)
         items: dict[int, set[str]] = {}
+        n_keep = len(keep)
+        if b.num_columns > n_keep + 1:  # what earlier blocks have found
+            for r, (runs, names) in enumerate(zip(b.column(n_keep + 2).to_pylist(), b.column(n_keep + 3).to_pylist(), strict=True)):
+                for x in runs:
+                    mark[at[r] + x["first"]] += 1
+                    mark[at[r] + x["last"] + 1] -= 1
+                if names:
+                    items[r] = set(names)
         for t in tables:
             built, names = t.value
             for wm in built:
@@ -145,10 +159,34 @@ def find(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col
             x = np.concatenate([[False], hit[at[r] : at[r + 1]], [False]])
             e = np.flatnonzero(x[1:] != x[:-1]).reshape(-1, 2)
             runs[r] = [{"first": int(a), "last": int(z) - 1} for a, z in e]
-        cols = [b.column(i) for i in range(b.num_columns - 1)]
+        cols = [b.column(i) for i in range(n_keep)]
         more = [pa.array(np.diff(at), pa.int64()), pa.array(n_hit, pa.int64()), pa.array(runs, pa.list_(pa.struct([("first", pa.int64()), ("last", pa.int64())]))), pa.array([sorted(items.get(r, ())) for r in range(n)], pa.list_(pa.string()))]
+        if text is not None:
+            return pa.RecordBatch.from_arrays([*cols, *more, text], names=[*schema.names, "__text"])
         return pa.RecordBatch.from_arrays([*cols, *more], names=schema.names)
 
-    from pyspark.sql import functions as F
+    df = docs.select(*keep, F.col(text_col).alias("__text"))
+    sc, work = docs.sparkSession.sparkContext, None
+    groups = at_once(blocks(benchmark, item_col, item_text, block_words), blocks_at_once)
+    held = next(groups)
+    for nxt in groups:  # more than may be broadcast at once: a pass for each lot, with what was found so far
+        work = work or Scratch(docs.sparkSession, "decontam")
+        wider = T.StructType([*schema.fields, T.StructField("__text", T.StringType())])
+        before, df = df, work.save(df.mapInArrow(over(broadcasts(sc, held, width), True), wider), "found")
+        work.drop(before)
+        held = nxt
+    return df.mapInArrow(over(broadcasts(sc, held, width), False), schema)
+
+
+def at_once(found: Iterator[list], n: int) -> Iterator[list[list]]:
+    some: list[list] = []
+    for x in found:
+        if len(some) == n:
+            yield some
+            some = []
+        some.append(x)
+    yield some
+
 
-    return docs.select(*keep, F.col(text_col).alias("__text")).mapInArrow(run, schema)
+def broadcasts(sc, lot: list[list[tuple[object, str | None]]], width: int) -> list:
+    return [sc.broadcast((build(some, width), [str(i) for i, _ in some])) for some in lot]

@@ -139,8 +139,8 @@ def test_decontamination(spark):
     d = spark.createDataFrame([(i, t, "x") for i, t in docs.items()], "doc_id long, text string, item_id string").repartition(3)
     b = spark.createDataFrame(list(items.items()), "item_id long, text string")
     want = brute.decontaminate(docs, items)
-    for block in (200_000, 30):
-        got = {x["doc_id"]: (x["n_words"], x["n_hit"], x["items"]) for x in decontam.find(d, b, block_words=block).collect()}
+    for block, lot in ((200_000, 8), (30, 8), (30, 2)):
+        got = {x["doc_id"]: (x["n_words"], x["n_hit"], x["items"]) for x in decontam.find(d, b, block_words=block, blocks_at_once=lot).collect()}
         assert got == want
     spans = next(x for x in decontam.find(d.where("doc_id = 105"), b).collect())["hits"]
     assert [(h["first"], h["last"]) for h in spans] == [(0, 39)]
