@@ -8,12 +8,16 @@ that a set has as many (single shingles in bands up to 64; beyond, hashing would
 than floor(n / 4) + 1 of n / 2 pieces, a chance far below 1e-20).
 
 Members of a signature are never paired with each other blindly:
- 1. each is compared with the least member, equal pairs once; the links found are joined to components;
- 2. a signature whose members lie in one component is settled. In the others, members outside the largest component are
-    compared with those of other components, if they are few (at most ``FEW``);
- 3. where they are many (a hot signature of dissimilar sets), its members sign again, with subsets of larger partitions
-    (PartEnum's second level: any k2 of n2 parts may differ), which sets that merely share a passage do not have in common;
-    the last level compares what is left, streaming.
+ 1. each is compared with the least member, equal pairs once. Before any set is moved, sizes and counts of shingles in 256
+    to 1024 buckets are compared: how far these counts differ bounds from below how far the sets do, and rules out nearly all
+    pairs that are not similar. The links found are joined to components;
+ 2. a signature whose members lie in one component is settled. In the others, the counts of members of different components
+    are compared in memory, group by group, and only pairs that may be similar leave the task, for the exact comparison;
+ 3. a signature with more than ``BLOCK`` members that isn't settled is hot (a passage that very many dissimilar sets share) and
+    is skipped: a set that has hot pieces signs as many more, in the same order, as make up for them. Of floor(n / 4) + 1
+    pieces that aren't hot, one is as it is in the other set, too;
+ 4. sets that have not so many, since three quarters or more of them are hot passages, sign with subsets of larger
+    partitions (PartEnum's second level: any k2 of n2 parts may differ); the last level compares all that is left.
 Every comparison is exact, on whole sets. Equal sets (by a 64-bit hash; two of 1e9 different sets collide with a chance of 3 %)
 are one node, so copies cost one row each.
 
@@ -33,15 +37,24 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textops as X
-from .graphs import components
-from .scratch import Scratch, has_bit, id_bit, id_bitmap
+from .graphs import Components
+from .scratch import BITMAP_BITS, Scratch, bitmap_of, has_bit, id_bit, id_bitmap
 
 U = np.uint64
 K = 5
 SIMILAR = 80  # per cent
 SINGLE = 64  # in bands up to here, each shingle is a piece
-FEW = 64
-BYTES = 1 << 20
+#: Members of a signature that are compared with each other in one task (about a second's work); more make it hot.
+BLOCK = 4096
+#: So many of a set's least open signatures go along with it: a pair that has one of them in common is told once, under the least.
+LEAST = 6
+#: Sets sign so many times floor(n / 4) + 1 pieces, if hot ones are at most such a share of that; else all they have.
+MORE = ((1 / 8, 1.5), (1 / 4, 2.0), (1 / 2, 3.5))
+BYTES = 1 << 19
+#: Buckets of a sketch, by the size of the set up to which it is used.
+SKETCH = ((512, 256), (2000, 512), (1 << 60, 1024))
+#: Buckets to which sketches are folded for the first comparison.
+COARSE = 64
 
 
 def band_ends(most: int = 1 << 40) -> np.ndarray:
@@ -60,23 +73,26 @@ def pieces_of(end: np.ndarray, k2: int) -> np.ndarray:
     """First-level pieces of the band that ends there."""
     if k2:
         return np.maximum(1, end // (6 if k2 == 1 else 12))
-    return np.where(end <= SINGLE, 1 << 32, np.where(end <= 256, end, end // 2))
+    return np.where(end <= SINGLE, 1 << 32, np.where(end <= 256, end // 2, end // 3))
 
 
-def signatures(s: np.ndarray, at: np.ndarray, level: int = 0) -> tuple[np.ndarray, np.ndarray]:
-    """(row, signature) for rows of ascending shingles s[at[i]:at[i+1]]."""
+def signatures(s: np.ndarray, at: np.ndarray, level: int = 0, stretch: np.ndarray | None = None, signed_pieces: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(row, signature) for rows of ascending shingles s[at[i]:at[i+1]]. stretch: how many times the pieces that are
+    enough without hot ones each row signs; signed_pieces: gets how many it has signed, the least of its bands."""
     n = np.diff(at)
     home = np.searchsorted(ENDS, n)
     rows_out, sigs_out = [], []
     for step in (0, 1):
         use = (n > 0) if step == 0 else (n > 0) & (n * 100 // SIMILAR > ENDS[home])
-        r, sig = band_signatures(s, at, np.flatnonzero(use), home + step, level)
+        r, sig = band_signatures(s, at, np.flatnonzero(use), home + step, level, stretch)
         rows_out.append(r)
         sigs_out.append(sig)
+        if signed_pieces is not None:
+            signed_pieces[use] = np.minimum(signed_pieces, np.bincount(r, minlength=len(n)))[use]
     return np.concatenate(rows_out), np.concatenate(sigs_out)
 
 
-def band_signatures(s: np.ndarray, at: np.ndarray, rows: np.ndarray, band: np.ndarray, level: int) -> tuple[np.ndarray, np.ndarray]:
+def band_signatures(s: np.ndarray, at: np.ndarray, rows: np.ndarray, band: np.ndarray, level: int, stretch: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     k2, n2 = LEVELS[level]
     n = np.diff(at)
     if not len(rows):
@@ -110,7 +126,8 @@ def band_signatures(s: np.ndarray, at: np.ndarray, rows: np.ndarray, band: np.nd
     row_first = np.ones(len(g), bool)
     row_first[1:] = g_row[1:] != g_row[:-1]
     base = np.maximum.accumulate(np.where(row_first, before, 0))
-    keep = before - base <= n[g_row] // 4 // (k2 + 1)
+    enough = n[g_row] // 4 // (k2 + 1) + 1
+    keep = before - base < (enough if stretch is None else np.ceil(enough * stretch[g_row]))
     c = np.zeros(len(x) + 1, U)
     if not level:
         np.cumsum(X.mix(x), out=c[1:])
@@ -133,7 +150,7 @@ def small_subsets(s: np.ndarray, at: np.ndarray, rows: np.ndarray, band: np.ndar
     for i in rows.tolist():
         x = X.mix(s[at[i] : at[i + 1]][: (at[i + 1] - at[i]) // 4 + 1 + level])
         idx = np.array(list(combinations(range(len(x)), min(level + 1, len(x)))))
-        out.append(X.mix(x[idx].sum(1, dtype=U) ^ X.mix(U(band[i]) * U(8) + U(level))))
+        out.append(X.mix(x[idx].sum(1, dtype=U) ^ X.mix(np.array([band[i] * 8 + level], U))))
         r.append(np.full(len(idx), i))
     return (np.concatenate(r), np.concatenate(out)) if r else (np.zeros(0, np.int64), np.zeros(0, U))
 
@@ -154,8 +171,42 @@ def shingled(b: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
         yield i, j, *X.distinct_shingles(h, row, at, K)
 
 
+def sketch(s: np.ndarray) -> bytes:
+    """How many shingles are in each bucket: 15 at most in half a byte, 255 at most in a byte where there are 1024."""
+    k = next(k for top, k in SKETCH if len(s) <= top)
+    x = np.bincount((s & U(k - 1)).astype(np.int64), minlength=k)
+    if k == SKETCH[-1][1]:
+        return np.minimum(x, 255).astype(np.uint8).tobytes()
+    x = np.minimum(x, 15).astype(np.uint8)
+    return (x[::2] | x[1::2] << 4).tobytes()
+
+
+def counts(brief: bytes) -> tuple[np.ndarray, bool]:
+    """The counts of a sketch, and whether one may be too low."""
+    x = np.frombuffer(brief, np.uint8)
+    if len(x) == SKETCH[-1][1]:
+        return x.astype(np.int32), bool((x == 255).any())
+    out = np.empty(2 * len(x), np.int32)
+    out[::2], out[1::2] = x & 15, x >> 4
+    return out, bool((out == 15).any())
+
+
+def apart(x: np.ndarray, y: np.ndarray) -> int:
+    k = min(len(x), len(y))
+    return int(np.abs(x.reshape(-1, k).sum(0) - y.reshape(-1, k).sum(0)).sum())
+
+
+def may_be_similar(a: list[bytes], b: list[bytes], n: np.ndarray) -> np.ndarray:
+    """False where the sketches show that sets of n elements together differ in more than a ninth of n."""
+    out = np.ones(len(a), bool)
+    for i, (x, y) in enumerate(zip(a, b, strict=True)):
+        (u, u_low), (v, v_low) = counts(x), counts(y)
+        out[i] = u_low or v_low or 9 * apart(u, v) <= n[i]
+    return out
+
+
 def signed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, n, key, sigs); a task lists the signatures of equal sets once."""
+    """(id, n, key, sigs, sketch); a task lists signatures and sketch of equal sets once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
@@ -173,10 +224,11 @@ def signed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
                 keep = fresh[row]
                 sig = sig[keep]
                 offs = np.concatenate([[0], np.cumsum(np.bincount(row[keep], minlength=len(n)))]).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), pa.array(n, pa.int64()), pa.array(key.view(np.int64)), pa.ListArray.from_arrays(offs, pa.array(sig.view(np.int64)))], names=["id", "n", "key", "sigs"])
+                brief = pa.array([sketch(s[at[k] : at[k + 1]]) if fresh[k] else None for k in range(len(n))], pa.binary())
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), pa.array(n, pa.int64()), pa.array(key.view(np.int64)), pa.ListArray.from_arrays(offs, pa.array(sig.view(np.int64))), brief], names=["id", "n", "key", "sigs", "sketch"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.where(F.col(id_col).isNotNull()).select(id_col, text_col).mapInArrow(run, f"id {kind}, n long, key long, sigs array<long>")
+    return docs.where(F.col(id_col).isNotNull()).select(id_col, text_col).mapInArrow(run, f"id {kind}, n long, key long, sigs array<long>, sketch binary")
 
 
 def shared(rows: DataFrame) -> DataFrame:
@@ -233,16 +285,60 @@ def shingle_sets(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str)
     return found.join(wanted, "id").select("node", F.size("shingles").cast("long").alias("n"), "shingles")
 
 
+def promising(pairs: DataFrame, brief: DataFrame) -> DataFrame:
+    """The pairs (a, b) that sizes and sketches (node, n, sketch) leave possible."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for x in batches:
+            ok = may_be_similar(x.column(2).to_pylist(), x.column(3).to_pylist(), x.column(4).to_numpy())
+            yield pa.RecordBatch.from_arrays([x.column(0), x.column(1)], names=["a", "b"]).filter(pa.array(ok))
+
+    a = brief.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("sketch").alias("ka"))
+    b = brief.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("sketch").alias("kb"))
+    fits = (100 * F.col("na") >= SIMILAR * F.col("nb")) & (100 * F.col("nb") >= SIMILAR * F.col("na"))
+    told = pairs.join(a, "a").join(b, "b").where(fits).select("a", "b", "ka", "kb", (F.col("na") + F.col("nb")).alias("n"))
+    return told.mapInArrow(run, "a long, b long")
+
+
 def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """The pairs (a, b) whose whole sets are similar enough."""
     a = sets.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("shingles").alias("sa"))
     b = sets.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("shingles").alias("sb"))
-    fits = (100 * F.col("na") >= SIMILAR * F.col("nb")) & (100 * F.col("nb") >= SIMILAR * F.col("na"))
     common = F.size(F.array_intersect("sa", "sb")).cast("long")
-    return pairs.join(a, "a").join(b, "b").where(fits).withColumn("common", common).where(100 * F.col("common") >= SIMILAR * (F.col("na") + F.col("nb") - F.col("common"))).select("a", "b")
+    return pairs.join(a, "a").join(b, "b").withColumn("common", common).where(100 * F.col("common") >= SIMILAR * (F.col("na") + F.col("nb") - F.col("common"))).select("a", "b")
+
+
+class Sets:
+    """Sketches, and on demand whole sets, of the nodes."""
 
+    def __init__(self, docs: DataFrame, id_col: str, text_col: str, table: DataFrame, first: DataFrame, work: Scratch):
+        self.docs, self.names, self.table, self.first, self.work = docs, (id_col, text_col), table, first, work
+        self.brief: DataFrame | None = None
 
-def resigned(sets: DataFrame, nodes: DataFrame, level: int) -> DataFrame:
+    def know(self, nodes: DataFrame) -> None:
+        """Brings the sketches of more nodes to ``brief`` (node, n, sketch)."""
+        old = self.brief
+        if old is not None:
+            nodes = nodes.join(old, "node", "left_anti")
+        found = self.table.where("sketch is not null").withColumnRenamed("key", "node").join(nodes.distinct(), "node", "left_semi").dropDuplicates(["node"]).select("node", "n", "sketch")
+        new = self.work.save(found, "brief")
+        self.brief = new if old is None else old.union(new)
+
+    def of(self, nodes: DataFrame) -> DataFrame:
+        wanted = self.work.save(self.first.join(nodes, self.first["key"] == nodes["node"], "left_semi").select(F.col("key").alias("node"), F.col("first").alias("id")), "wanted")
+        return self.work.save(shingle_sets(self.docs, wanted, *self.names), "sets")
+
+    def links(self, pairs: DataFrame, told: bool = False) -> DataFrame:
+        """A stored table of the pairs that are similar enough; told: sketches have been compared."""
+        some = pairs if told else self.work.save(promising(pairs, self.brief), "promising", thin=True)
+        sets = self.of(some.select(F.col("a").alias("node")).union(some.select("b")).distinct())
+        out = self.work.save(verified(some, sets), "edges", thin=True)
+        self.work.drop(sets, some)
+        self.work.sweep()
+        return out
+
+
+def resigned(sets: DataFrame, level: int) -> DataFrame:
     """(sig, node) of a higher level."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -255,35 +351,168 @@ def resigned(sets: DataFrame, nodes: DataFrame, level: int) -> DataFrame:
                 row, sig = signatures(s, at - at[0], level)
                 yield pa.RecordBatch.from_arrays([pa.array(sig.view(np.int64)), pa.array(node[k : k + 256][row])], names=["sig", "node"])
 
-    return sets.join(nodes, "node", "left_semi").select("node", "shingles").mapInArrow(run, "sig long, node long")
-
-
-def link(members: DataFrame, sets: DataFrame, edges: DataFrame | None, work: Scratch, level: int) -> DataFrame | None:
-    """Edges that connect whatever the members (sig, node, pivot) of a level connect, given those known."""
-    stars = members.where("node != pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct()
-    found = verified(stars, sets)
-    edges = work.save(found if edges is None else edges.union(found), "edges")
-    known = None if edges.isEmpty() else components(edges, work)
-    m = members.select("sig", "node")
-    m = m.withColumn("comp", F.col("node")) if known is None else m.join(known, "node", "left").select("sig", "node", F.coalesce("comp", "node").alias("comp"))
-    m = work.save(m, "placed")
-    by = m.groupBy("sig", "comp").count().groupBy("sig").agg(F.count("*").alias("comps"), F.max_by("comp", F.struct("count", "comp")).alias("main"), F.sum("count").alias("all"), F.max("count").alias("most"))
-    open_ = work.save(by.where("comps > 1 and all > 2").select("sig", "main", (F.col("all") - F.col("most")).alias("others")), "open")
-    if open_.isEmpty():
-        return edges
-    few = open_ if level == len(LEVELS) - 1 else open_.where(F.col("others") <= FEW)
-    a = m.join(few, "sig").where("comp != main").select("sig", F.col("node").alias("x"), F.col("comp").alias("cx"))
-    b = m.join(few, "sig").select("sig", F.col("node").alias("y"), F.col("comp").alias("cy"))
-    pairs = a.join(b, "sig").where("cx != cy").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct().join(stars, ["a", "b"], "left_anti")
-    more = work.save(verified(pairs, sets), "edges")
-    edges = edges.union(more)
-    many = open_.where(F.col("others") > FEW)
-    if level < len(LEVELS) - 1 and not many.isEmpty():
-        heavy = m.join(many, "sig", "left_semi").select("node").distinct()
-        again = work.save(shared(resigned(sets, heavy, level + 1)), "members")
-        if not again.isEmpty():
-            edges = link(again, sets, edges, work, level + 1)
-    return edges
+    return sets.select("node", "shingles").mapInArrow(run, "sig long, node long")
+
+
+def compared(rows: DataFrame, brief: DataFrame) -> DataFrame:
+    """(a, b) of the pairs that share a signature, lie in different components and may be similar. rows: sig, node, comp of
+    all open signatures that aren't hot; brief: node, n, sketch. All rows of a signature are held at a time."""
+    least = rows.groupBy("node").agg(F.slice(F.array_sort(F.collect_set("sig")), 1, LEAST).alias("least"))
+    rows = rows.join(brief.join(least, "node"), "node")
+
+    none = np.iinfo(np.int64).max
+
+    def group(sig: int, node: np.ndarray, comp: np.ndarray, n: np.ndarray, brief: list[bytes], first: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
+        order = np.argsort(n, kind="stable")
+        least = np.full((len(order), LEAST), none)
+        for k, o in enumerate(order):
+            least[k, : len(first[o])] = first[o]
+        node, comp, n = node[order], comp[order], n[order]
+        told = [counts(brief[k]) for k in order]
+        low = np.array([x for _, x in told])
+        k1 = SKETCH[0][1]
+        fine = np.array([x.reshape(-1, k1).sum(0) for x, _ in told], np.int16)
+        coarse = fine.reshape(len(fine), -1, COARSE).sum(1, dtype=np.int16)
+        top = np.searchsorted(n, n * 100 // SIMILAR, "right")  # partners of at least that size
+        out_a, out_b = [], []
+        for i in range(len(node)):
+            j = np.arange(i + 1, top[i])
+            j = j[comp[j] != comp[i]]
+            for x in (coarse, fine):
+                if len(j):
+                    j = j[(9 * np.abs(x[j] - x[i]).sum(1, dtype=np.int64) <= n[j] + n[i]) | low[j] | low[i]]
+            if len(j) and len(told[i][0]) > k1:
+                j = j[[low[k] or low[i] or 9 * apart(told[i][0], told[k][0]) <= n[k] + n[i] for k in j]]
+            if len(j):
+                both = (least[j][:, :, None] == least[i][None, None, :]).any(2) & (least[j] != none)
+                under = np.where(both, least[j], none).min(1)
+                j = j[(under == sig) | (under == none)]
+            out_a.append(np.full(len(j), node[i]))
+            out_b.append(node[j])
+        a, b = np.concatenate(out_a), np.concatenate(out_b)
+        return np.minimum(a, b), np.maximum(a, b)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            t = pa.Table.from_batches(held)
+            held.clear()
+            node, comp, n = (t.column(k).to_numpy() for k in (1, 2, 3))
+            a, b = group(t.column(0)[0].as_py(), node, comp, n, t.column(4).to_pylist(), t.column(5).to_pylist())
+            if len(a):
+                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+
+        for x in batches:
+            sig = x.column(0).to_numpy()
+            cut = np.flatnonzero(sig[1:] != sig[:-1]) + 1
+            for lo, hi in zip(np.append(0, cut).tolist(), np.append(cut, len(sig)).tolist(), strict=True):
+                if lo == hi:
+                    continue
+                if held and held[0].column(0)[0].as_py() != sig[lo]:
+                    yield from flush()
+                held.append(x.slice(lo, hi - lo))
+        if held:
+            yield from flush()
+
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.select("sig", "node", "comp", "n", "sketch", "least").repartition(n, "sig").sortWithinPartitions("sig").mapInArrow(run, "a long, b long").distinct()
+
+
+def settle(members: DataFrame, sets: Sets, graph: Components, work: Scratch, last: bool = False) -> DataFrame:
+    """Adds edges to the graph that connect whatever members (sig, node, pivot) of signatures that aren't hot connect, and
+    returns the members (sig, node) of hot signatures. The last time, none is hot."""
+    stars = work.save(members.where("node != pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct(), "stars")
+    graph.add(sets.links(stars))
+    m = work.save(graph.of(members.select("sig", "node")).select("sig", "node", "comp"), "placed")
+    open_ = m.groupBy("sig").agg(F.count("*").alias("all"), F.min("comp").alias("low"), F.max("comp").alias("high")).where("all > 2 and low != high")
+    m_open = work.save(m.join(open_.select("sig", "all"), "sig"), "open")
+    few = m_open if last else m_open.where(F.col("all") <= BLOCK)
+    pairs = work.save(compared(few.select("sig", "node", "comp"), sets.brief).join(stars, ["a", "b"], "left_anti"), "pairs", thin=True)
+    if pairs.count():
+        graph.add(sets.links(pairs, told=True))
+    hot = work.save(m_open.where((F.col("all") > BLOCK) & F.lit(not last)).select("sig", "node"), "hot", thin=True)
+    work.drop(m, m_open, pairs, stars)
+    work.sweep()
+    return hot
+
+
+def more_signatures(docs: DataFrame, heavy: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(sig, node, slack) of the sets with hot pieces, heavy: (id, share). Of each set, one row without a signature says how
+    many of the pieces signed may be hot (slack)."""
+    sc = docs.sparkSession.sparkContext
+    low, told = 0.0, []
+    for top, times in (*MORE, (1e9, 1e9)):
+        told.append((times, sc.broadcast(id_bitmap(heavy.where((F.col("share") > low) & (F.col("share") <= top)), "id"))))
+        low = top
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            bits = b.column(2).to_numpy()
+            times = np.zeros(len(bits))
+            for t, bitmap in told:
+                times = np.where(has_bit(bitmap.value, bits), t, times)
+            some = times > 0
+            b, times = b.filter(pa.array(some)), times[some]
+            for i, j, s, at in shingled(b.column(1)):
+                n = np.diff(at)
+                count = np.full(len(n), 1 << 60)
+                row, sig = signatures(s, at, 0, times[i:j], count)
+                key = set_keys(s, at).view(np.int64)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.append(sig.view(np.int64), np.zeros(len(n), np.int64)), mask=np.append(np.zeros(len(sig), bool), np.ones(len(n), bool))), pa.array(np.append(key[row], key)), pa.array(np.append(np.zeros(len(sig), np.int64), count - n // 4 - 1))],
+                    names=["sig", "node", "slack"],
+                )
+
+    return docs.where(F.col(id_col).isNotNull()).select(id_col, text_col, id_bit(id_col).alias("bit")).mapInArrow(run, "sig long, node long, slack long")
+
+
+def among(table: DataFrame, sigs: DataFrame) -> DataFrame:
+    """(sig, node) of the first signing of all sets, as far as they may be among the signatures (no wanted one is missing)."""
+    bit = F.col("sig").bitwiseAND(BITMAP_BITS - 1)
+    bitmap = table.sparkSession.sparkContext.broadcast(bitmap_of(sigs.select(bit.alias("bit"))))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            sig, at = b.column(0).flatten().to_numpy(), b.column(0).offsets.to_numpy()
+            node = np.repeat(b.column(1).to_numpy(), np.diff(at))
+            ok = has_bit(bitmap.value, sig & (BITMAP_BITS - 1))
+            yield pa.RecordBatch.from_arrays([pa.array(sig[ok]), pa.array(node[ok])], names=["sig", "node"])
+
+    return table.where(F.size("sigs") > 0).select("sigs", F.col("key").alias("node")).mapInArrow(run, "sig long, node long")
+
+
+def linked(table: DataFrame, members: DataFrame, sets: Sets, work: Scratch) -> Components:
+    """The components of all similar sets."""
+    graph = Components(work)
+    hot = settle(members, sets, graph, work)
+    if not hot.count():
+        return graph
+    n_hot = hot.groupBy("node").count()
+    share = F.col("count") / (F.floor(F.col("n") / 4) + 1)
+    heavy = work.save(n_hot.join(sets.brief.select("node", "n"), "node").join(sets.first, F.col("node") == F.col("key")).select(F.col("first").alias("id"), share.alias("share")), "heavy", thin=True)
+    more = work.save(more_signatures(sets.docs, heavy, *sets.names), "more")
+    new = more.where("sig is not null").select("sig", "node")
+    again = work.save(shared(new.union(among(table, new)).join(hot.select("sig").distinct(), "sig", "left_anti")), "members")
+    if again.count():
+        sets.know(again.select("node"))
+        hot = hot.union(settle(again, sets, graph, work))
+    work.drop(again)
+    n_hot = hot.distinct().groupBy("node").count()
+    slack = more.where("sig is null").groupBy("node").agg(F.min("slack").alias("slack"))
+    left = work.save(n_hot.join(slack, "node", "left").where(F.col("count") > F.coalesce("slack", F.lit(-1))).select("node"), "left", thin=True)
+    work.drop(more)
+    for level in range(1, len(LEVELS)):
+        if not left.count():
+            break
+        own = sets.of(left)
+        again = work.save(shared(resigned(own, level)), "members")
+        work.drop(own)
+        if not again.count():
+            break
+        hot = settle(again, sets, graph, work, last=level == len(LEVELS) - 1)
+        left = work.save(hot.select("node").distinct(), "left", thin=True)
+    return graph
 
 
 def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -295,14 +524,11 @@ def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     first = thin.groupBy("key").agg(F.min("id").alias("first"))
     names = first.withColumn("comp", F.col("key"))
     if not members.isEmpty():
-        wanted = work.save(first.join(members.select(F.col("node").alias("key")).distinct(), "key", "left_semi").select(F.col("key").alias("node"), F.col("first").alias("id")), "wanted")
-        sets = work.save(shingle_sets(docs, wanted, id_col, text_col), "sets")
-        edges = link(members, sets, None, work, 0)
-        edges = None if edges is None else work.save(edges.distinct(), "edges")
-        if edges is not None and not edges.isEmpty():
-            known = components(edges, work).withColumnRenamed("node", "key")
-            names = first.join(known, "key", "left").select("key", "first", F.coalesce("comp", "key").alias("comp"))
-        work.drop(sets)
+        work.sweep()
+        sets = Sets(docs, id_col, text_col, table, work.save(first, "first", thin=True), work)
+        sets.know(members.select("node"))
+        graph = linked(table, members, sets, work)
+        names = graph.of(first.select(F.col("key").alias("node"), "first")).select(F.col("node").alias("key"), "first", "comp")
     work.drop(members)
     least = names.groupBy("comp").agg(F.min("first").alias("least"))
     named = names.join(least, "comp").select("key", "least")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -29,7 +30,11 @@ class Scratch:
         self.root = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
         self.n = 0
 
-    def save(self, df: DataFrame, name: str = "t") -> DataFrame:
+    def save(self, df: DataFrame, name: str = "t", thin: bool = False) -> DataFrame:
+        """Writes and rereads. thin: rows are so much smaller than those of the corpus (ids, links) that an eighth of the
+        partitions will do."""
+        if thin:
+            df = df.coalesce(max(8, int(self.spark.conf.get("spark.sql.shuffle.partitions")) // 8))
         self.n += 1
         path = f"{self.root}/{self.n:03d}-{name}"
         df.write.parquet(path)
@@ -37,6 +42,12 @@ class Scratch:
         out._scratch_path = path
         return out
 
+    def sweep(self) -> None:
+        """Lets Spark delete the shuffle files of plans that nothing refers to any more; it does so only once the driver's
+        garbage is collected, which an idle driver may put off for half an hour."""
+        gc.collect()
+        self.spark._jvm.System.gc()
+
     def drop(self, *tables: DataFrame) -> None:
         jvm, conf = self.spark._jvm, self.spark._jsc.hadoopConfiguration()
         for t in tables:
@@ -56,7 +67,11 @@ def id_bit(col: str) -> Column:
 def id_bitmap(ids: DataFrame, col: str) -> np.ndarray:
     """A bitmap (2 MB at any size of the input) of the bits of ids. It only thins out rows ahead of an exact join, which
     removes its false positives; there are no false negatives. At most BITMAP_BITS / 64 rows reach the driver."""
-    words = ids.select(id_bit(col).alias("bit")).groupBy((F.col("bit") / 64).cast("int").alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(bit % 64 as int))")).alias("b"))
+    return bitmap_of(ids.select(id_bit(col).alias("bit")))
+
+
+def bitmap_of(bits: DataFrame) -> np.ndarray:
+    words = bits.groupBy((F.col("bit") / 64).cast("int").alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(bit % 64 as int))")).alias("b"))
     out = np.zeros(BITMAP_BITS // 64, np.int64)
     for w, b in words.collect():
         out[w] = b

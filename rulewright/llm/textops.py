@@ -41,8 +41,10 @@ def utf8(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """All bytes of a string column and the n + 1 offsets into them; nulls count as empty."""
     if isinstance(col, pa.ChunkedArray):
         col = col.combine_chunks()
-    col = pc.fill_null(col.cast(pa.large_string()), "")
-    offs = np.frombuffer(col.buffers()[1], np.int64)[col.offset : col.offset + len(col) + 1]
+    if col.null_count:
+        col = pc.fill_null(col, "")
+    wide = pa.types.is_large_string(col.type) or pa.types.is_large_binary(col.type)
+    offs = np.frombuffer(col.buffers()[1], np.int64 if wide else np.int32, count=col.offset + len(col) + 1)[col.offset :].astype(np.int64) if len(col) else np.zeros(1, np.int64)
     raw = col.buffers()[2]
     data = np.frombuffer(raw, np.uint8) if raw is not None and raw.size else np.zeros(0, np.uint8)
     return data[offs[0] : offs[-1]], offs - offs[0]

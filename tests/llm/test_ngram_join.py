@@ -31,9 +31,9 @@ def corpus(seed: int, n: int = 60) -> list[str | None]:
     return out
 
 
-@pytest.mark.parametrize("seed,few", [(1, 64), (2, 0)])
-def test_components(spark, monkeypatch, seed, few):
-    monkeypatch.setattr(J, "FEW", few)
+@pytest.mark.parametrize("seed,block", [(1, 1024), (2, 2)])
+def test_components(spark, monkeypatch, seed, block):
+    monkeypatch.setattr(J, "BLOCK", block)
     texts = corpus(seed)
     df = spark.createDataFrame([(i, t, 0) for i, t in enumerate(texts)], "doc_id long, text string, n int").repartition(3)
     got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in J.similar_components(df).collect()}
@@ -58,6 +58,28 @@ def test_similar_sets_share_a_signature(level):
         assert set(sig[row == 0].tolist()) & set(sig[row == 1].tolist()), (common, left, extra)
 
 
+def test_hot_passage(spark, monkeypatch):
+    """Many sets that share a passage and little else, some of them with near copies."""
+    monkeypatch.setattr(J, "BLOCK", 5)
+    r = random.Random(11)
+    say = lambda n: [f"v{r.randrange(5000)}" for _ in range(n)]
+    passage, texts = say(60), []
+    for k in range(120):
+        base = say(r.choice([8, 20, 60, 140, 200]))
+        cut = r.randrange(len(base))
+        base[cut:cut] = passage
+        texts.append(" ".join(base))
+        if k % 5 == 0:
+            for _ in range(2):
+                copy = list(base)
+                for _ in range(max(1, len(base) // 80)):
+                    copy[r.randrange(len(copy))] = "z"
+                texts.append(" ".join(copy))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    got = {x["doc_id"]: (x["n_shingles"], x["component_id"]) for x in J.similar_components(df).collect()}
+    assert got == brute.components(dict(enumerate(texts)))
+
+
 def test_empty_and_odd_ids(spark):
     assert J.similar_components(spark.createDataFrame([], "doc_id long, text string")).count() == 0
     df = spark.createDataFrame([(1, "a b c d e f g"), (1, "a b c d e f g"), (None, "a b c d e f g"), (2, "A b c d e f g"), (3, None)], "doc_id long, text string")
