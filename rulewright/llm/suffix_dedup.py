@@ -144,25 +144,59 @@ def factors(ranks: list[tuple[int, np.ndarray]], starts: np.ndarray, later: bool
     return best
 
 
-def blocks(docs: DataFrame, m: int, gram: int) -> DataFrame:
+def without_own_copies(row: np.ndarray, a: np.ndarray, k: np.ndarray, s: np.ndarray, e: np.ndarray, m: int, first: bool) -> tuple[np.ndarray, tuple[np.ndarray, ...]]:
+    """Which blocks are left if a text's equal blocks (of a period, say) are one, and the (row, start, end) byte ranges that
+    those settle, merged."""
+    order = np.lexsort((s, k, a, row))
+    r, x, y = row[order], a[order], k[order]
+    again = np.zeros(len(order), bool)
+    again[1:] = (r[1:] == r[:-1]) & (x[1:] == x[:-1]) & (y[1:] == y[:-1])
+    twice = again.copy()
+    twice[:-1] |= again[1:]
+    left, gone = np.ones(len(order), bool), np.zeros(len(order), bool)
+    left[order], gone[order] = ~again, again if first else twice
+    r, lo, hi = row[gone], s[gone], e[gone] + m
+    order = np.lexsort((lo, r))
+    r, lo, hi = r[order], lo[order], hi[order]
+    if not len(r):
+        return left, (r, lo, hi)
+    step = np.int64(hi.max() + m + 1)  # rows laid out one after the other, so that ranges of two never meet
+    top = np.maximum.accumulate(hi + r * step)
+    new = np.ones(len(r), bool)
+    new[1:] = (lo + r * step)[1:] > top[:-1]
+    f = np.flatnonzero(new)
+    return left, (r[f], lo[f], (top - r * step)[np.append(f[1:] - 1, len(r) - 1)])
+
+
+def blocks(docs: DataFrame, m: int, gram: int, first: bool) -> DataFrame:
+    """(id, anchor, block, s, e, own): the blocks of all texts, and with ``own`` the byte ranges that a text settles alone,
+    under anchors that scatter them."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             data, offs = X.utf8(b.column(1))
             for i, j in X.pieces(offs, CHUNK):
                 row, a, k, s, e = anchors(data[offs[i] : offs[j]], offs[i : j + 1] - offs[i], m, gram)
                 if len(row):
-                    yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(row + i)), pa.array(a.view(np.int64)), pa.array(k.view(np.int64)), pa.array(s, pa.int64()), pa.array(e, pa.int64())], names=["id", "anchor", "block", "s", "e"])
+                    left, (r, lo, hi) = without_own_copies(row, a, k, s, e, m, first)
+                    scatter = X.mix(X.mix(r.astype(U)) + lo.astype(U) + a[:1])
+                    a, k = np.append(a[left], scatter), np.append(k[left], scatter)
+                    own = np.append(np.zeros(int(left.sum()), bool), np.ones(len(r), bool))
+                    row, s, e = np.append(row[left], r), np.append(s[left], lo), np.append(e[left], hi - m)
+                    yield pa.RecordBatch.from_arrays(
+                        [b.column(0).take(pa.array(row + i)), pa.array(a.view(np.int64)), pa.array(k.view(np.int64)), pa.array(s, pa.int64()), pa.array(e, pa.int64()), pa.array(own)], names=["id", "anchor", "block", "s", "e", "own"]
+                    )
 
     kind = docs.schema["id"].dataType.simpleString()
-    return docs.mapInArrow(run, f"id {kind}, anchor long, block long, s long, e long")
+    return docs.mapInArrow(run, f"id {kind}, anchor long, block long, s long, e long, own boolean")
 
 
-ALONE, EQUAL, MODEL, FIRST = 1, 2, 4, 8
+ALONE, EQUAL, MODEL, FIRST, OWN = 1, 2, 4, 8, 16
 
 
 def sorted_runs(rows: DataFrame, kind: str) -> DataFrame:
-    """rows: anchor, block, id, s, e. Adds ``flag``: ALONE (no equal block, but others of its anchor), EQUAL (its block is met
-    again), MODEL (an EQUAL one that stands for its kind where others differ), FIRST (of equal blocks, the first by id and
+    """rows: anchor, block, id, s, e, own. Adds ``flag``: ALONE (no equal block, but others of its anchor), EQUAL (its block is met
+    again), OWN (a range that its text has settled), MODEL (an EQUAL one that stands for its kind where others differ), FIRST (of equal blocks, the first by id and
     place). Blocks without company are left out. Sorted partitions are streamed: a row is known by its neighbours."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -184,7 +218,7 @@ def sorted_runs(rows: DataFrame, kind: str) -> DataFrame:
             equal = eq_p | eq_n
             model = equal & ((same_p & ~eq_p) | (same_n & ~eq_n))
             alone = ~equal & (same_p | same_n)
-            flag = ALONE * alone + EQUAL * equal + MODEL * model + FIRST * (equal & ~eq_p)
+            flag = ALONE * alone + EQUAL * equal + MODEL * model + FIRST * (equal & ~eq_p) + OWN * b.column(5).to_numpy(zero_copy_only=False)
             out = flag > 0
             cols = [b.column(i) for i in range(5)] + [pa.array(flag.astype(np.int32))]
             return pa.RecordBatch.from_arrays(cols, names=["anchor", "block", "id", "s", "e", "flag"]).filter(pa.array(out))
@@ -209,7 +243,7 @@ def sorted_runs(rows: DataFrame, kind: str) -> DataFrame:
                 yield done
 
     n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = rows.select("anchor", "block", "id", "s", "e")
+    rows = rows.select("anchor", "block", "id", "s", "e", "own")
     return rows.repartition(n, "anchor").sortWithinPartitions("anchor", "block", "id", "s").mapInArrow(run, f"anchor long, block long, id {kind}, s long, e long, flag int")
 
 
@@ -311,18 +345,18 @@ def hot_windows(rows: DataFrame, kind: str, m: int) -> DataFrame:
                 at = np.arange(len(t) - m + 1)
                 h = X.range_hash(X.prefix_hash(t), at, at + m).view(np.int64)
                 s = at + b.column(1)[i].as_py()
-                yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(h), b.column(0).take(pa.array(np.full(len(at), i))), pa.array(s, pa.int64()), pa.array(s, pa.int64())], names=["anchor", "block", "id", "s", "e"])
+                yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(h), b.column(0).take(pa.array(np.full(len(at), i))), pa.array(s, pa.int64()), pa.array(s, pa.int64()), pa.array(np.zeros(len(s), bool))], names=["anchor", "block", "id", "s", "e", "own"])
 
-    return rows.select("id", "s", "raw").mapInArrow(run, f"anchor long, block long, id {kind}, s long, e long")
+    return rows.select("id", "s", "raw").mapInArrow(run, f"anchor long, block long, id {kind}, s long, e long, own boolean")
 
 
 def removed_ranges(docs: DataFrame, work: Scratch, m: int = M, gram: int = GRAM, keep: str = "none") -> DataFrame:
     """(id, s, e): byte ranges to remove from docs (id, text); ranges may overlap."""
     kind = docs.schema["id"].dataType.simpleString()
     first = keep == "first"
-    told = work.save(sorted_runs(blocks(docs, m, gram), kind), "runs")
+    told = work.save(sorted_runs(blocks(docs, m, gram, first), kind), "runs")
     equal = told.where((F.col("flag").bitwiseAND(EQUAL) > 0) & ((F.col("flag").bitwiseAND(FIRST) == 0) if first else F.lit(True)))
-    ranges = equal.select("id", "s", (F.col("e") + m).alias("e"))
+    ranges = equal.union(told.where(F.col("flag").bitwiseAND(OWN) > 0)).select("id", "s", (F.col("e") + m).alias("e"))
     # where the first is spared, it and those alone may still have earlier copies in other blocks
     odd = told.where(F.col("flag").bitwiseAND(ALONE + MODEL + (FIRST if first else 0)) > 0)
     hot = work.save(odd.groupBy("anchor").count().where(F.col("count") > HOT).select("anchor", F.lit(True).alias("hot")), "hot")
