@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .scratch import Scratch
+from .scratch import Scratch, small
 
 
 def components(edges: DataFrame, work: Scratch) -> DataFrame:
@@ -62,4 +62,4 @@ class Components:
         """nodes (node, ...) with ``comp``; a node without an edge is its own."""
         if self.labels is None:
             return nodes.withColumn("comp", F.col("node"))
-        return nodes.join(self.labels, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+        return nodes.join(small(self.labels), "node", "left").withColumn("comp", F.coalesce("comp", "node"))

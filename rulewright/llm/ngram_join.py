@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 
 from . import textops as X
 from .graphs import Components
-from .scratch import BITMAP_BITS, Scratch, bitmap_of, has_bit, id_bit, id_bitmap
+from .scratch import BITMAP_BITS, Scratch, bitmap_of, has_bit, id_bit, id_bitmap, small
 
 U = np.uint64
 K = 5
@@ -232,8 +232,8 @@ def signed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def shared(rows: DataFrame) -> DataFrame:
-    """(sig, node, pivot) of the signatures with two nodes or more; pivot is the least. rows: sig, node. A partition is
-    sorted and streamed; a signature of any size takes no more memory than a batch."""
+    """(sig, node, pivot, more) of the signatures with two nodes or more; pivot is the least; more is false only where there are
+    just two. rows: sig, node. A partition is sorted and streamed; a signature of any size takes no more memory than a batch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last: tuple[int, int, int, bool] | None = None  # sig, node, pivot, whether the pivot's own row is out
@@ -259,15 +259,18 @@ def shared(rows: DataFrame) -> DataFrame:
             after = np.zeros(len(sig), bool)
             after[:-1] = sig[1:] == sig[:-1]
             out = ~start | after
-            cols = [sig[out], node[out], pivot[out]]
+            size = np.bincount(np.cumsum(start | (np.arange(len(sig)) == 0)) - 1)
+            more = np.repeat(size > 2, size)
+            more[(sig == sig[-1]) | (sig == sig[0])] = True  # may go on in another batch
+            cols = [sig[out], node[out], pivot[out], more[out]]
             if extra:
-                cols = [np.append(c, x) for c, x in zip(cols, extra, strict=True)]
+                cols = [np.append(c, x) for c, x in zip(cols, (*extra, True), strict=True)]
             last = (int(sig[-1]), int(node[-1]), int(pivot[-1]), bool(out[-1] or not start[-1]))
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["sig", "node", "pivot"])
+            yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in cols[:3]), pa.array(cols[3].astype(bool))], names=["sig", "node", "pivot", "more"])
 
     spark = rows.sparkSession
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    return rows.repartition(n, "sig").sortWithinPartitions("sig", "node").mapInArrow(run, "sig long, node long, pivot long")
+    return rows.repartition(n, "sig").sortWithinPartitions("sig", "node").mapInArrow(run, "sig long, node long, pivot long, more boolean")
 
 
 def shingle_sets(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -330,7 +333,7 @@ class Sets:
 
     def links(self, pairs: DataFrame, told: bool = False) -> DataFrame:
         """A stored table of the pairs that are similar enough; told: sketches have been compared."""
-        some = pairs if told else self.work.save(promising(pairs, self.brief), "promising", thin=True)
+        some = pairs if told else self.work.save(promising(pairs, self.brief), "promising")
         sets = self.of(some.select(F.col("a").alias("node")).union(some.select("b")).distinct())
         out = self.work.save(verified(some, sets), "edges", thin=True)
         self.work.drop(sets, some)
@@ -424,7 +427,7 @@ def settle(members: DataFrame, sets: Sets, graph: Components, work: Scratch, las
     returns the members (sig, node) of hot signatures. The last time, none is hot."""
     stars = work.save(members.where("node != pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct(), "stars")
     graph.add(sets.links(stars))
-    m = work.save(graph.of(members.select("sig", "node")).select("sig", "node", "comp"), "placed")
+    m = work.save(graph.of(members.where("more").select("sig", "node")).select("sig", "node", "comp"), "placed")
     open_ = m.groupBy("sig").agg(F.count("*").alias("all"), F.min("comp").alias("low"), F.max("comp").alias("high")).where("all > 2 and low != high")
     m_open = work.save(m.join(open_.select("sig", "all"), "sig"), "open")
     few = m_open if last else m_open.where(F.col("all") <= BLOCK)
@@ -540,8 +543,8 @@ def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     """The documents without those that have an earlier one in their component."""
     work = Scratch(docs.sparkSession, "ngram")
     found = work.save(similar_components(docs, id_col, text_col), "components")
-    later = found.where(F.col("component_id") != F.col(id_col)).select(id_col).distinct()
-    kept = docs.join(later, id_col, "left_anti").select(docs.columns)
+    later = work.save(found.where(F.col("component_id") != F.col(id_col)).select(id_col).distinct(), "later", thin=True)
+    kept = docs.join(small(later), id_col, "left_anti").select(docs.columns)
     if found.groupBy(id_col).count().where("count > 1").isEmpty():
         return kept
     return kept.where(F.col(id_col).isNotNull()).dropDuplicates([id_col]).union(kept.where(F.col(id_col).isNull()))

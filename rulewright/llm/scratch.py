@@ -56,6 +56,15 @@ class Scratch:
                 p.getFileSystem(conf).delete(p, True)
 
 
+#: Rows of a stored table of a few ids each up to which it is broadcast (about 32 MB in memory); beyond, joins shuffle both sides.
+SMALL_ROWS = 500_000
+
+
+def small(ids: DataFrame) -> DataFrame:
+    """A stored table of ids, marked for a broadcast if its counted rows are few enough."""
+    return F.broadcast(ids) if ids.count() <= SMALL_ROWS else ids
+
+
 #: Bits of the filter below; its size is fixed, whatever the input.
 BITMAP_BITS = 1 << 24
 

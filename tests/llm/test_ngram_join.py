@@ -91,7 +91,9 @@ def test_hot_signature_across_batches(spark):
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
     try:
         rows = spark.createDataFrame([(s, n) for s in range(5) for n in range(s * 9) for _ in range(2)] + [(99, 1)], "sig long, node long")
-        got = sorted(map(tuple, J.shared(rows).collect()))
-        assert got == sorted((s, n, 0) for s in range(1, 5) for n in range(s * 9))
+        found = J.shared(rows.union(spark.createDataFrame([(s, n) for s in range(200, 230) for n in (1, 2)], "sig long, node long"))).collect()
+        got = sorted((r["sig"], r["node"], r["pivot"]) for r in found)
+        assert got == sorted([(s, n, 0) for s in range(1, 5) for n in range(s * 9)] + [(s, n, 1) for s in range(200, 230) for n in (1, 2)])
+        assert all(r["more"] for r in found if r["sig"] < 100) and not all(r["more"] for r in found)
     finally:
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
