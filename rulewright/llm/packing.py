@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import heapq
 import re
+import struct
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -27,12 +28,12 @@ from pyspark.sql import types as T
 CAPACITY = 4096
 #: Tokens that one block holds at most (besides its last document).
 BLOCK_TOKENS = 1 << 21
-#: Cached words and parts of words; a cache starts anew beyond it.
-CACHE_WORDS, CACHE_PARTS = 400_000, 600_000
+#: Cached parts of words (about 200 bytes each); the cache starts anew beyond it.
+CACHE_PARTS = 500_000
 #: Code points for which a word's ids do not depend on its surroundings: all are in composed form, lower-cased by character, and
 #: either letters, the digits 0-9 or neither to any version of Unicode.
 PLAIN = re.compile("[\\t\\n\\r\\x20-\\x7e\\xa1-\\xb1\\xb4-\\xb8\\xba\\xbb\\xbf-\\u012f\\u0131-\\u024f]*")
-#: What the tokenizer splits a lower-cased word into, for such code points.
+#: What the tokenizer splits a lower-cased text into, for such code points.
 PARTS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|\d|(?:[^\s\w]|_)+")
 
 
@@ -47,7 +48,8 @@ class PartIds(dict):
         self.bytes = str.maketrans({c: level.pre_tokenize_str(c)[0][0] for c in map(chr, range(0xA1, 0x250))})
 
     def __missing__(self, part: str) -> bytes:
-        ids = np.array([t.id for t in self.model.tokenize(part if part.isascii() else part.translate(self.bytes))], "<u4").tobytes()
+        ids = [t.id for t in self.model.tokenize(part if part.isascii() else part.translate(self.bytes))]
+        ids = struct.pack(f"<{len(ids)}I", *ids)
         if len(part) <= 64:
             if len(self) >= CACHE_PARTS:
                 self.clear()
@@ -55,21 +57,6 @@ class PartIds(dict):
         return ids
 
 
-class WordIds(dict):
-    """Ids of lower-cased words set off by white space, as bytes."""
-
-    def __init__(self, tokenizer):
-        self.parts = PartIds(tokenizer)
-
-    def __missing__(self, word: str) -> bytes:
-        ids = b"".join(map(self.parts.__getitem__, PARTS.findall(word)))
-        if len(word) <= 64:
-            if len(self) >= CACHE_WORDS:
-                self.clear()
-            self[word] = ids
-        return ids
-
-
 class Encoder:
     """ids of texts as the tokenizer gives them, plus the closing id."""
 
@@ -78,12 +65,12 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.words, self.closing = WordIds(self.tokenizer), np.uint32(closing)
+        self.parts, self.closing = PartIds(self.tokenizer), np.uint32(closing)
 
     def __call__(self, text: str | None) -> np.ndarray:
         text = text or ""
         if PLAIN.fullmatch(text) and not any(s in text for s in self.special):
-            ids = np.frombuffer(b"".join(map(self.words.__getitem__, text.lower().split())), "<u4")
+            ids = np.frombuffer(b"".join(map(self.parts.__getitem__, PARTS.findall(text.lower()))), "<u4")
         else:
             ids = np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
         return np.append(ids, self.closing)
