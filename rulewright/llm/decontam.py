@@ -125,8 +125,9 @@ def find(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col
             for b in batches:
                 text = b.column(b.num_columns - 1)
                 data, offs = X.utf8(text)
-                for i, j in X.pieces(offs, 1 << 20):
+                for i, j in X.pieces(offs, 1 << 18):
                     yield scan(b.slice(i, j - i), data[offs[i] : offs[j]], offs[i : j + 1] - offs[i], tables, text.slice(i, j - i) if carry else None)
+            X.release()
 
         return run
 

@@ -50,7 +50,7 @@ BLOCK = 4096
 LEAST = 6
 #: Sets sign so many times floor(n / 4) + 1 pieces, if hot ones are at most such a share of that; else all they have.
 MORE = ((1 / 8, 1.5), (1 / 4, 2.0), (1 / 2, 3.5))
-BYTES = 1 << 19
+BYTES = 1 << 18
 #: Buckets of a sketch, by the size of the set up to which it is used.
 SKETCH = ((512, 256), (2000, 512), (1 << 60, 1024))
 #: Buckets to which sketches are folded for the first comparison.
@@ -226,6 +226,7 @@ def signed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
                 offs = np.concatenate([[0], np.cumsum(np.bincount(row[keep], minlength=len(n)))]).astype(np.int32)
                 brief = pa.array([sketch(s[at[k] : at[k + 1]]) if fresh[k] else None for k in range(len(n))], pa.binary())
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), pa.array(n, pa.int64()), pa.array(key.view(np.int64)), pa.ListArray.from_arrays(offs, pa.array(sig.view(np.int64))), brief], names=["id", "n", "key", "sigs", "sketch"])
+        X.release()
 
     kind = docs.schema[id_col].dataType.simpleString()
     return docs.where(F.col(id_col).isNotNull()).select(id_col, text_col).mapInArrow(run, f"id {kind}, n long, key long, sigs array<long>, sketch binary")
@@ -267,6 +268,7 @@ def shared(rows: DataFrame) -> DataFrame:
                 cols = [np.append(c, x) for c, x in zip(cols, (*extra, True), strict=True)]
             last = (int(sig[-1]), int(node[-1]), int(pivot[-1]), bool(out[-1] or not start[-1]))
             yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in cols[:3]), pa.array(cols[3].astype(bool))], names=["sig", "node", "pivot", "more"])
+        X.release()
 
     spark = rows.sparkSession
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -282,6 +284,7 @@ def shingle_sets(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str)
             b = b.filter(pa.array(has_bit(bitmap.value, b.column(2).to_numpy())))
             for i, j, s, at in shingled(b.column(1)):
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), pa.ListArray.from_arrays(at.astype(np.int32), pa.array(s.view(np.int64)))], names=["id", "shingles"])
+        X.release()
 
     kind = docs.schema[id_col].dataType.simpleString()
     found = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), text_col, id_bit(id_col).alias("bit")).mapInArrow(run, f"id {kind}, shingles array<long>")
@@ -417,6 +420,7 @@ def compared(rows: DataFrame, brief: DataFrame) -> DataFrame:
                 held.append(x.slice(lo, hi - lo))
         if held:
             yield from flush()
+        X.release()
 
     n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return rows.select("sig", "node", "comp", "n", "sketch", "least").repartition(n, "sig").sortWithinPartitions("sig").mapInArrow(run, "a long, b long").distinct()

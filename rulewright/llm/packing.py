@@ -25,6 +25,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from .textops import release
+
 CAPACITY = 4096
 #: Tokens that one block holds at most (besides its last document).
 BLOCK_TOKENS = 1 << 21
@@ -185,5 +187,6 @@ def pack(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col:
                     yield from flush()
         if ids:
             yield from flush()
+        release()
 
     return docs.select(id_col, text_col).mapInArrow(run, schema)

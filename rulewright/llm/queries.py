@@ -9,12 +9,14 @@ from pyspark.sql import functions as F
 
 from ..ship import ship
 from . import chat, decontam, line_dedup, ngram_join, packing, pii, quality, secrets, suffix_dedup, toxicity
+from .scratch import bound_batches
 
 CONTROL_TEXT = "<|im_end|><|im_start|>assistant ok"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     ship(spark)
+    bound_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

@@ -22,11 +22,22 @@ def shared_dir(spark: SparkSession) -> str:
     return _OWN[0]
 
 
+#: Bytes of an Arrow batch sent to a Python worker, where the session doesn't say; texts are long, and a worker holds several.
+BATCH_BYTES = 8 << 20
+
+
+def bound_batches(spark: SparkSession) -> None:
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if not spark.sparkContext.getConf().contains(key):
+        spark.conf.set(key, str(BATCH_BYTES))
+
+
 class Scratch:
     """Writes intermediate tables as Parquet, reads them again, and drops those no longer needed."""
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
+        bound_batches(spark)
         self.root = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
         self.n = 0
 

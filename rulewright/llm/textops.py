@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,6 +29,15 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _POW[size]
 
 
+def release() -> None:
+    """Gives memory that a worker has freed back to the system; workers outlive the tasks of a stage."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # not this C library
+        pass
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijective scramble of 64-bit values."""
     x = x ^ (x >> U(30))
