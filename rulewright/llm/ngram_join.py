@@ -15,7 +15,8 @@ Members of a signature are never paired with each other blindly:
     are compared in memory, group by group, and only pairs that may be similar leave the task, for the exact comparison;
  3. a signature with more than ``BLOCK`` members that isn't settled is hot (a passage that very many dissimilar sets share) and
     is skipped: a set that has hot pieces signs as many more, in the same order, as make up for them. Of floor(n / 4) + 1
-    pieces that aren't hot, one is as it is in the other set, too;
+    pieces that aren't hot, one is as it is in the other set, too. Hot pieces count in whatever round a set signs them; a set
+    that still has not so many others signs all its pieces, until no set lacks some for that;
  4. sets that have not so many, since three quarters or more of them are hot passages, sign with subsets of larger
     partitions (PartEnum's second level: any k2 of n2 parts may differ); the last level compares all that is left.
 Every comparison is exact, on whole sets. Equal sets (by a 64-bit hash; two of 1e9 different sets collide with a chance of 3 %)
@@ -495,20 +496,37 @@ def linked(table: DataFrame, members: DataFrame, sets: Sets, work: Scratch) -> C
     hot = settle(members, sets, graph, work)
     if not hot.count():
         return graph
-    n_hot = hot.groupBy("node").count()
     share = F.col("count") / (F.floor(F.col("n") / 4) + 1)
-    heavy = work.save(n_hot.join(sets.brief.select("node", "n"), "node").join(sets.first, F.col("node") == F.col("key")).select(F.col("first").alias("id"), share.alias("share")), "heavy", thin=True)
-    more = work.save(more_signatures(sets.docs, heavy, *sets.names), "more")
-    new = more.where("sig is not null").select("sig", "node")
-    again = work.save(shared(new.union(among(table, new)).join(hot.select("sig").distinct(), "sig", "left_anti")), "members")
-    if again.count():
-        sets.know(again.select("node"))
-        hot = hot.union(settle(again, sets, graph, work))
-    work.drop(again)
-    n_hot = hot.distinct().groupBy("node").count()
-    slack = more.where("sig is null").groupBy("node").agg(F.min("slack").alias("slack"))
-    left = work.save(n_hot.join(slack, "node", "left").where(F.col("count") > F.coalesce("slack", F.lit(-1))).select("node"), "left", thin=True)
-    work.drop(more)
+    short = work.save(hot.groupBy("node").count().join(sets.brief.select("node", "n"), "node").select("node", share.alias("share")), "short", thin=True)
+    whole = short.where(F.col("share") > MORE[-1][0]).select("node")  # have signed all their pieces
+    more: DataFrame | None = None
+    stored: list[DataFrame] = []
+    while True:
+        heavy = work.save(short.join(sets.first, F.col("node") == F.col("key")).select(F.col("first").alias("id"), "share"), "heavy", thin=True)
+        fresh = work.save(more_signatures(sets.docs, heavy, *sets.names), "more")
+        new = fresh.where("sig is not null").select("sig", "node")
+        rows = new.union(among(table, new))
+        if more is not None:
+            rows = rows.union(more.where("sig is not null").select("sig", "node").join(new.select("sig").distinct(), "sig", "left_semi"))
+        again = work.save(shared(rows.join(hot.select("sig").distinct(), "sig", "left_anti")), "members")
+        if again.count():
+            sets.know(again.select("node"))
+            hot = hot.union(settle(again, sets, graph, work))
+        work.drop(again)
+        more = fresh if more is None else more.union(fresh)
+        stored.append(fresh)
+        # every hot signature a set has signed in any round counts, also one that was hot before the set signed it
+        late = more.where("sig is not null").select("sig", "node").join(hot.select("sig").distinct(), "sig", "left_semi")
+        n_hot = hot.union(late).distinct().groupBy("node").count()
+        slack = more.where("sig is null").groupBy("node").agg(F.max("slack").alias("slack"))
+        left = work.save(n_hot.join(slack, "node", "left").where(F.col("count") > F.coalesce("slack", F.lit(-1))).select("node"), "left", thin=True)
+        # a set that is left may meet one that isn't, but only if it has signed all its pieces
+        short = work.save(left.join(whole, "node", "left_anti").withColumn("share", F.lit(1e6)), "short", thin=True)
+        if not short.count():
+            break
+        whole = whole.union(short.select("node"))
+    work.drop(*stored)
+    sets.know(left)
     for level in range(1, len(LEVELS)):
         if not left.count():
             break

@@ -97,3 +97,18 @@ def test_hot_signature_across_batches(spark):
         assert all(r["more"] for r in found if r["sig"] < 100) and not all(r["more"] for r in found)
     finally:
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_bare_passage(spark, monkeypatch):
+    """Pieces that were hot before a set signed them count as well: a passage and the passage with a fifth of own words."""
+    monkeypatch.setattr(J, "BLOCK", 8)
+    r = random.Random(5)
+    say = lambda n: [f"v{r.randrange(100_000)}" for _ in range(n)]
+    texts = []
+    for _ in range(12):
+        passage = say(36)
+        texts += [" ".join(passage + say(n)) for n in range(10, 25) for _ in range(3)]
+        texts += [" ".join(passage), *(" ".join(passage + say(n)) for n in (5, 6, 7))]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    got = {x["doc_id"]: (x["n_shingles"], x["component_id"]) for x in J.similar_components(df).collect()}
+    assert got == brute.components(dict(enumerate(texts)))
