@@ -30,6 +30,8 @@ from .textops import release
 CAPACITY = 4096
 #: Tokens that one block holds at most (besides its last document).
 BLOCK_TOKENS = 1 << 21
+#: Cheapest sequences that are tried one by one; where none has room, all are searched at once.
+TRIES = 8
 #: Cached parts of words (about 200 bytes each); the cache starts anew beyond it.
 CACHE_PARTS = 500_000
 #: Code points for which a word's ids do not depend on its surroundings: all are in composed form, lower-cased by character, and
@@ -109,37 +111,45 @@ def pack_block(lengths: list[int], capacity: int = CAPACITY, linear: float = 1.0
         left -= sizes[-1]
     room, used = list(sizes), [0] * len(sizes)
     rest.sort(key=lambda x: (-x[0], x[1], x[2]))
-    heap = [(0.0, k) for k in range(len(sizes))]  # by cost, then the sequence opened first
+    heap = [(0.0, k) for k in range(len(sizes))]  # by cost, then the sequence opened first; entries of another cost than level's are stale
+    level, space = np.zeros(len(sizes)), np.array(sizes, np.int64)
     late: list[tuple[int, int, int]] = []
 
     def put(n: int, d: int, at: int, k: int) -> None:
         out.append((d, at, n, n_seq + k, used[k]))
         used[k] += n
         room[k] -= n
+        space[k] = room[k]
+        level[k] += cost(n, linear, quadratic)
+        if room[k]:
+            heapq.heappush(heap, (float(level[k]), k))
 
     for n, d, at in rest:
-        aside, found = [], False
-        while heap and len(aside) < 64:
+        aside, found = [], -1
+        while heap and len(aside) < TRIES:
             c, k = heapq.heappop(heap)
+            if not room[k] or c != level[k]:
+                continue
             if room[k] >= n:
-                put(n, d, at, k)
-                found = True
-                if room[k]:
-                    heapq.heappush(heap, (c + cost(n, linear, quadratic), k))
+                found = k
                 break
             aside.append((c, k))
         for x in aside:
             heapq.heappush(heap, x)
-        if not found:
+        if found < 0 and len(fit := np.flatnonzero(space >= n)):
+            found = int(fit[np.argmin(level[fit])])
+        if found < 0:
             late.append((n, d, at))
+        else:
+            put(n, d, at, found)
     for n, d, at in late:  # cut to fill the cheapest gaps
         while n:
             c, k = heapq.heappop(heap)
+            if not room[k] or c != level[k]:
+                continue
             m = min(n, room[k])
             put(m, d, at, k)
             n, at = n - m, at + m
-            if room[k]:
-                heapq.heappush(heap, (c + cost(m, linear, quadratic), k))
     return out, n_seq + len(sizes)
 
 

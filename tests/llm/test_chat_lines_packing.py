@@ -107,6 +107,29 @@ def test_pack_block(seed):
         assert max(costs) <= 2 * 4096
 
 
+@pytest.mark.parametrize("seed", range(2))
+def test_pack_block_looks_at_all_sequences(seed):
+    """Each piece goes to the cheapest of all sequences with room; only one that fits nowhere is cut."""
+    lengths = np.random.default_rng(seed).lognormal(6.5, 1.2, 1900).astype(int).clip(1).tolist()
+    rest = sorted(((n % 4096, d, n - n % 4096) for d, n in enumerate(lengths) if n % 4096), key=lambda x: (-x[0], x[1]))
+    total = sum(n for n, _, _ in rest)
+    sizes = [4096] * (total // 4096) + [1 << k for k in range(11, -1, -1) if total % 4096 >> k & 1]
+    room, level = np.array(sizes), np.zeros(len(sizes))
+    want, cut = {}, set()
+    first = sum(n // 4096 for n in lengths)
+    for n, d, at in rest:
+        fit = np.flatnonzero(room >= n)
+        if not len(fit):
+            cut.add(d)
+            continue
+        k = fit[np.argmin(level[fit])]
+        want[d, at] = (n, first + k, sizes[k] - room[k])
+        room[k] -= n
+        level[k] += packing.cost(n, 1.0, 1 / 4096)
+    got = {(d, at): (n, q, off) for d, at, n, q, off in packing.pack_block(lengths)[0] if q >= first and d not in cut}
+    assert got == want and len(cut) < 100
+
+
 def test_pack_rows(spark):
     path = tokenizer()
     from tokenizers import Tokenizer
