@@ -7,7 +7,8 @@ the kind's pattern gives; a match that fails validation uses up its text.
 
 Beyond the base kinds: ``url`` is a URL that carries user information (``scheme://user:password@host``), ``account`` the
 number that follows an identifier cue (IBAN, account, SSN, passport, tax number), eight or more characters with five digits
-or more (an IBAN must pass its checksum).
+or more (an IBAN must pass its checksum). The number grows group by group, with one space or hyphen between, to the end of
+the longest run of groups that is valid.
 
 Defined results: null texts count as empty; empty texts have no spans; each row of repeated rows is answered; offsets are
 code points, ends exclusive; spans of different kinds may overlap; an empty table gives no rows; other columns are ignored.
@@ -34,7 +35,18 @@ CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 ASCII_DIGIT = re.compile(r"[0-9]")
 URL_REST = re.compile(r"[A-Za-z0-9._~%!$&'()*+,;=-]+(?::[^\s/@]*)?@[A-Za-z0-9.-]+(?::[0-9]+)?(?:/[^\s\"'<>]*)?")
-ACCOUNT = re.compile(r"(?:\s?(?:no|nr|number|num)\b\.?)?\s?[:#=]?\s?([A-Za-z]{0,4}[0-9][A-Za-z0-9 -]*[0-9])(?![A-Za-z0-9])", re.I)
+CUE_REST = re.compile(r"(?:\s?(?:no|nr|number|num)\b\.?)?\s?[:#=]?\s?", re.I)
+ACCOUNT_START = re.compile(r"[A-Za-z]{0,4}[0-9]")
+GROUP = re.compile(r"([ -]?)([A-Za-z0-9]{1,64})(?![A-Za-z0-9])")
+#: Characters of an IBAN, by country.
+IBAN_LENGTH = {
+    country: length
+    for length, countries in {
+        15: "NO", 16: "BE", 18: "DK FK FI FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV", 22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ OM SO TL",
+        24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST", 26: "IS TR", 27: "BI DJ FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HU LB NI PL SV", 29: "BR EG PS QA UA", 30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU",
+    }.items()
+    for country in countries.split()
+}
 
 
 def luhn(digits: str) -> bool:
@@ -54,6 +66,37 @@ def iban(s: str) -> bool:
     return int("".join(str(int(c, 36)) for c in s[4:] + s[:4])) % 97 == 1
 
 
+def iban_end(text: str, start: int) -> int:
+    """Where the IBAN that starts there ends, or -1: at its country's length, else at the longest run of groups that passes."""
+    length = IBAN_LENGTH.get(text[start : start + 2].upper())
+    at, chars, end = start, 0, -1
+    while chars < (length or 34) and (m := GROUP.match(text, at)) and (at > start or not m.group(1)):
+        at, chars = m.end(), chars + len(m.group(2))
+        if chars == length or not length and chars <= 34:
+            end = at if iban(text[start:at]) else end
+    return end
+
+
+def account_end(text: str, start: int) -> int:
+    """Where the number that starts there ends, or -1: the longest run of groups that is one. A group after a space has no
+    lower-case letter. One of letters only is of up to four capitals ahead of a group with digits; after a space and a
+    whole number, of one."""
+    at, digits, end = start, 0, -1
+    while digits <= 20 and at - start <= 64 and (m := GROUP.match(text, at)) and (at > start or not m.group(1)):
+        sep, group = m.groups()
+        if at > start:
+            if sep != "-" and group != group.upper():
+                break
+            if not ASCII_DIGIT.search(group):
+                ahead = GROUP.match(text, m.end())
+                if not (group.isupper() and len(group) <= 4 and ahead and ASCII_DIGIT.search(ahead.group(2))) or sep == " " and end >= 0 and len(group) > 1:
+                    break
+        at, digits = m.end(), digits + len(ASCII_DIGIT.findall(group))
+        if "0" <= text[at - 1] <= "9" and 5 <= digits <= 20 and at - start >= 8:
+            end = at
+    return end
+
+
 def automaton():
     import ahocorasick
 
@@ -113,12 +156,13 @@ def scan(text: str, anchors) -> list[tuple[int, int, int]]:
             start = end - len(word) + 1
             if start and (text[start - 1].isalnum() or text[start - 1] == "_"):
                 continue
-            if m := ACCOUNT.match(text, end + 1, end + 64):
-                value = m.group(1)
-                digits = len(ASCII_DIGIT.findall(value))
-                fine = iban(value) if word.lower() == "iban" else 5 <= digits <= 20 and len(value) >= 8
-                if fine and not (found[5] and m.start(1) < found[5][-1][1]):
-                    found[5].append(m.span(1))
+            first = CUE_REST.match(text, end + 1).end()
+            if ACCOUNT_START.match(text, first) and not (found[5] and first < found[5][-1][1]):
+                last = iban_end(text, first)
+                if last < 0 and word.lower() != "iban":
+                    last = account_end(text, first)
+                if last >= 0:
+                    found[5].append((first, last))
     return [(k, a, z) for k, spans in enumerate(found) for a, z in spans]
 
 

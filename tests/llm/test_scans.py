@@ -90,3 +90,23 @@ def test_fdr_matches_plain_procedure():
     up = sorted(10 ** (-b / secrets.PER_DECADE) for b in bins)
     plain = max((p for k, p in enumerate(up, 1) if p <= secrets.FDR * k / len(up)), default=None)
     assert plain is not None and abs(10 ** (-least / secrets.PER_DECADE) - plain) < 1e-12
+
+
+@pytest.mark.parametrize(
+    "text,number",
+    [
+        ("IBAN GB82 WEST 1234 5698 7654 32 by 12 March", "GB82 WEST 1234 5698 7654 32"),
+        ("IBAN: GB82 WEST 1234 5698 7654 32 12 March", "GB82 WEST 1234 5698 7654 32"),
+        ("IBAN GB82WEST12345698765432 " + "x" * 80, "GB82WEST12345698765432"),
+        ("IBAN GB82 WEST 1234 5698 7654 33 by 12 March", None),
+        ("IBAN MT84 MALT 0110 0001 2345 MTLC AST0 01S", "MT84 MALT 0110 0001 2345 MTLC AST0 01S"),
+        ("account 12345678 and call me before 5 pm", "12345678"),
+        ("ACCOUNT 12345678 AND CALL ME BEFORE 5 PM", "12345678"),
+        ("account no. 1234 5678 9012 3456 7890 1234", "1234 5678 9012 3456 7890"),
+        ("ssn 123-45-6789 on 3 May", "123-45-6789"),
+        ("account 1234 on 5 March 2024", None),
+    ],
+)
+def test_account_ends_where_its_groups_do(text, number):
+    spans = [text[a:z] for k, a, z in pii.scan(text, pii.automaton()) if pii.KINDS[k] == "account"]
+    assert spans == ([number] if number else [])
