@@ -10,7 +10,8 @@ The template writes a turn as ``<|im_start|>role\\ntext<|im_end|>\\n``. In texts
 becomes ``&lt;|`` (a role's line feed ``&#10;``), so that no control string can come from a text and every text can be read
 back. The loss mask covers each assistant text and nothing else, as spans in code points.
 
-Defined results: null texts, roles and scores count as empty, empty and 0; a parent that is no node of the tree makes a
+Defined results: null texts, roles and scores count as empty, empty and 0; rows of a null tree are one tree (trees are
+joined as structs, which are equal where both hold null); a parent that is no node of the tree makes a
 root; nodes whose ancestors run in a circle have no root and are left out, with their circle; equal scores are ranked by
 leaf; a node id that occurs twice in a tree is refused by the adapter below numbering rows itself; an empty table gives no
 conversations; other columns are ignored.
@@ -47,7 +48,7 @@ def unescape_role(x: Column) -> Column:
 def leaf_paths(nodes: DataFrame, work: Scratch, per_tree: int | None = None) -> DataFrame:
     """(tree, leaf, node, up, path_score) of every root-to-leaf path (the best per_tree of each tree, if told); up counts
     from the leaf. nodes: tree, node, parent, score."""
-    bare = work.save(nodes.select("tree", "node", "parent", F.coalesce("score", F.lit(0.0)).cast("double").alias("score")), "nodes")
+    bare = work.save(nodes.select(F.struct("tree").alias("tree"), "node", "parent", F.coalesce("score", F.lit(0.0)).cast("double").alias("score")), "nodes")
     known = bare.select("tree", F.col("node").alias("parent"))
     step = work.save(bare.select("tree", "node", "parent").join(known, ["tree", "parent"], "left_semi").select("tree", "node", F.col("parent").alias("anc")), "anc")
     ladder: list[DataFrame] = []
@@ -69,17 +70,17 @@ def leaf_paths(nodes: DataFrame, work: Scratch, per_tree: int | None = None) ->
         )
     paths = work.save(paths, "paths")
     if per_tree is None:
-        return paths
+        return paths.withColumn("tree", F.col("tree.tree"))
     scored = paths.join(bare.select("tree", "node", "score"), ["tree", "node"]).groupBy("tree", "leaf").agg(F.avg("score").alias("path_score"))
     best = scored.withColumn("rank", F.row_number().over(Window.partitionBy("tree").orderBy(F.desc("path_score"), "leaf"))).where(F.col("rank") <= per_tree)
-    return paths.join(best, ["tree", "leaf"])
+    return paths.join(best, ["tree", "leaf"]).withColumn("tree", F.col("tree.tree"))
 
 
 def format_paths(paths: DataFrame, messages: DataFrame) -> DataFrame:
     """One row per path: tree, leaf, n_turns, formatted, loss_spans (start, end). messages: tree, node, role, text."""
     role, text = F.coalesce("role", F.lit("")), F.coalesce("text", F.lit(""))
-    turn = paths.select("tree", "leaf", "node", "up").join(
-        messages.select("tree", "node", (role == "assistant").alias("told"), F.concat(F.lit(START), escape_role(role), F.lit("\n")).alias("head"), escape(text).alias("body")), ["tree", "node"]
+    turn = paths.select(F.struct("tree").alias("tree"), "leaf", "node", "up").join(
+        messages.select(F.struct("tree").alias("tree"), "node", (role == "assistant").alias("told"), F.concat(F.lit(START), escape_role(role), F.lit("\n")).alias("head"), escape(text).alias("body")), ["tree", "node"]
     )
     turn = turn.withColumn("piece", F.concat("head", "body", F.lit(END + "\n")))
     so_far = Window.partitionBy("tree", "leaf").orderBy(F.desc("up")).rowsBetween(Window.unboundedPreceding, 0)
@@ -87,7 +88,7 @@ def format_paths(paths: DataFrame, messages: DataFrame) -> DataFrame:
     turn = turn.select("tree", "leaf", (-F.col("up")).alias("at"), "piece", "told", start.alias("start"), (start + F.length("body")).alias("end"))
     whole = turn.groupBy("tree", "leaf").agg(F.array_sort(F.collect_list(F.struct("at", "piece", "told", "start", "end"))).alias("t"))
     return whole.select(
-        "tree",
+        F.col("tree.tree").alias("tree"),
         "leaf",
         F.size("t").cast("long").alias("n_turns"),
         F.array_join(F.transform("t", lambda x: x["piece"]), "").alias("formatted"),

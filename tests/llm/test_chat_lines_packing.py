@@ -47,6 +47,14 @@ def test_round_trip(spark):
     assert chat.format_conversations(df.where("false")).count() == 0
 
 
+def test_null_conversation(spark):
+    rows = [(None, 0, "user", "a"), (None, 1, "assistant", "b"), (1, 0, "user", "c")]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    for best in (None, 1):
+        got = {x["tree"]: x["n_turns"] for x in chat.format_conversations(df, best).collect()}
+        assert got == {None: 2, 1: 1}
+
+
 # ---- lines
 
 
