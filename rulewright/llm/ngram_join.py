@@ -1,26 +1,32 @@
 """Similarity join of documents by the Jaccard similarity of their word shingles, with PartEnum signatures.
 
-Sets with J >= 0.8 differ in at most a quarter of the smaller one's size (d <= min(a, b) / 4). Sizes are divided into bands;
-a set signs for its own band and for the next one where a partner may lie there. In a band the domain of shingle hashes
-is partitioned into pieces, and a set signs its first floor(n / 4) + 1 pieces that aren't empty: d differences leave at least
-one of these as it is in the other set, so that similar sets share a signature, whatever the data. Pieces are small enough
-that a set has as many (single shingles in bands up to 64; beyond, hashing would have to leave a set of n shingles in less
-than floor(n / 4) + 1 of n / 2 pieces, a chance far below 1e-20).
+Sets with J >= 0.8 differ in d <= min((a + b) / 9, a / 4, b / 4) shingles. Sizes are divided into bands; a set signs for its
+own band and for the next one where a partner may lie there. In a band the domain of shingle hashes is partitioned into
+pieces and each piece into ``n2`` parts. A set signs a piece with the contents that are left of it when any ``k2`` parts are
+taken away (one signature for each subset, those left empty aside), so that the piece still matches where up to k2 of its
+parts differ. To spoil all signatures of a piece, min(k2 + 1, its parts that aren't empty) differences are needed: that is
+the piece's credit. A set signs its pieces in order until their credits exceed the most d that its band allows. Of two
+similar sets, the one that stops first has a piece that isn't spoiled, and the other has signed it too. Sets whose pieces
+have not credit enough (very small ones, or by chance) also sign their first d + 1 shingles one by one, which two such
+sets have one of in common. So similar sets share a signature, whatever the data.
 
 Members of a signature are never paired with each other blindly:
- 1. each is compared with the least member, equal pairs once. Before any set is moved, sizes and counts of shingles in 256
-    to 1024 buckets are compared: how far these counts differ bounds from below how far the sets do, and rules out nearly all
-    pairs that are not similar. The links found are joined to components;
- 2. a signature whose members lie in one component is settled. In the others, the counts of members of different components
-    are compared in memory, group by group, and only pairs that may be similar leave the task, for the exact comparison;
- 3. a signature with more than ``BLOCK`` members that isn't settled is hot (a passage that very many dissimilar sets share) and
-    is skipped: a set that has hot pieces signs as many more, in the same order, as make up for them. Of floor(n / 4) + 1
-    pieces that aren't hot, one is as it is in the other set, too. Hot pieces count in whatever round a set signs them; a set
-    that still has not so many others signs all its pieces, until no set lacks some for that;
- 4. sets that have not so many, since three quarters or more of them are hot passages, sign with subsets of larger
-    partitions (PartEnum's second level: any k2 of n2 parts may differ); the last level compares all that is left.
-Every comparison is exact, on whole sets. Equal sets (by a 64-bit hash; two of 1e9 different sets collide with a chance of 3 %)
-are one node, so copies cost one row each.
+ 1. each set is compared with one member: of the least members of its signatures (the smallest set, then the least key), the
+    one that it shares most with. Before any set is moved, sizes and counts of shingles in 256 to 1024 buckets are compared:
+    how far these counts differ bounds from below how far the sets do, and rules out nearly all pairs that are not similar.
+    The links found are joined to components;
+ 2. a signature whose members lie in one component is settled. Of the others, those of two members are such pairs, too; in
+    larger ones, sketches of members of different components
+    are compared in memory, group by group; only sets that may have a partner there are brought whole to the group, compared
+    exactly, and leave no more links than connect them. The largest component of a group is streamed, the others are held;
+ 3. a signature with more than ``PAIRS`` pairs across components, or more than ``HELD`` shingles to hold, is hot (a passage that
+    very many dissimilar sets share) and is skipped: a piece with hot signatures loses its credit (or all but one), and a set
+    that has too little left signs all its pieces; so on until no set lacks some for that. Where either of two similar sets
+    has credit enough without hot signatures, they share one that is not hot;
+ 4. sets that have not, even so, meet in signatures of a second level (larger pieces of which more parts may differ). There,
+    none is skipped: the members of a hot one are dealt to blocks, and every two blocks are compared as a group of their own.
+Every comparison is exact, on whole sets of 64-bit shingle hashes. Equal sets (by a 64-bit hash; two of 1e9 different sets
+collide with a chance of 3 %) are one node, so copies cost one row each.
 
 Defined results: null and empty texts, and texts of spaces, have no shingles, link with nothing and are their own
 component; with fewer words than a shingle the whole sequence is one; repeated ids are one document; rows without an id take
@@ -29,11 +35,13 @@ no part and are kept; an empty table gives no rows; other columns are ignored.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -44,18 +52,20 @@ from .scratch import BITMAP_BITS, Scratch, bitmap_of, has_bit, id_bit, id_bitmap
 U = np.uint64
 K = 5
 SIMILAR = 80  # per cent
-SINGLE = 64  # in bands up to here, each shingle is a piece
-#: Members of a signature that are compared with each other in one task (about a second's work); more make it hot.
-BLOCK = 4096
+#: Pairs of members of different components that a signature may have (about a second's work), and shingles of all members
+#: but those of its largest component (64 MB); more make it hot.
+PAIRS, HELD = 1 << 23, 1 << 23
 #: So many of a set's least open signatures go along with it: a pair that has one of them in common is told once, under the least.
 LEAST = 6
-#: Sets sign so many times floor(n / 4) + 1 pieces, if hot ones are at most such a share of that; else all they have.
-MORE = ((1 / 8, 1.5), (1 / 4, 2.0), (1 / 2, 3.5))
+#: Members of the largest component that are compared at a time.
+STREAM = 2048
 BYTES = 1 << 18
 #: Buckets of a sketch, by the size of the set up to which it is used.
 SKETCH = ((512, 256), (2000, 512), (1 << 60, 1024))
 #: Buckets to which sketches are folded for the first comparison.
 COARSE = 64
+#: (k2, n2) of the levels: of n2 parts of a piece, any k2 may differ.
+LEVELS = ((1, 3), (2, 6))
 
 
 def band_ends(most: int = 1 << 40) -> np.ndarray:
@@ -66,94 +76,116 @@ def band_ends(most: int = 1 << 40) -> np.ndarray:
 
 
 ENDS = band_ends()
-#: (k2, n2) of the levels: of n2 parts of a piece, any k2 may differ.
-LEVELS = ((0, 1), (1, 4), (2, 6))
 
 
-def pieces_of(end: np.ndarray, k2: int) -> np.ndarray:
-    """First-level pieces of the band that ends there."""
-    if k2:
-        return np.maximum(1, end // (6 if k2 == 1 else 12))
-    return np.where(end <= SINGLE, 1 << 32, np.where(end <= 256, end // 2, end // 3))
+def pieces_of(end: np.ndarray, level: int) -> np.ndarray:
+    """Pieces of the band that ends there: 4 or 5 shingles each in its largest sets, 9 at the second level."""
+    return np.maximum(1, end // 9 if level else np.where(end <= 256, end // 4, end // 5))
 
 
-def signatures(s: np.ndarray, at: np.ndarray, level: int = 0, stretch: np.ndarray | None = None, signed_pieces: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """(row, signature) for rows of ascending shingles s[at[i]:at[i+1]]. stretch: how many times the pieces that are
-    enough without hot ones each row signs; signed_pieces: gets how many it has signed, the least of its bands."""
-    n = np.diff(at)
-    home = np.searchsorted(ENDS, n)
-    rows_out, sigs_out = [], []
-    for step in (0, 1):
-        use = (n > 0) if step == 0 else (n > 0) & (n * 100 // SIMILAR > ENDS[home])
-        r, sig = band_signatures(s, at, np.flatnonzero(use), home + step, level, stretch)
-        rows_out.append(r)
-        sigs_out.append(sig)
-        if signed_pieces is not None:
-            signed_pieces[use] = np.minimum(signed_pieces, np.bincount(r, minlength=len(n)))[use]
-    return np.concatenate(rows_out), np.concatenate(sigs_out)
-
-
-def band_signatures(s: np.ndarray, at: np.ndarray, rows: np.ndarray, band: np.ndarray, level: int, stretch: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+@dataclass(frozen=True)
+class Pieces:
+    """The pieces of some rows' sets that aren't empty, in order."""
+
+    row: np.ndarray
+    sig: np.ndarray  # a column for each subset of parts
+    some: np.ndarray  # whether anything is left of the piece then
+    credit: np.ndarray
+    before: np.ndarray  # credits of the row's pieces ahead
+    need: np.ndarray  # by row of all: what credits must come to
+    reached: np.ndarray  # by row of all: whether they do
+    single_row: np.ndarray
+    single: np.ndarray  # signatures of the first shingles
+
+
+def pieces(s: np.ndarray, at: np.ndarray, rows: np.ndarray, band: np.ndarray, own: bool, level: int) -> Pieces:
+    """Of the rows s[at[i]:at[i+1]] (ascending shingles) with i in rows, for the band band[i], own or the next one."""
     k2, n2 = LEVELS[level]
-    n = np.diff(at)
-    if not len(rows):
-        return np.zeros(0, np.int64), np.zeros(0, U)
-    if level:
-        small = rows[ENDS[band[rows]] <= SINGLE]
-        rows = rows[ENDS[band[rows]] > SINGLE]
-        r0, s0 = small_subsets(s, at, small, band, level)
+    n, total = np.diff(at), len(at) - 1
     size = n[rows]
     row = np.repeat(rows, size)
-    first = np.cumsum(size) - size
-    take = np.arange(len(row)) - np.repeat(first, size) + np.repeat(at[rows], size)
+    take = np.arange(len(row)) - np.repeat(np.cumsum(size) - size, size) + np.repeat(at[rows], size)
     x = s[take]
-    parts = pieces_of(ENDS[band], k2).astype(U)[row]
-    place = (x >> U(32)) * parts
-    piece, within = place >> U(32), place & U(0xFFFFFFFF)
+    m = X.mix(x)
+    need = n // 4
+    if own:
+        need = np.minimum(need, (n + ENDS[band]) // 9)
+    need = need + 1
+    place = (x >> U(32)) * pieces_of(ENDS[band], level).astype(U)[row]
+    piece, part = place >> U(32), ((place & U(0xFFFFFFFF)) * U(n2)) >> U(32)
     new = np.ones(len(x), bool)
     new[1:] = (piece[1:] != piece[:-1]) | (row[1:] != row[:-1])
-    g = np.flatnonzero(new)
-    g_row, g_piece = row[g], piece[g]
-    stop = np.append(g[1:], len(x))
-    salt = X.mix(X.mix(band[g_row].astype(U) * U(8) + U(level)) + g_piece)
-    if not level:
-        good = np.ones(len(g), np.int64)
-    else:  # in how many parts the piece has elements: good if any k2 may go
-        part = (within * U(n2)) >> U(32)
-        there = np.zeros(len(g), np.int64)
-        np.bitwise_or.at(there, np.cumsum(new) - 1, np.int64(1) << part.astype(np.int64))
-        good = np.array([bin(v).count("1") > k2 for v in range(1 << n2)])[there].astype(np.int64)
-    before = np.cumsum(good) - good  # good pieces ahead, from the row's first on
-    row_first = np.ones(len(g), bool)
-    row_first[1:] = g_row[1:] != g_row[:-1]
-    base = np.maximum.accumulate(np.where(row_first, before, 0))
-    enough = n[g_row] // 4 // (k2 + 1) + 1
-    keep = before - base < (enough if stretch is None else np.ceil(enough * stretch[g_row]))
-    c = np.zeros(len(x) + 1, U)
-    if not level:
-        np.cumsum(X.mix(x), out=c[1:])
-        return g_row[keep], X.mix((c[stop] - c[g]) ^ salt)[keep]
-    rows_out, sigs_out = [r0], [s0]
-    for gone in combinations(range(n2), k2):
-        left = ~np.isin(part, np.array(gone, U))
-        np.cumsum(np.where(left, X.mix(x), U(0)), out=c[1:])
-        own = c[stop] - c[g]
-        some = keep & (there & ~sum(1 << k for k in gone) != 0)
-        rows_out.append(g_row[some])
-        sigs_out.append(X.mix(X.mix(own ^ salt) + U(sum(1 << k for k in gone)))[some])
-    return np.concatenate(rows_out), np.concatenate(sigs_out)
-
-
-def small_subsets(s: np.ndarray, at: np.ndarray, rows: np.ndarray, band: np.ndarray, level: int) -> tuple[np.ndarray, np.ndarray]:
-    """Bands of single shingles: the first floor(n / 4) + 1 + level of them have level + 1 in common; all subsets of so
-    many (all of a set that has fewer)."""
-    r, out = [], []
-    for i in rows.tolist():
-        x = X.mix(s[at[i] : at[i + 1]][: (at[i + 1] - at[i]) // 4 + 1 + level])
-        idx = np.array(list(combinations(range(len(x)), min(level + 1, len(x)))))
-        out.append(X.mix(x[idx].sum(1, dtype=U) ^ X.mix(np.array([band[i] * 8 + level], U))))
-        r.append(np.full(len(idx), i))
-    return (np.concatenate(r), np.concatenate(out)) if r else (np.zeros(0, np.int64), np.zeros(0, U))
+    at_part = np.ones(len(x), bool)
+    at_part[1:] = new[1:] | (part[1:] != part[:-1])
+    g, f = np.flatnonzero(new), np.flatnonzero(at_part)
+    p_row = row[g]
+    sums = np.zeros((len(g), n2), U)
+    there = np.zeros((len(g), n2), bool)
+    if len(f):
+        k, p = np.cumsum(new)[f] - 1, part[f].astype(np.int64)
+        sums[k, p] = np.add.reduceat(m, f)
+        there[k, p] = True
+    salt = X.mix(X.mix(band[p_row].astype(U) * U(8) + U(level)) + piece[g])
+    gone = list(combinations(range(n2), k2))
+    sig, some = np.empty((len(g), len(gone)), U), np.empty((len(g), len(gone)), bool)
+    for c, out in enumerate(gone):
+        left = [i for i in range(n2) if i not in out]
+        sig[:, c] = X.mix(X.mix(sums[:, left].sum(1, dtype=U) ^ salt) + U(c + 1))
+        some[:, c] = there[:, left].any(1)
+    credit = np.minimum(k2 + 1, there.sum(1))
+    before = np.cumsum(credit) - credit
+    first = np.ones(len(g), bool)
+    first[1:] = p_row[1:] != p_row[:-1]
+    before = before - np.maximum.accumulate(np.where(first, before, 0)) if len(g) else before
+    reached = np.bincount(p_row, credit, minlength=total) >= need
+    at_single = np.arange(len(row)) - np.repeat(np.cumsum(size) - size, size) < need[row]
+    r1 = row[at_single]
+    single = X.mix(m[at_single] ^ X.mix(band[r1].astype(U) * U(8) + U(7 - level)))
+    return Pieces(p_row, sig, some, credit, before, need, reached, r1, single)
+
+
+def bands_of(n: np.ndarray) -> Iterator[tuple[bool, np.ndarray, np.ndarray]]:
+    """(own, rows, band of every row): for their own bands, and for the next ones where a partner may be."""
+    home = np.searchsorted(ENDS, n)
+    yield True, np.flatnonzero(n > 0), home
+    yield False, np.flatnonzero((n > 0) & (n * 100 // SIMILAR > ENDS[home])), home + 1
+
+
+def signatures(s: np.ndarray, at: np.ndarray, level: int = 0, whole: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """(row, signature) for rows of ascending shingles s[at[i]:at[i+1]]; whole: of all pieces and single shingles."""
+    rows, sigs = [], []
+    for own, use, band in bands_of(np.diff(at)):
+        p = pieces(s, at, use, band, own, level)
+        keep = p.some if whole else p.some & (p.before < p.need[p.row])[:, None]
+        rows.append(np.broadcast_to(p.row[:, None], keep.shape)[keep])
+        sigs.append(p.sig[keep])
+        keep = np.ones(len(p.single), bool) if whole else ~p.reached[p.single_row]
+        rows.append(p.single_row[keep])
+        sigs.append(p.single[keep])
+    return np.concatenate(rows), np.concatenate(sigs)
+
+
+ENOUGH, SIGN_ALL, LEFT = 0, 1, 2
+
+
+def standing(s: np.ndarray, hot: np.ndarray) -> int:
+    """Whether a set has credit enough without hot signatures: in the pieces that it signs first, in all of them, or not."""
+    at, worst = np.array([0, len(s)]), ENOUGH
+    for own, use, band in bands_of(np.diff(at)):
+        if not len(use):
+            continue
+        p = pieces(s, at, use, band, own, 0)
+        if not p.reached[0]:
+            if np.isin(p.single, hot).any():
+                return LEFT
+            continue
+        warm = np.isin(p.sig, hot) & p.some
+        credit = np.where(~warm.any(1), p.credit, (p.some & ~warm).any(1))
+        if credit[p.before < p.need[0]].sum() < p.need[0]:
+            if credit.sum() < p.need[0]:
+                return LEFT
+            worst = SIGN_ALL
+    return worst
 
 
 def set_keys(s: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -197,15 +229,29 @@ def apart(x: np.ndarray, y: np.ndarray) -> int:
     return int(np.abs(x.reshape(-1, k).sum(0) - y.reshape(-1, k).sum(0)).sum())
 
 
-def may_be_similar(a: list[bytes], b: list[bytes], n: np.ndarray) -> np.ndarray:
+def may_be_similar(a: pa.Array, b: pa.Array, n: np.ndarray) -> np.ndarray:
     """False where the sketches show that sets of n elements together differ in more than a ninth of n."""
-    out = np.ones(len(a), bool)
-    for i, (x, y) in enumerate(zip(a, b, strict=True)):
-        (u, u_low), (v, v_low) = counts(x), counts(y)
+    size_a, size_b = (pa.compute.binary_length(x).to_numpy() for x in (a, b))
+    out = np.ones(len(n), bool)
+    for k in np.unique(size_a[size_a == size_b]):  # sketches of one kind at once
+        at = np.flatnonzero((size_a == k) & (size_b == k))
+        (u, u_low), (v, v_low) = ((alike(X.binary_rows(x.take(pa.array(at)), int(k)))) for x in (a, b))
+        out[at] = u_low | v_low | (9 * np.abs(u - v).sum(1) <= n[at])
+    for i in np.flatnonzero(size_a != size_b):
+        (u, u_low), (v, v_low) = counts(a[i].as_py()), counts(b[i].as_py())
         out[i] = u_low or v_low or 9 * apart(u, v) <= n[i]
     return out
 
 
+def alike(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Counts of sketches of one length, a row each, and where one of them may be too low."""
+    if raw.shape[1] == SKETCH[-1][1]:
+        return raw.astype(np.int32), (raw == 255).any(1)
+    out = np.empty((len(raw), 2 * raw.shape[1]), np.int32)
+    out[:, ::2], out[:, 1::2] = raw & 15, raw >> 4
+    return out, (out == 15).any(1)
+
+
 def signed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(id, n, key, sigs, sketch); a task lists signatures and sketch of equal sets once."""
 
@@ -234,46 +280,44 @@ def signed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def shared(rows: DataFrame) -> DataFrame:
-    """(sig, node, pivot, more) of the signatures with two nodes or more; pivot is the least; more is false only where there are
-    just two. rows: sig, node. A partition is sorted and streamed; a signature of any size takes no more memory than a batch."""
+    """(sig, node, n, pivot, pivot_n) of the signatures with two nodes or more; pivot is the smallest set among them, the least
+    of equal ones. rows: sig, node, n. A partition is sorted and streamed; a signature of any size takes no more memory than
+    a batch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last: tuple[int, int, int, bool] | None = None  # sig, node, pivot, whether the pivot's own row is out
+        last: tuple[int, int, int, int, bool] | None = None  # sig, node, pivot, its size, whether the pivot's own row is out
         for b in batches:
-            sig, node = b.column(0).to_numpy(), b.column(1).to_numpy()
+            sig, node, n = (b.column(i).to_numpy() for i in range(3))
             keep = np.ones(len(sig), bool)
             keep[1:] = (sig[1:] != sig[:-1]) | (node[1:] != node[:-1])
             if last and len(sig) and (sig[0], node[0]) == last[:2]:
                 keep[0] = False
-            sig, node = sig[keep], node[keep]
+            sig, node, n = sig[keep], node[keep], n[keep]
             if not len(sig):
                 continue
             start = np.ones(len(sig), bool)
             start[1:] = sig[1:] != sig[:-1]
-            pivot = node[np.maximum.accumulate(np.where(start, np.arange(len(sig)), 0))]
+            first = np.maximum.accumulate(np.where(start, np.arange(len(sig)), 0))
+            pivot, pivot_n = node[first], n[first]
             extra = None
             if last and sig[0] == last[0]:
                 go_on = sig == sig[0]
-                pivot = np.where(go_on, last[2], pivot)
+                pivot, pivot_n = np.where(go_on, last[2], pivot), np.where(go_on, last[3], pivot_n)
                 start[0] = False
-                if not last[3]:
-                    extra = (last[0], last[2], last[2])
+                if not last[4]:
+                    extra = (last[0], last[2], last[3], last[2], last[3])
             after = np.zeros(len(sig), bool)
             after[:-1] = sig[1:] == sig[:-1]
             out = ~start | after
-            size = np.bincount(np.cumsum(start | (np.arange(len(sig)) == 0)) - 1)
-            more = np.repeat(size > 2, size)
-            more[(sig == sig[-1]) | (sig == sig[0])] = True  # may go on in another batch
-            cols = [sig[out], node[out], pivot[out], more[out]]
+            cols = [c[out] for c in (sig, node, n, pivot, pivot_n)]
             if extra:
-                cols = [np.append(c, x) for c, x in zip(cols, (*extra, True), strict=True)]
-            last = (int(sig[-1]), int(node[-1]), int(pivot[-1]), bool(out[-1] or not start[-1]))
-            yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in cols[:3]), pa.array(cols[3].astype(bool))], names=["sig", "node", "pivot", "more"])
+                cols = [np.append(c, x) for c, x in zip(cols, extra, strict=True)]
+            last = (int(sig[-1]), int(node[-1]), int(pivot[-1]), int(pivot_n[-1]), bool(out[-1] or not start[-1]))
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int32()), strict=True)], names=["sig", "node", "n", "pivot", "pivot_n"])
         X.release()
 
-    spark = rows.sparkSession
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    return rows.repartition(n, "sig").sortWithinPartitions("sig", "node").mapInArrow(run, "sig long, node long, pivot long, more boolean")
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.repartition(parts, "sig").sortWithinPartitions("sig", "n", "node").mapInArrow(run, "sig long, node long, n int, pivot long, pivot_n int")
 
 
 def shingle_sets(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -297,7 +341,7 @@ def promising(pairs: DataFrame, brief: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for x in batches:
-            ok = may_be_similar(x.column(2).to_pylist(), x.column(3).to_pylist(), x.column(4).to_numpy())
+            ok = may_be_similar(x.column(2), x.column(3), x.column(4).to_numpy())
             yield pa.RecordBatch.from_arrays([x.column(0), x.column(1)], names=["a", "b"]).filter(pa.array(ok))
 
     a = brief.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("sketch").alias("ka"))
@@ -346,7 +390,7 @@ class Sets:
 
 
 def resigned(sets: DataFrame, level: int) -> DataFrame:
-    """(sig, node) of a higher level."""
+    """(sig, node, n) of a higher level."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -356,187 +400,285 @@ def resigned(sets: DataFrame, level: int) -> DataFrame:
                 at = part.offsets.to_numpy().astype(np.int64)
                 s = part.values.to_numpy().view(U)[at[0] : at[-1]]
                 row, sig = signatures(s, at - at[0], level)
-                yield pa.RecordBatch.from_arrays([pa.array(sig.view(np.int64)), pa.array(node[k : k + 256][row])], names=["sig", "node"])
+                yield told(sig, node[k : k + 256][row], np.diff(at)[row])
+
+    return sets.select("node", "shingles").mapInArrow(run, "sig long, node long, n int")
+
 
-    return sets.select("node", "shingles").mapInArrow(run, "sig long, node long")
+def told(sig: np.ndarray, node: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(sig.view(np.int64)), pa.array(node), pa.array(n.astype(np.int32))], names=["sig", "node", "n"])
 
 
-def compared(rows: DataFrame, brief: DataFrame) -> DataFrame:
-    """(a, b) of the pairs that share a signature, lie in different components and may be similar. rows: sig, node, comp of
-    all open signatures that aren't hot; brief: node, n, sketch. All rows of a signature are held at a time."""
-    least = rows.groupBy("node").agg(F.slice(F.array_sort(F.collect_set("sig")), 1, LEAST).alias("least"))
-    rows = rows.join(brief.join(least, "node"), "node")
+@dataclass
+class Members:
+    """Some members of a signature, by size."""
 
-    none = np.iinfo(np.int64).max
+    node: np.ndarray
+    comp: np.ndarray
+    n: np.ndarray
+    what: list  # sketches or sets
+    least: np.ndarray
+    fine: np.ndarray
+    coarse: np.ndarray
+    low: np.ndarray
 
-    def group(sig: int, node: np.ndarray, comp: np.ndarray, n: np.ndarray, brief: list[bytes], first: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
-        order = np.argsort(n, kind="stable")
-        least = np.full((len(order), LEAST), none)
-        for k, o in enumerate(order):
-            least[k, : len(first[o])] = first[o]
-        node, comp, n = node[order], comp[order], n[order]
-        told = [counts(brief[k]) for k in order]
-        low = np.array([x for _, x in told])
+    @classmethod
+    def of(cls, t: pa.Table, whole: bool) -> Members:
+        t = t.take(pa.array(np.argsort(t["n"].to_numpy(), kind="stable")))
         k1 = SKETCH[0][1]
-        fine = np.array([x.reshape(-1, k1).sum(0) for x, _ in told], np.int16)
-        coarse = fine.reshape(len(fine), -1, COARSE).sum(1, dtype=np.int16)
-        top = np.searchsorted(n, n * 100 // SIMILAR, "right")  # partners of at least that size
-        out_a, out_b = [], []
-        for i in range(len(node)):
-            j = np.arange(i + 1, top[i])
-            j = j[comp[j] != comp[i]]
-            for x in (coarse, fine):
-                if len(j):
-                    j = j[(9 * np.abs(x[j] - x[i]).sum(1, dtype=np.int64) <= n[j] + n[i]) | low[j] | low[i]]
-            if len(j) and len(told[i][0]) > k1:
-                j = j[[low[k] or low[i] or 9 * apart(told[i][0], told[k][0]) <= n[k] + n[i] for k in j]]
+        if whole:
+            what = [x.values.to_numpy().view(U) for x in t["what"]]
+            fine = np.array([np.bincount((x & U(k1 - 1)).astype(np.int64), minlength=k1) for x in what], np.int32)
+            low = np.zeros(len(what), bool)
+        else:
+            what = [counts(x.as_py()) for x in t["what"]]
+            fine = np.array([x.reshape(-1, k1).sum(0) for x, _ in what], np.int32)
+            low = np.array([x for _, x in what])
+        least = np.full((len(what), LEAST), NONE)
+        for i, x in enumerate([] if whole else t["least"].to_pylist()):
+            least[i, : len(x)] = x
+        return cls(t["node"].to_numpy(), t["comp"].to_numpy(), t["n"].to_numpy().astype(np.int64), what, least, fine, fine.reshape(len(fine), -1, COARSE).sum(1), low)
+
+    def partners(self, i: int, other: Members) -> np.ndarray:
+        """Members of other that may be similar to one of these: of another component, near enough by size and by sketches."""
+        n = self.n[i]
+        j = np.arange(np.searchsorted(other.n, -(-n * SIMILAR // 100)), np.searchsorted(other.n, n * 100 // SIMILAR, "right"))
+        if other is self:
+            j = j[j > i]
+        j = j[other.comp[j] != self.comp[i]]
+        for x, y in ((self.coarse, other.coarse), (self.fine, other.fine)):
             if len(j):
-                both = (least[j][:, :, None] == least[i][None, None, :]).any(2) & (least[j] != none)
-                under = np.where(both, least[j], none).min(1)
-                j = j[(under == sig) | (under == none)]
-            out_a.append(np.full(len(j), node[i]))
-            out_b.append(node[j])
-        a, b = np.concatenate(out_a), np.concatenate(out_b)
-        return np.minimum(a, b), np.maximum(a, b)
+                j = j[(9 * np.abs(y[j] - x[i]).sum(1) <= other.n[j] + n) | other.low[j] | self.low[i]]
+        return j
+
+
+NONE = np.iinfo(np.int64).max
+
+
+def groups(batches: Iterator[pa.RecordBatch], whole: bool, meet: Callable[[int, Members, Members], Iterator[pa.RecordBatch]], close: Callable[[], Iterator[pa.RecordBatch]]) -> Iterator[pa.RecordBatch]:
+    """Streams rows (sig, top, node, comp, n, what, least), sorted by sig and top, and hands over members that are to be compared:
+    those that aren't of a signature's top component with each other, and with those that are."""
+    sig, small, held = None, [], None
+
+    def hold() -> Iterator[pa.RecordBatch]:
+        nonlocal held, small
+        if held is None and small:
+            held, small = Members.of(pa.concat_tables(small), whole), []
+            yield from meet(sig, held, held)
+
+    for b in batches:
+        t = pa.Table.from_batches([b])
+        s, top = b.column(0).to_numpy(), b.column(1).to_numpy(zero_copy_only=False)
+        cut = np.flatnonzero((s[1:] != s[:-1]) | (top[1:] != top[:-1])) + 1
+        for lo, hi in zip(np.append(0, cut).tolist(), np.append(cut, len(s)).tolist(), strict=True):
+            if lo == hi:
+                continue
+            if s[lo] != sig:
+                yield from hold()
+                yield from close()
+                sig, small, held = s[lo], [], None
+            if not top[lo]:
+                small.append(t.slice(lo, hi - lo))
+                continue
+            yield from hold()
+            for k in range(lo, hi if held else lo, STREAM):
+                yield from meet(sig, held, Members.of(t.slice(k, min(STREAM, hi - k)), whole))
+    yield from hold()
+    yield from close()
+
+
+def dealt(rows: DataFrame) -> DataFrame:
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.select("sig", "top", "node", "comp", "n", "what", "least").repartition(n, "sig").sortWithinPartitions("sig", "top")
+
+
+def hopeful(rows: DataFrame) -> DataFrame:
+    """(sig, node) of members that may be similar to one of another component, as far as sketches tell; a pair counts under
+    its least signature. rows: sig, top, node, comp, n, what (sketch), least."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
+        ready: list[tuple[int, np.ndarray]] = []
 
-        def flush() -> Iterator[pa.RecordBatch]:
-            t = pa.Table.from_batches(held)
-            held.clear()
-            node, comp, n = (t.column(k).to_numpy() for k in (1, 2, 3))
-            a, b = group(t.column(0)[0].as_py(), node, comp, n, t.column(4).to_pylist(), t.column(5).to_pylist())
-            if len(a):
-                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+        def meet(sig: int, a: Members, b: Members) -> Iterator[pa.RecordBatch]:
+            for i in range(len(a.node)):
+                j = a.partners(i, b)
+                if len(j) and len(a.what[i][0]) > SKETCH[0][1]:
+                    j = j[[b.low[k] or a.low[i] or 9 * apart(a.what[i][0], b.what[k][0]) <= b.n[k] + a.n[i] for k in j]]
+                if len(j):
+                    both = (b.least[j][:, :, None] == a.least[i][None, None, :]).any(2) & (b.least[j] != NONE)
+                    under = np.where(both, b.least[j], NONE).min(1)
+                    j = j[(under == sig) | (under == NONE)]
+                if len(j):
+                    ready.append((sig, np.append(b.node[j], a.node[i])))
+            if len(ready) > 1000:
+                yield from out()
+
+        def out() -> Iterator[pa.RecordBatch]:
+            if ready:
+                sig = np.concatenate([np.full(len(x), s, np.int64) for s, x in ready])
+                node = np.concatenate([x for _, x in ready])
+                ready.clear()
+                both = np.unique(np.stack([sig, node]), axis=1)
+                yield pa.RecordBatch.from_arrays([pa.array(both[0]), pa.array(both[1])], names=["sig", "node"])
+
+        yield from groups(batches, False, meet, lambda: iter(()))
+        yield from out()
+        X.release()
 
-        for x in batches:
-            sig = x.column(0).to_numpy()
-            cut = np.flatnonzero(sig[1:] != sig[:-1]) + 1
-            for lo, hi in zip(np.append(0, cut).tolist(), np.append(cut, len(sig)).tolist(), strict=True):
-                if lo == hi:
-                    continue
-                if held and held[0].column(0)[0].as_py() != sig[lo]:
-                    yield from flush()
-                held.append(x.slice(lo, hi - lo))
-        if held:
-            yield from flush()
+    return dealt(rows).mapInArrow(run, "sig long, node long").distinct()
+
+
+def connected(rows: DataFrame) -> DataFrame:
+    """(a, b) of similar members of different components, no more than connect what is similar within each signature. rows: sig,
+    top, node, comp, n, what (shingles), least."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        up: dict[int, int] = {}
+
+        def root(c: int) -> int:
+            while (d := up.get(c, c)) != c:
+                up[c] = c = up.get(d, d)
+            return c
+
+        def meet(sig: int, a: Members, b: Members) -> Iterator[pa.RecordBatch]:
+            found = []
+            for i in range(len(a.node)):
+                x, ca = a.what[i], int(a.comp[i])
+                for j in a.partners(i, b).tolist():
+                    if (ra := root(ca)) != (rb := root(int(b.comp[j]))):
+                        y = b.what[j]
+                        k = np.searchsorted(y, x)
+                        common = int((y[np.minimum(k, len(y) - 1)] == x).sum())
+                        if 100 * common >= SIMILAR * (len(x) + len(y) - common):
+                            up[ra] = rb
+                            found.append((a.node[i], b.node[j]))
+            if found:
+                e = np.array(found, np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(e.min(1)), pa.array(e.max(1))], names=["a", "b"])
+
+        def close() -> Iterator[pa.RecordBatch]:
+            up.clear()
+            return iter(())
+
+        yield from groups(batches, True, meet, close)
         X.release()
 
-    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return rows.select("sig", "node", "comp", "n", "sketch", "least").repartition(n, "sig").sortWithinPartitions("sig").mapInArrow(run, "a long, b long").distinct()
+    return dealt(rows).mapInArrow(run, "a long, b long").distinct()
 
 
 def settle(members: DataFrame, sets: Sets, graph: Components, work: Scratch, last: bool = False) -> DataFrame:
-    """Adds edges to the graph that connect whatever members (sig, node, pivot) of signatures that aren't hot connect, and
-    returns the members (sig, node) of hot signatures. The last time, none is hot."""
-    stars = work.save(members.where("node != pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct(), "stars")
-    graph.add(sets.links(stars))
-    m = work.save(graph.of(members.where("more").select("sig", "node")).select("sig", "node", "comp"), "placed")
-    open_ = m.groupBy("sig").agg(F.count("*").alias("all"), F.min("comp").alias("low"), F.max("comp").alias("high")).where("all > 2 and low != high")
-    m_open = work.save(m.join(open_.select("sig", "all"), "sig"), "open")
-    few = m_open if last else m_open.where(F.col("all") <= BLOCK)
-    pairs = work.save(compared(few.select("sig", "node", "comp"), sets.brief).join(stars, ["a", "b"], "left_anti"), "pairs", thin=True)
-    if pairs.count():
-        graph.add(sets.links(pairs, told=True))
-    hot = work.save(m_open.where((F.col("all") > BLOCK) & F.lit(not last)).select("sig", "node"), "hot", thin=True)
-    work.drop(m, m_open, pairs, stars)
+    """Adds edges to the graph that connect whatever members (as ``shared`` gives them) of signatures that aren't hot connect,
+    and returns the members (sig, node) of hot signatures. The last time, none is hot."""
+    near = members.where("node != pivot").groupBy("node", "pivot").agg(F.count("*").alias("times"), F.min("pivot_n").alias("pivot_n"))
+    near = work.save(near, "near")
+    best = near.groupBy("node").agg(F.max(F.struct("times", (-F.col("pivot_n")).alias("size"), F.col("pivot"))).alias("best"))
+    graph.add(sets.links(work.save(best.select(F.col("best.pivot").alias("a"), F.col("node").alias("b")), "best")))
+    work.drop(near)
+    m = work.save(graph.of(members.select("sig", "node", "n")).select("sig", "node", "n", "comp"), "placed")
+    size = m.groupBy("sig", "comp").agg(F.count("*").alias("c"), F.max("n").alias("n"))
+    open_ = size.groupBy("sig").agg(F.sum("c").alias("all"), F.sum(F.col("c") * F.col("c")).alias("same"), F.max(F.struct("c", "comp")).alias("top"), F.max("n").cast("long").alias("most"), F.count("*").alias("comps"))
+    open_ = open_.where("comps > 1").select("sig", "all", F.col("top.comp").alias("top_comp"), ((F.col("all") * F.col("all") - F.col("same")) / 2 / PAIRS).alias("pairs"), ((F.col("all") - F.col("top.c")) * F.col("most") / HELD).alias("held"))
+    placed = m_open = work.save(m.join(open_, "sig").select("sig", "node", "n", "comp", (F.col("comp") == F.col("top_comp")).alias("top"), F.greatest("pairs", "held").alias("load"), "pairs", "held", "all"), "open")
+    two = m_open.where("all = 2").groupBy("sig").agg(F.min("node").alias("a"), F.max("node").alias("b")).select("a", "b").distinct()
+    graph.add(sets.links(work.save(two, "two", thin=True)))
+    m_open = m_open.where("all > 2")
+    hot = work.save(m_open.where((F.col("load") > 1) & F.lit(not last)).select("sig", "node"), "hot", thin=True)
+    few = m_open.where(F.col("load") <= 1).select("sig", "top", "node", "comp", "n")
+    least = few.groupBy("node").agg(F.slice(F.array_sort(F.collect_set("sig")), 1, LEAST).alias("least"))
+    few = few.join(least, "node")
+    if last:  # members of a hot signature in blocks, a group for every two of them
+        blocks = F.ceil(2 * F.greatest(F.sqrt("pairs"), "held"))
+        own = F.pmod(F.xxhash64("node", F.lit(7)), blocks)
+        cells = m_open.where(F.col("load") > 1).withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)))
+        few = few.union(cells.select("node", F.xxhash64("sig", F.least("own", "other"), F.greatest("own", "other")).alias("sig"), "top", "comp", "n", F.array().cast("array<bigint>").alias("least")).select(few.columns))
+    few = work.save(few, "few")
+    if not few.isEmpty():
+        sketches = few.join(sets.brief.select("node", F.col("sketch").alias("what")), "node")
+        some = work.save(hopeful(sketches), "hopeful", thin=True)
+        if not some.isEmpty():
+            own = sets.of(some.select("node").distinct())
+            edges = connected(few.join(some, ["sig", "node"]).join(own.select("node", F.col("shingles").alias("what")), "node"))
+            edges = work.save(edges, "edges", thin=True)
+            graph.add(edges)
+            work.drop(own)
+        work.drop(some)
+    work.drop(m, placed, few)
     work.sweep()
     return hot
 
 
-def more_signatures(docs: DataFrame, heavy: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(sig, node, slack) of the sets with hot pieces, heavy: (id, share). Of each set, one row without a signature says how
-    many of the pieces signed may be hot (slack)."""
-    sc = docs.sparkSession.sparkContext
-    low, told = 0.0, []
-    for top, times in (*MORE, (1e9, 1e9)):
-        told.append((times, sc.broadcast(id_bitmap(heavy.where((F.col("share") > low) & (F.col("share") <= top)), "id"))))
-        low = top
+def more_signatures(sets: DataFrame, hot: DataFrame) -> DataFrame:
+    """(sig, node, n) of all that sets (node, shingles) with hot signatures, hot: (node, sigs), sign where those that they sign
+    first lack credit; a row without a signature where all lack it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            bits = b.column(2).to_numpy()
-            times = np.zeros(len(bits))
-            for t, bitmap in told:
-                times = np.where(has_bit(bitmap.value, bits), t, times)
-            some = times > 0
-            b, times = b.filter(pa.array(some)), times[some]
-            for i, j, s, at in shingled(b.column(1)):
-                n = np.diff(at)
-                count = np.full(len(n), 1 << 60)
-                row, sig = signatures(s, at, 0, times[i:j], count)
-                key = set_keys(s, at).view(np.int64)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.append(sig.view(np.int64), np.zeros(len(n), np.int64)), mask=np.append(np.zeros(len(sig), bool), np.ones(len(n), bool))), pa.array(np.append(key[row], key)), pa.array(np.append(np.zeros(len(sig), np.int64), count - n // 4 - 1))],
-                    names=["sig", "node", "slack"],
-                )
+            for node, own, hot in zip(b.column(0).to_pylist(), b.column(1), b.column(2), strict=True):
+                s = own.values.to_numpy().view(U)
+                how = standing(s, hot.values.to_numpy().view(U))
+                if how == ENOUGH:
+                    continue
+                _, sig = signatures(s, np.array([0, len(s)]), 0, True)
+                sig = pa.array(np.append(sig.view(np.int64), 0), mask=np.append(np.zeros(len(sig), bool), True))
+                sig = sig if how == LEFT else sig.slice(0, len(sig) - 1)
+                yield pa.RecordBatch.from_arrays([sig, pa.array(np.full(len(sig), node, np.int64)), pa.array(np.full(len(sig), len(s), np.int32))], names=["sig", "node", "n"])
+        X.release()
 
-    return docs.where(F.col(id_col).isNotNull()).select(id_col, text_col, id_bit(id_col).alias("bit")).mapInArrow(run, "sig long, node long, slack long")
+    return sets.join(hot, "node").select("node", "shingles", "sigs").mapInArrow(run, "sig long, node long, n int")
 
 
 def among(table: DataFrame, sigs: DataFrame) -> DataFrame:
-    """(sig, node) of the first signing of all sets, as far as they may be among the signatures (no wanted one is missing)."""
+    """(sig, node, n) of the first signing of all sets, as far as they may be among the signatures (no wanted one is missing)."""
     bit = F.col("sig").bitwiseAND(BITMAP_BITS - 1)
     bitmap = table.sparkSession.sparkContext.broadcast(bitmap_of(sigs.select(bit.alias("bit"))))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            sig, at = b.column(0).flatten().to_numpy(), b.column(0).offsets.to_numpy()
-            node = np.repeat(b.column(1).to_numpy(), np.diff(at))
+            sig, size = b.column(0).flatten().to_numpy(), np.diff(b.column(0).offsets.to_numpy())
             ok = has_bit(bitmap.value, sig & (BITMAP_BITS - 1))
-            yield pa.RecordBatch.from_arrays([pa.array(sig[ok]), pa.array(node[ok])], names=["sig", "node"])
+            yield told(sig[ok], np.repeat(b.column(1).to_numpy(), size)[ok], np.repeat(b.column(2).to_numpy(), size)[ok])
 
-    return table.where(F.size("sigs") > 0).select("sigs", F.col("key").alias("node")).mapInArrow(run, "sig long, node long")
+    return table.where(F.size("sigs") > 0).select("sigs", F.col("key").alias("node"), "n").mapInArrow(run, "sig long, node long, n int")
 
 
 def linked(table: DataFrame, members: DataFrame, sets: Sets, work: Scratch) -> Components:
     """The components of all similar sets."""
     graph = Components(work)
     hot = settle(members, sets, graph, work)
-    if not hot.count():
+    if hot.isEmpty():
         return graph
-    share = F.col("count") / (F.floor(F.col("n") / 4) + 1)
-    short = work.save(hot.groupBy("node").count().join(sets.brief.select("node", "n"), "node").select("node", share.alias("share")), "short", thin=True)
-    whole = short.where(F.col("share") > MORE[-1][0]).select("node")  # have signed all their pieces
-    more: DataFrame | None = None
-    stored: list[DataFrame] = []
+    everything: DataFrame | None = None  # all signatures of the sets that sign all
     while True:
-        heavy = work.save(short.join(sets.first, F.col("node") == F.col("key")).select(F.col("first").alias("id"), "share"), "heavy", thin=True)
-        fresh = work.save(more_signatures(sets.docs, heavy, *sets.names), "more")
-        new = fresh.where("sig is not null").select("sig", "node")
-        rows = new.union(among(table, new))
-        if more is not None:
-            rows = rows.union(more.where("sig is not null").select("sig", "node").join(new.select("sig").distinct(), "sig", "left_semi"))
+        own = hot if everything is None else hot.union(everything.join(hot.select("sig").distinct(), "sig", "left_semi").select("sig", "node"))
+        by_node = work.save(own.groupBy("node").agg(F.collect_set("sig").alias("sigs")), "by_node")
+        whole = sets.of(by_node.select("node"))
+        told_ = work.save(more_signatures(whole, by_node), "more")
+        work.drop(whole, by_node)
+        fresh = told_.where("sig is not null")
+        left = told_.where("sig is null").select("node").distinct()
+        if everything is not None:
+            fresh = fresh.join(everything.select("node").distinct(), "node", "left_anti")
+        if fresh.isEmpty():
+            break
+        fresh = work.save(fresh, "fresh")
+        rows = fresh.union(among(table, fresh))
+        if everything is not None:
+            rows = rows.union(everything.join(fresh.select("sig").distinct(), "sig", "left_semi").select(fresh.columns))
         again = work.save(shared(rows.join(hot.select("sig").distinct(), "sig", "left_anti")), "members")
-        if again.count():
+        everything = fresh if everything is None else everything.union(fresh)
+        work.drop(told_)
+        if not again.isEmpty():
             sets.know(again.select("node"))
             hot = hot.union(settle(again, sets, graph, work))
         work.drop(again)
-        more = fresh if more is None else more.union(fresh)
-        stored.append(fresh)
-        # every hot signature a set has signed in any round counts, also one that was hot before the set signed it
-        late = more.where("sig is not null").select("sig", "node").join(hot.select("sig").distinct(), "sig", "left_semi")
-        n_hot = hot.union(late).distinct().groupBy("node").count()
-        slack = more.where("sig is null").groupBy("node").agg(F.max("slack").alias("slack"))
-        left = work.save(n_hot.join(slack, "node", "left").where(F.col("count") > F.coalesce("slack", F.lit(-1))).select("node"), "left", thin=True)
-        # a set that is left may meet one that isn't, but only if it has signed all its pieces
-        short = work.save(left.join(whole, "node", "left_anti").withColumn("share", F.lit(1e6)), "short", thin=True)
-        if not short.count():
-            break
-        whole = whole.union(short.select("node"))
-    work.drop(*stored)
-    sets.know(left)
-    for level in range(1, len(LEVELS)):
-        if not left.count():
-            break
+    left = work.save(left, "left", thin=True)
+    if not left.isEmpty():
+        sets.know(left)
         own = sets.of(left)
-        again = work.save(shared(resigned(own, level)), "members")
+        again = work.save(shared(resigned(own, 1)), "members")
         work.drop(own)
-        if not again.count():
-            break
-        hot = settle(again, sets, graph, work, last=level == len(LEVELS) - 1)
-        left = work.save(hot.select("node").distinct(), "left", thin=True)
+        if not again.isEmpty():
+            settle(again, sets, graph, work, last=True)
     return graph
 
 
@@ -545,7 +687,7 @@ def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     work = Scratch(docs.sparkSession, "ngram")
     table = work.save(signed(docs, id_col, text_col), "signed")
     thin = table.where("n > 0").select("id", "key")
-    members = work.save(shared(table.select(F.explode("sigs").alias("sig"), F.col("key").alias("node"))), "members")
+    members = work.save(shared(table.select(F.explode("sigs").alias("sig"), F.col("key").alias("node"), F.col("n").cast("int").alias("n"))), "members")
     first = thin.groupBy("key").agg(F.min("id").alias("first"))
     names = first.withColumn("comp", F.col("key"))
     if not members.isEmpty():

@@ -60,6 +60,12 @@ def utf8(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[offs[0] : offs[-1]], offs - offs[0]
 
 
+def binary_rows(col: pa.Array, size: int) -> np.ndarray:
+    """The bytes of a binary column of values of one size, a row each."""
+    data = utf8(col)[0]
+    return data.reshape(len(col), size)
+
+
 def pieces(offs: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
     """Row ranges of at most so many bytes each; a longer row is a range of its own."""
     i, n = 0, len(offs) - 1

@@ -31,9 +31,9 @@ def corpus(seed: int, n: int = 60) -> list[str | None]:
     return out
 
 
-@pytest.mark.parametrize("seed,block", [(1, 1024), (2, 2)])
-def test_components(spark, monkeypatch, seed, block):
-    monkeypatch.setattr(J, "BLOCK", block)
+@pytest.mark.parametrize("seed,pairs", [(1, J.PAIRS), (2, 1), (3, 6)])
+def test_components(spark, monkeypatch, seed, pairs):
+    monkeypatch.setattr(J, "PAIRS", pairs)
     texts = corpus(seed)
     df = spark.createDataFrame([(i, t, 0) for i, t in enumerate(texts)], "doc_id long, text string, n int").repartition(3)
     got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in J.similar_components(df).collect()}
@@ -60,7 +60,7 @@ def test_similar_sets_share_a_signature(level):
 
 def test_hot_passage(spark, monkeypatch):
     """Many sets that share a passage and little else, some of them with near copies."""
-    monkeypatch.setattr(J, "BLOCK", 5)
+    monkeypatch.setattr(J, "PAIRS", 12)
     r = random.Random(11)
     say = lambda n: [f"v{r.randrange(5000)}" for _ in range(n)]
     passage, texts = say(60), []
@@ -87,21 +87,62 @@ def test_empty_and_odd_ids(spark):
     assert kept == [-1, 1, 3]
 
 
-def test_hot_signature_across_batches(spark):
+def test_signature_across_batches(spark):
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
     try:
-        rows = spark.createDataFrame([(s, n) for s in range(5) for n in range(s * 9) for _ in range(2)] + [(99, 1)], "sig long, node long")
-        found = J.shared(rows.union(spark.createDataFrame([(s, n) for s in range(200, 230) for n in (1, 2)], "sig long, node long"))).collect()
-        got = sorted((r["sig"], r["node"], r["pivot"]) for r in found)
-        assert got == sorted([(s, n, 0) for s in range(1, 5) for n in range(s * 9)] + [(s, n, 1) for s in range(200, 230) for n in (1, 2)])
-        assert all(r["more"] for r in found if r["sig"] < 100) and not all(r["more"] for r in found)
+        rows = [(s, n, 50 - n) for s in range(5) for n in range(s * 9) for _ in range(2)] + [(99, 1, 3)] + [(s, n, 7) for s in range(200, 230) for n in (1, 2)]
+        found = J.shared(spark.createDataFrame(rows, "sig long, node long, n int")).collect()
+        got = sorted((r["sig"], r["node"], r["pivot"], r["pivot_n"]) for r in found)
+        assert got == sorted([(s, n, s * 9 - 1, 51 - s * 9) for s in range(1, 5) for n in range(s * 9)] + [(s, n, 1, 7) for s in range(200, 230) for n in (1, 2)])
     finally:
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
 
 
+def test_credit_counts_what_spoils_a_piece():
+    """No fewer differences than a piece's credit take away all its signatures (every set of changed shingles is tried)."""
+    from itertools import combinations
+
+    r = np.random.default_rng(3)
+    for level in range(len(J.LEVELS)):
+        s = np.sort(r.integers(0, 1 << 63, 30, dtype=np.uint64) * np.uint64(2))
+        at, use, band = np.array([0, len(s)]), np.array([0]), np.array([int(np.searchsorted(J.ENDS, len(s)))])
+        p = J.pieces(s, at, use, band, True, level)
+        for gone in combinations(range(len(s)), 2):
+            t = np.delete(s, gone)
+            q = J.pieces(t, np.array([0, len(t)]), use, band, True, level)
+            kept = set(q.sig[q.some].tolist())
+            spoiled = [i for i in range(len(p.row)) if not kept & set(p.sig[i][p.some[i]].tolist())]
+            assert p.credit[spoiled].sum() <= len(gone)
+
+
+def near_threshold(n, changed, words=200, seed=1):
+    r = random.Random(seed)
+    base = [f"v{r.randrange(5000)}" for _ in range(words)]
+    out = []
+    for _ in range(n):
+        copy = list(base)
+        for _ in range(changed):
+            copy[r.randrange(words)] = f"z{r.randrange(100_000)}"
+        out.append(" ".join(copy))
+    return out
+
+
+@pytest.mark.parametrize("changed", [1, 2, 3])
+def test_pairs_follow_the_members(spark, monkeypatch, changed):
+    """Near copies whose likeness lies about the threshold: the pairs that leave a task stay in proportion to the members."""
+    given = []
+    links = J.Sets.links
+    monkeypatch.setattr(J.Sets, "links", lambda self, pairs, *a: (given.append(pairs.count()), links(self, pairs, *a))[1])
+    texts = near_threshold(300, changed)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    got = {x["doc_id"]: (x["n_shingles"], x["component_id"]) for x in J.similar_components(df).collect()}
+    assert got == brute.components(dict(enumerate(texts)))
+    assert sum(given) <= 2 * len(texts)
+
+
 def test_bare_passage(spark, monkeypatch):
     """Pieces that were hot before a set signed them count as well: a passage and the passage with a fifth of own words."""
-    monkeypatch.setattr(J, "BLOCK", 8)
+    monkeypatch.setattr(J, "HELD", 400)
     r = random.Random(5)
     say = lambda n: [f"v{r.randrange(100_000)}" for _ in range(n)]
     texts = []
