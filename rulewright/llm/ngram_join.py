@@ -21,9 +21,10 @@ Members of a signature are never paired with each other blindly:
     exactly, and leave no more links than connect them. The largest component of a group is streamed, the others are held;
  3. a signature with more than ``PAIRS`` pairs across components, or more than ``HELD`` shingles to hold, is hot (a passage that
     very many dissimilar sets share) and is skipped: a piece with hot signatures loses its credit (or all but one), and a set
-    that has too little left signs all its pieces; so on until no set lacks some for that. Where either of two similar sets
-    has credit enough without hot signatures, they share one that is not hot;
- 4. sets that have not, even so, meet in signatures of a second level (larger pieces of which more parts may differ). There,
+    that has too little left signs more pieces, in the same order, and at last all and its single shingles, too; so on until no
+    set lacks some for that. Where either of two similar sets has credit enough without hot signatures, they share one that is not
+    hot;
+ 4. sets that lack credit for good meet in signatures of a second level (larger pieces of which more parts may differ). There,
     none is skipped: the members of a hot one are dealt to blocks, and every two blocks are compared as a group of their own.
 Every comparison is exact, on whole sets of 64-bit shingle hashes. Equal sets (by a 64-bit hash; two of 1e9 different sets
 collide with a chance of 3 %) are one node, so copies cost one row each.
@@ -57,8 +58,11 @@ SIMILAR = 80  # per cent
 PAIRS, HELD = 1 << 23, 1 << 23
 #: So many of a set's least open signatures go along with it: a pair that has one of them in common is told once, under the least.
 LEAST = 6
-#: Members of the largest component that are compared at a time.
-STREAM = 2048
+#: Members of the largest component that are compared at a time; members up to which groups are worked on many at a time, and rows
+#: of such a lot.
+STREAM, FEW, LOT = 2048, 64, 4096
+#: Rows of one signature that are put in order at once.
+AT_ONCE = 1 << 18
 BYTES = 1 << 18
 #: Buckets of a sketch, by the size of the set up to which it is used.
 SKETCH = ((512, 256), (2000, 512), (1 << 60, 1024))
@@ -79,8 +83,8 @@ ENDS = band_ends()
 
 
 def pieces_of(end: np.ndarray, level: int) -> np.ndarray:
-    """Pieces of the band that ends there: 4 or 5 shingles each in its largest sets, 9 at the second level."""
-    return np.maximum(1, end // 9 if level else np.where(end <= 256, end // 4, end // 5))
+    """Pieces of the band that ends there: 4 to 7 shingles each in its largest sets, 9 at the second level."""
+    return np.maximum(1, end // 9 if level else end // np.select([end <= 24, end <= 64, end <= 400], [4, 5, 6], 7))
 
 
 @dataclass(frozen=True)
@@ -151,41 +155,52 @@ def bands_of(n: np.ndarray) -> Iterator[tuple[bool, np.ndarray, np.ndarray]]:
     yield False, np.flatnonzero((n > 0) & (n * 100 // SIMILAR > ENDS[home])), home + 1
 
 
-def signatures(s: np.ndarray, at: np.ndarray, level: int = 0, whole: bool = False) -> tuple[np.ndarray, np.ndarray]:
-    """(row, signature) for rows of ascending shingles s[at[i]:at[i+1]]; whole: of all pieces and single shingles."""
+def signatures(s: np.ndarray, at: np.ndarray, level: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """(row, signature) for rows of ascending shingles s[at[i]:at[i+1]]: what sets sign first."""
     rows, sigs = [], []
     for own, use, band in bands_of(np.diff(at)):
         p = pieces(s, at, use, band, own, level)
-        keep = p.some if whole else p.some & (p.before < p.need[p.row])[:, None]
+        keep = p.some & (p.before < p.need[p.row])[:, None]
         rows.append(np.broadcast_to(p.row[:, None], keep.shape)[keep])
         sigs.append(p.sig[keep])
-        keep = np.ones(len(p.single), bool) if whole else ~p.reached[p.single_row]
+        keep = ~p.reached[p.single_row]
         rows.append(p.single_row[keep])
         sigs.append(p.single[keep])
     return np.concatenate(rows), np.concatenate(sigs)
 
 
-ENOUGH, SIGN_ALL, LEFT = 0, 1, 2
+#: How far a set signs, as times the credit that is enough without hot signatures; at last all pieces, and the single shingles of
+#: a set that lacks credit even so.
+STEPS = (1.0, 1.2, 1.5, 2.0, 1e9)
+LACKING = len(STEPS)
 
 
-def standing(s: np.ndarray, hot: np.ndarray) -> int:
-    """Whether a set has credit enough without hot signatures: in the pieces that it signs first, in all of them, or not."""
-    at, worst = np.array([0, len(s)]), ENOUGH
+def signed_further(s: np.ndarray, hot: np.ndarray, step: int) -> tuple[int, np.ndarray]:
+    """The step up to which a set has to sign for credit enough without hot signatures, and the signatures that it adds to
+    those up to the step given."""
+    at, found = np.array([0, len(s)]), []
     for own, use, band in bands_of(np.diff(at)):
-        if not len(use):
+        if len(use):
+            p = pieces(s, at, use, band, own, 0)
+            warm = np.isin(p.sig, hot) & p.some
+            found.append((p, np.where(~warm.any(1), p.credit, (p.some & ~warm).any(1)), np.isin(p.single, hot).any()))
+    need = step
+    for p, credit, single in found:
+        if not p.reached[0]:  # has signed all and its single shingles
+            need = max(need, LACKING) if single else need
             continue
-        p = pieces(s, at, use, band, own, 0)
-        if not p.reached[0]:
-            if np.isin(p.single, hot).any():
-                return LEFT
-            continue
-        warm = np.isin(p.sig, hot) & p.some
-        credit = np.where(~warm.any(1), p.credit, (p.some & ~warm).any(1))
-        if credit[p.before < p.need[0]].sum() < p.need[0]:
-            if credit.sum() < p.need[0]:
-                return LEFT
-            worst = SIGN_ALL
-    return worst
+        ok = [credit[p.before < x * p.need[0]].sum() >= p.need[0] for x in STEPS]
+        need = max(need, ok.index(True) if True in ok else LACKING)
+    if need == LACKING and step < LACKING - 1:
+        need = LACKING - 1  # first all pieces: more of them may turn out to be hot or not
+    new = [np.zeros(0, U)]
+    for p, _, _ in found:
+        if need < LACKING:
+            keep = (p.before >= STEPS[step] * p.need[0]) & (p.before < STEPS[need] * p.need[0]) if step < LACKING else np.zeros(len(p.row), bool)
+            new.append(p.sig[keep][p.some[keep]])
+        elif step < LACKING:
+            new.append(p.single)
+    return need, np.concatenate(new)
 
 
 def set_keys(s: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -280,44 +295,57 @@ def signed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def shared(rows: DataFrame) -> DataFrame:
-    """(sig, node, n, pivot, pivot_n) of the signatures with two nodes or more; pivot is the smallest set among them, the least
-    of equal ones. rows: sig, node, n. A partition is sorted and streamed; a signature of any size takes no more memory than
-    a batch."""
+    """(sig, node, n, pivot, pivot_n) of the signatures with two nodes or more; pivot is the smallest set among them (among the first
+    ``AT_ONCE`` rows of a larger group), the least of equal ones. rows: sig, node, n. A partition is sorted by signature alone, which
+    Spark does by radix, and streamed; groups of up to AT_ONCE rows are put in order here, and equal rows of theirs are one."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last: tuple[int, int, int, int, bool] | None = None  # sig, node, pivot, its size, whether the pivot's own row is out
-        for b in batches:
-            sig, node, n = (b.column(i).to_numpy() for i in range(3))
-            keep = np.ones(len(sig), bool)
-            keep[1:] = (sig[1:] != sig[:-1]) | (node[1:] != node[:-1])
-            if last and len(sig) and (sig[0], node[0]) == last[:2]:
-                keep[0] = False
-            sig, node, n = sig[keep], node[keep], n[keep]
+        held: list[tuple[np.ndarray, ...]] = []
+        before: tuple[int, int, int] | None = None  # a group that goes on: its signature, its pivot and that one's size
+
+        def flush(sig: np.ndarray, node: np.ndarray, n: np.ndarray) -> Iterator[pa.RecordBatch]:
+            nonlocal before
+            some = np.zeros(len(sig), bool)  # in company
+            some[1:] = sig[1:] == sig[:-1]
+            some[:-1] |= some[1:]
+            if before:
+                some |= sig == before[0]
+            sig, node, n = sig[some], node[some], n[some]
+            order = np.lexsort((node, n, sig))
+            sig, node, n = sig[order], node[order], n[order]
+            new = np.ones(len(sig), bool)
+            new[1:] = (sig[1:] != sig[:-1]) | (node[1:] != node[:-1])
+            sig, node, n = sig[new], node[new], n[new]
             if not len(sig):
-                continue
+                return
             start = np.ones(len(sig), bool)
             start[1:] = sig[1:] != sig[:-1]
-            first = np.maximum.accumulate(np.where(start, np.arange(len(sig)), 0))
-            pivot, pivot_n = node[first], n[first]
-            extra = None
-            if last and sig[0] == last[0]:
-                go_on = sig == sig[0]
-                pivot, pivot_n = np.where(go_on, last[2], pivot), np.where(go_on, last[3], pivot_n)
-                start[0] = False
-                if not last[4]:
-                    extra = (last[0], last[2], last[3], last[2], last[3])
-            after = np.zeros(len(sig), bool)
-            after[:-1] = sig[1:] == sig[:-1]
-            out = ~start | after
-            cols = [c[out] for c in (sig, node, n, pivot, pivot_n)]
-            if extra:
-                cols = [np.append(c, x) for c, x in zip(cols, extra, strict=True)]
-            last = (int(sig[-1]), int(node[-1]), int(pivot[-1]), int(pivot_n[-1]), bool(out[-1] or not start[-1]))
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int32()), strict=True)], names=["sig", "node", "n", "pivot", "pivot_n"])
+            first = np.flatnonzero(start)
+            size = np.diff(np.append(first, len(sig)))
+            pivot, pivot_n = np.repeat(node[first], size), np.repeat(n[first], size)
+            out = np.repeat(size, size) > 1
+            if before:
+                go_on = sig == before[0]
+                out |= go_on
+                pivot, pivot_n = np.where(go_on, before[1], pivot), np.where(go_on, before[2], pivot_n)
+            before = int(sig[-1]), int(pivot[-1]), int(pivot_n[-1])
+            cols = (c[out] for c in (sig, node, n, pivot, pivot_n))
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int32()), strict=True)], names=["sig", "node", "n", "pivot", "pivot_n"])
+
+        for b in batches:
+            if not b.num_rows:
+                continue
+            held.append(tuple(b.column(i).to_numpy() for i in range(3)))
+            sig, node, n = held[0] if len(held) == 1 else (np.concatenate(c) for c in zip(*held, strict=True))
+            cut = len(sig) if len(sig) > AT_ONCE else int(np.searchsorted(sig, sig[-1]))  # the last group may go on
+            yield from flush(sig[:cut], node[:cut], n[:cut])
+            held[:] = [(sig[cut:], node[cut:], n[cut:])] if cut < len(sig) else []
+        for rest in held:
+            yield from flush(*rest)
         X.release()
 
     parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return rows.repartition(parts, "sig").sortWithinPartitions("sig", "n", "node").mapInArrow(run, "sig long, node long, n int, pivot long, pivot_n int")
+    return rows.repartition(parts, "sig").sortWithinPartitions("sig").mapInArrow(run, "sig long, node long, n int, pivot long, pivot_n int")
 
 
 def shingle_sets(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -428,27 +456,30 @@ class Members:
         k1 = SKETCH[0][1]
         if whole:
             what = [x.values.to_numpy().view(U) for x in t["what"]]
-            fine = np.array([np.bincount((x & U(k1 - 1)).astype(np.int64), minlength=k1) for x in what], np.int32)
+            fine = np.array([np.bincount((x & U(k1 - 1)).astype(np.int64), minlength=k1) for x in what], np.int16)
             low = np.zeros(len(what), bool)
         else:
             what = [counts(x.as_py()) for x in t["what"]]
-            fine = np.array([x.reshape(-1, k1).sum(0) for x, _ in what], np.int32)
+            fine = np.array([x.reshape(-1, k1).sum(0) for x, _ in what], np.int16)
             low = np.array([x for _, x in what])
         least = np.full((len(what), LEAST), NONE)
         for i, x in enumerate([] if whole else t["least"].to_pylist()):
             least[i, : len(x)] = x
-        return cls(t["node"].to_numpy(), t["comp"].to_numpy(), t["n"].to_numpy().astype(np.int64), what, least, fine, fine.reshape(len(fine), -1, COARSE).sum(1), low)
+        return cls(t["node"].to_numpy(), t["comp"].to_numpy(), t["n"].to_numpy().astype(np.int64), what, least, fine, fine.reshape(len(fine), -1, COARSE).sum(1, dtype=np.int16), low)
 
-    def partners(self, i: int, other: Members) -> np.ndarray:
-        """Members of other that may be similar to one of these: of another component, near enough by size and by sketches."""
+    def partners(self, i: int, other: Members, sig: int) -> np.ndarray:
+        """Members of other that may be similar to one of these: of another component, near enough by size and by sketches. Those
+        that have the same least signature, but not this one, are met under that."""
         n = self.n[i]
         j = np.arange(np.searchsorted(other.n, -(-n * SIMILAR // 100)), np.searchsorted(other.n, n * 100 // SIMILAR, "right"))
         if other is self:
             j = j[j > i]
         j = j[other.comp[j] != self.comp[i]]
+        if (first := self.least[i, 0]) != sig and first != NONE:
+            j = j[other.least[j, 0] != first]
         for x, y in ((self.coarse, other.coarse), (self.fine, other.fine)):
             if len(j):
-                j = j[(9 * np.abs(y[j] - x[i]).sum(1) <= other.n[j] + n) | other.low[j] | self.low[i]]
+                j = j[(9 * np.abs(y[j] - x[i]).sum(1, dtype=np.int64) <= other.n[j] + n) | other.low[j] | self.low[i]]
         return j
 
 
@@ -487,21 +518,76 @@ def groups(batches: Iterator[pa.RecordBatch], whole: bool, meet: Callable[[int,
     yield from close()
 
 
-def dealt(rows: DataFrame) -> DataFrame:
+def dealt(rows: DataFrame, *more: str) -> DataFrame:
     n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return rows.select("sig", "top", "node", "comp", "n", "what", "least").repartition(n, "sig").sortWithinPartitions("sig", "top")
-
-
-def hopeful(rows: DataFrame) -> DataFrame:
-    """(sig, node) of members that may be similar to one of another component, as far as sketches tell; a pair counts under
-    its least signature. rows: sig, top, node, comp, n, what (sketch), least."""
+    return rows.select("sig", "top", "node", "comp", "n", "what", "least", *more).repartition(n, "sig").sortWithinPartitions("sig", "top")
+
+
+def unfolded(col: pa.Array) -> tuple[np.ndarray, np.ndarray, dict[int, tuple[np.ndarray, np.ndarray]], np.ndarray]:
+    """Sketches as counts in COARSE and in the fewest buckets, where these may be too low, by length the finer ones with the place
+    of each, and all lengths."""
+    size, k1 = pa.compute.binary_length(col).to_numpy(), SKETCH[0][1]
+    fine, low, finer = np.zeros((len(size), k1), np.int16), np.zeros(len(size), bool), {}
+    for k in np.unique(size).tolist():
+        at = np.flatnonzero(size == k)
+        x, low[at] = alike(X.binary_rows(col.take(pa.array(at)), k))
+        fine[at] = x.reshape(len(at), -1, k1).sum(1)
+        if x.shape[1] > k1:
+            place = np.zeros(len(size), np.int64)
+            place[at] = np.arange(len(at))
+            finer[k] = x.astype(np.int16), place
+    return fine.reshape(len(fine), -1, COARSE).sum(1, dtype=np.int16), fine, finer, low, size
+
+
+def likely(t: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(sig, a, b) of members of different components that may be similar, in whole groups of up to FEW."""
+    sig, node, comp, n = (t[c].to_numpy() for c in ("sig", "node", "comp", "n"))
+    coarse, fine, finer, low, size = unfolded(t["what"].combine_chunks())
+    lists = t["least"].combine_chunks()
+    least = np.full((len(sig), LEAST), NONE)
+    at = lists.offsets.to_numpy() - lists.offsets[0].as_py()
+    row = np.repeat(np.arange(len(sig)), np.diff(at))
+    least[row, np.arange(len(row)) - at[row]] = lists.flatten().to_numpy()
+    start = np.flatnonzero(np.append(True, sig[1:] != sig[:-1]))
+    stop = np.append(start[1:], len(sig))
+    pairs = [x + s for s, e in zip(start.tolist(), stop.tolist(), strict=True) for x in [np.stack(np.triu_indices(e - s, 1))]]
+    i, j = np.concatenate(pairs, 1)
+    small, large = np.minimum(n[i], n[j]), np.maximum(n[i], n[j])
+    same = (least[i, 0] == least[j, 0]) & (least[i, 0] != sig[i]) & (least[i, 0] != NONE)
+    go = (comp[i] != comp[j]) & (100 * small.astype(np.int64) >= SIMILAR * large) & ~same
+    i, j = i[go], j[go]
+    found = []
+    for lo in range(0, len(i), 1 << 14):
+        a, b = i[lo : lo + (1 << 14)], j[lo : lo + (1 << 14)]
+        for x in (coarse, fine):
+            go = (9 * np.abs(x[a] - x[b]).sum(1, dtype=np.int64) <= n[a] + n[b]) | low[a] | low[b]
+            a, b = a[go], b[go]
+        for k, (x, place) in finer.items():
+            both = (size[a] == k) & (size[b] == k) & ~low[a] & ~low[b]
+            go = np.ones(len(a), bool)
+            go[both] = 9 * np.abs(x[place[a[both]]] - x[place[b[both]]]).sum(1, dtype=np.int64) <= n[a[both]] + n[b[both]]
+            a, b = a[go], b[go]
+        both = (least[a][:, :, None] == least[b][:, None, :]).any(2) & (least[a] != NONE)
+        under = np.where(both, least[a], NONE).min(1, initial=NONE)
+        go = (under == sig[a]) | (under == NONE)
+        found += [a[go], b[go]]
+    a, b = (np.concatenate([np.zeros(0, np.int64), *found[k::2]]) for k in (0, 1))
+    return sig[a], np.minimum(node[a], node[b]), np.maximum(node[a], node[b])
+
+
+def hopeful(rows: DataFrame, work: Scratch) -> DataFrame:
+    """(sig, node) of members that may be similar to one of another component, as far as sketches tell, each pair under one
+    signature of theirs (in groups of up to FEW exactly so; in larger ones under its least, if that is known). rows: sig, top,
+    node, comp, n, what (sketch), least, all (members of the signature)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ready: list[tuple[int, np.ndarray]] = []
+        ready: list[tuple[np.ndarray, np.ndarray, np.ndarray | None]] = []
+        lot: list[pa.Table] = []
 
         def meet(sig: int, a: Members, b: Members) -> Iterator[pa.RecordBatch]:
+            found = []
             for i in range(len(a.node)):
-                j = a.partners(i, b)
+                j = a.partners(i, b, sig)
                 if len(j) and len(a.what[i][0]) > SKETCH[0][1]:
                     j = j[[b.low[k] or a.low[i] or 9 * apart(a.what[i][0], b.what[k][0]) <= b.n[k] + a.n[i] for k in j]]
                 if len(j):
@@ -509,23 +595,41 @@ def hopeful(rows: DataFrame) -> DataFrame:
                     under = np.where(both, b.least[j], NONE).min(1)
                     j = j[(under == sig) | (under == NONE)]
                 if len(j):
-                    ready.append((sig, np.append(b.node[j], a.node[i])))
-            if len(ready) > 1000:
-                yield from out()
-
-        def out() -> Iterator[pa.RecordBatch]:
-            if ready:
-                sig = np.concatenate([np.full(len(x), s, np.int64) for s, x in ready])
-                node = np.concatenate([x for _, x in ready])
-                ready.clear()
-                both = np.unique(np.stack([sig, node]), axis=1)
-                yield pa.RecordBatch.from_arrays([pa.array(both[0]), pa.array(both[1])], names=["sig", "node"])
-
-        yield from groups(batches, False, meet, lambda: iter(()))
-        yield from out()
+                    found.append(np.append(b.node[j], a.node[i]))
+            if found:
+                node = np.unique(np.concatenate(found))
+                ready.append((np.full(len(node), sig, np.int64), node, None))
+            return iter(())
+
+        def compare(end: bool) -> None:
+            t = pa.concat_tables(lot).combine_chunks()
+            sig = t["sig"].to_numpy()
+            cut = len(sig) if end else int(np.searchsorted(sig, sig[-1]))  # the last group may go on
+            lot[:] = [t.slice(cut)]
+            if cut:
+                ready.append(likely(t.slice(0, cut)))
+
+        def large() -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                few = pa.compute.less_equal(b.column("all"), FEW)
+                if some := pa.Table.from_batches([b.filter(few)]):
+                    lot.append(some)
+                    if sum(map(len, lot)) > LOT:
+                        compare(False)
+                if (rest := b.filter(pa.compute.invert(few))).num_rows:
+                    yield rest
+            if lot:
+                compare(True)
+
+        for _ in groups(large(), False, meet, lambda: iter(())):
+            pass
         X.release()
+        for sig, a, b in ready:
+            yield pa.RecordBatch.from_arrays([pa.array(sig), pa.array(a), pa.nulls(len(a), pa.int64()) if b is None else pa.array(b)], names=["sig", "a", "b"])
 
-    return dealt(rows).mapInArrow(run, "sig long, node long").distinct()
+    found = work.save(dealt(rows, "all").mapInArrow(run, "sig long, a long, b long"), "hopeful", thin=True)
+    pairs = found.where("b is not null").groupBy("a", "b").agg(F.min("sig").alias("sig"))
+    return pairs.select("sig", F.explode(F.array("a", "b")).alias("node")).union(found.where("b is null").select("sig", "a")).distinct()
 
 
 def connected(rows: DataFrame) -> DataFrame:
@@ -544,7 +648,7 @@ def connected(rows: DataFrame) -> DataFrame:
             found = []
             for i in range(len(a.node)):
                 x, ca = a.what[i], int(a.comp[i])
-                for j in a.partners(i, b).tolist():
+                for j in a.partners(i, b, sig).tolist():
                     if (ra := root(ca)) != (rb := root(int(b.comp[j]))):
                         y = b.what[j]
                         k = np.searchsorted(y, x)
@@ -575,26 +679,31 @@ def settle(members: DataFrame, sets: Sets, graph: Components, work: Scratch, las
     graph.add(sets.links(work.save(best.select(F.col("best.pivot").alias("a"), F.col("node").alias("b")), "best")))
     work.drop(near)
     m = work.save(graph.of(members.select("sig", "node", "n")).select("sig", "node", "n", "comp"), "placed")
-    size = m.groupBy("sig", "comp").agg(F.count("*").alias("c"), F.max("n").alias("n"))
-    open_ = size.groupBy("sig").agg(F.sum("c").alias("all"), F.sum(F.col("c") * F.col("c")).alias("same"), F.max(F.struct("c", "comp")).alias("top"), F.max("n").cast("long").alias("most"), F.count("*").alias("comps"))
-    open_ = open_.where("comps > 1").select("sig", "all", F.col("top.comp").alias("top_comp"), ((F.col("all") * F.col("all") - F.col("same")) / 2 / PAIRS).alias("pairs"), ((F.col("all") - F.col("top.c")) * F.col("most") / HELD).alias("held"))
-    placed = m_open = work.save(m.join(open_, "sig").select("sig", "node", "n", "comp", (F.col("comp") == F.col("top_comp")).alias("top"), F.greatest("pairs", "held").alias("load"), "pairs", "held", "all"), "open")
+    size = m.groupBy("sig", "comp").agg(F.count("*").alias("c"), F.max("n").alias("n"), F.bit_xor(F.xxhash64("node")).alias("who"))
+    open_ = size.groupBy("sig").agg(
+        F.sum("c").alias("all"), F.sum(F.col("c") * F.col("c")).alias("same"), F.max(F.struct("c", "comp")).alias("top"), F.max("n").cast("long").alias("most"), F.count("*").alias("comps"), F.bit_xor("who").alias("who")
+    ).where("comps > 1")
+    pairs, held = (F.col("all") * F.col("all") - F.col("same")) / 2 / PAIRS, (F.col("all") - F.col("top.c")) * F.col("most") / HELD
+    open_ = work.save(open_.select("sig", "all", "who", F.col("top.comp").alias("top_comp"), pairs.alias("pairs"), held.alias("held")).withColumn("hot", F.greatest("pairs", "held") > 1), "open")
+    # signatures of the same members, told by number and hash, are one
+    once = open_.where(F.lit(last) | ~F.col("hot")).groupBy("all", "who", F.when(F.col("all") > AT_ONCE, F.col("sig"))).agg(F.min(F.struct("sig", "top_comp", "pairs", "held", "hot")).alias("x")).select("all", "x.*")
+    m_open = placed = work.save(m.join(once, "sig").select("sig", "node", "n", "comp", (F.col("comp") == F.col("top_comp")).alias("top"), "pairs", "held", "hot", "all"), "once")
     two = m_open.where("all = 2").groupBy("sig").agg(F.min("node").alias("a"), F.max("node").alias("b")).select("a", "b").distinct()
     graph.add(sets.links(work.save(two, "two", thin=True)))
     m_open = m_open.where("all > 2")
-    hot = work.save(m_open.where((F.col("load") > 1) & F.lit(not last)).select("sig", "node"), "hot", thin=True)
-    few = m_open.where(F.col("load") <= 1).select("sig", "top", "node", "comp", "n")
+    hot = work.save(m.join(open_.where(F.col("hot") & F.lit(not last)).select("sig"), "sig").select("sig", "node"), "hot", thin=True)
+    few = m_open.where(~F.col("hot")).select("sig", "top", "node", "comp", "n", "all")
     least = few.groupBy("node").agg(F.slice(F.array_sort(F.collect_set("sig")), 1, LEAST).alias("least"))
     few = few.join(least, "node")
     if last:  # members of a hot signature in blocks, a group for every two of them
         blocks = F.ceil(2 * F.greatest(F.sqrt("pairs"), "held"))
         own = F.pmod(F.xxhash64("node", F.lit(7)), blocks)
-        cells = m_open.where(F.col("load") > 1).withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)))
-        few = few.union(cells.select("node", F.xxhash64("sig", F.least("own", "other"), F.greatest("own", "other")).alias("sig"), "top", "comp", "n", F.array().cast("array<bigint>").alias("least")).select(few.columns))
+        cells = m_open.where("hot").withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)))
+        few = few.union(cells.select("node", F.xxhash64("sig", F.least("own", "other"), F.greatest("own", "other")).alias("sig"), "top", "comp", "n", F.lit(FEW + 1).cast("long").alias("all"), F.array().cast("array<bigint>").alias("least")).select(few.columns))
     few = work.save(few, "few")
     if not few.isEmpty():
         sketches = few.join(sets.brief.select("node", F.col("sketch").alias("what")), "node")
-        some = work.save(hopeful(sketches), "hopeful", thin=True)
+        some = work.save(hopeful(sketches, work), "some", thin=True)
         if not some.isEmpty():
             own = sets.of(some.select("node").distinct())
             edges = connected(few.join(some, ["sig", "node"]).join(own.select("node", F.col("shingles").alias("what")), "node"))
@@ -602,29 +711,26 @@ def settle(members: DataFrame, sets: Sets, graph: Components, work: Scratch, las
             graph.add(edges)
             work.drop(own)
         work.drop(some)
-    work.drop(m, placed, few)
+    work.drop(m, open_, placed, few)
     work.sweep()
     return hot
 
 
 def more_signatures(sets: DataFrame, hot: DataFrame) -> DataFrame:
-    """(sig, node, n) of all that sets (node, shingles) with hot signatures, hot: (node, sigs), sign where those that they sign
-    first lack credit; a row without a signature where all lack it."""
+    """(sig, node, n, step) of the further signatures of sets (node, shingles) that need some because of hot ones, hot: (node, sigs,
+    step), and of each such set and of each that lacks credit for good a row without a signature."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for node, own, hot in zip(b.column(0).to_pylist(), b.column(1), b.column(2), strict=True):
+            for node, own, hot, step in zip(b.column(0).to_pylist(), b.column(1), b.column(2), b.column(3).to_pylist(), strict=True):
                 s = own.values.to_numpy().view(U)
-                how = standing(s, hot.values.to_numpy().view(U))
-                if how == ENOUGH:
-                    continue
-                _, sig = signatures(s, np.array([0, len(s)]), 0, True)
-                sig = pa.array(np.append(sig.view(np.int64), 0), mask=np.append(np.zeros(len(sig), bool), True))
-                sig = sig if how == LEFT else sig.slice(0, len(sig) - 1)
-                yield pa.RecordBatch.from_arrays([sig, pa.array(np.full(len(sig), node, np.int64)), pa.array(np.full(len(sig), len(s), np.int32))], names=["sig", "node", "n"])
+                need, new = signed_further(s, hot.values.to_numpy().view(U), step)
+                if need > step or need == LACKING:
+                    sig = pa.array(np.append(new.view(np.int64), 0), mask=np.append(np.zeros(len(new), bool), True))
+                    yield pa.RecordBatch.from_arrays([sig, *(pa.array(np.full(len(sig), x, k)) for x, k in ((node, np.int64), (len(s), np.int32), (need, np.int32)))], names=["sig", "node", "n", "step"])
         X.release()
 
-    return sets.join(hot, "node").select("node", "shingles", "sigs").mapInArrow(run, "sig long, node long, n int")
+    return sets.join(hot, "node").select("node", "shingles", "sigs", "step").mapInArrow(run, "sig long, node long, n int, step int")
 
 
 def among(table: DataFrame, sigs: DataFrame) -> DataFrame:
@@ -647,26 +753,26 @@ def linked(table: DataFrame, members: DataFrame, sets: Sets, work: Scratch) -> C
     hot = settle(members, sets, graph, work)
     if hot.isEmpty():
         return graph
-    everything: DataFrame | None = None  # all signatures of the sets that sign all
+    later: DataFrame | None = None  # signatures that sets have added, with their steps
     while True:
-        own = hot if everything is None else hot.union(everything.join(hot.select("sig").distinct(), "sig", "left_semi").select("sig", "node"))
-        by_node = work.save(own.groupBy("node").agg(F.collect_set("sig").alias("sigs")), "by_node")
+        own, steps = hot, hot.select("node", F.lit(0).alias("step"))
+        if later is not None:
+            own = own.union(later.where("sig is not null").join(hot.select("sig").distinct(), "sig", "left_semi").select("sig", "node"))
+            steps = steps.union(later.select("node", "step"))
+        by_node = own.groupBy("node").agg(F.collect_set("sig").alias("sigs")).join(steps.groupBy("node").agg(F.max("step").alias("step")), "node")
+        by_node = work.save(by_node, "by_node")
         whole = sets.of(by_node.select("node"))
-        told_ = work.save(more_signatures(whole, by_node), "more")
+        more = work.save(more_signatures(whole, by_node), "more")
         work.drop(whole, by_node)
-        fresh = told_.where("sig is not null")
-        left = told_.where("sig is null").select("node").distinct()
-        if everything is not None:
-            fresh = fresh.join(everything.select("node").distinct(), "node", "left_anti")
+        left = more.where(F.col("sig").isNull() & (F.col("step") == LACKING)).select("node")
+        fresh = more.where("sig is not null")
         if fresh.isEmpty():
             break
-        fresh = work.save(fresh, "fresh")
-        rows = fresh.union(among(table, fresh))
-        if everything is not None:
-            rows = rows.union(everything.join(fresh.select("sig").distinct(), "sig", "left_semi").select(fresh.columns))
+        rows = fresh.select("sig", "node", "n").union(among(table, fresh))
+        if later is not None:
+            rows = rows.union(later.join(fresh.select("sig").distinct(), "sig", "left_semi").select("sig", "node", "n"))
         again = work.save(shared(rows.join(hot.select("sig").distinct(), "sig", "left_anti")), "members")
-        everything = fresh if everything is None else everything.union(fresh)
-        work.drop(told_)
+        later = more if later is None else later.union(more)
         if not again.isEmpty():
             sets.know(again.select("node"))
             hot = hot.union(settle(again, sets, graph, work))
