@@ -34,9 +34,12 @@ BLOCK_TOKENS = 1 << 21
 TRIES = 8
 #: Cached parts of words (about 200 bytes each); the cache starts anew beyond it.
 CACHE_PARTS = 500_000
-#: Code points for which a word's ids do not depend on its surroundings: all are in composed form, lower-cased by character, and
-#: either letters, the digits 0-9 or neither to any version of Unicode.
-PLAIN = re.compile("[\\t\\n\\r\\x20-\\x7e\\xa1-\\xb1\\xb4-\\xb8\\xba\\xbb\\xbf-\\u012f\\u0131-\\u024f]*")
+#: Ranges of code points for which a word's ids do not depend on its surroundings: all are in composed form, lower-cased by
+#: character, and either letters, the digits 0-9 or neither to any version of Unicode.
+RANGES = ((0x09, 0x0A), (0x0D, 0x0D), (0x20, 0x7E), (0xA1, 0xB1), (0xB4, 0xB8), (0xBA, 0xBB), (0xBF, 0x12F), (0x131, 0x24F))
+_ALL = {chr(c) for a, z in RANGES for c in range(a, z + 1)}
+#: Those of them whose lower-case form lies in these ranges, too (that of some capitals doesn't).
+PLAIN = re.compile("[" + "".join(map(re.escape, sorted(c for c in _ALL if set(c.lower()) <= _ALL))) + "]*")
 #: What the tokenizer splits a lower-cased text into, for such code points.
 PARTS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|\d|(?:[^\s\w]|_)+")
 
@@ -49,7 +52,7 @@ class PartIds(dict):
 
         level = ByteLevel(add_prefix_space=False, use_regex=False)
         self.model = tokenizer.model
-        self.bytes = str.maketrans({c: level.pre_tokenize_str(c)[0][0] for c in map(chr, range(0xA1, 0x250))})
+        self.bytes = str.maketrans({c: level.pre_tokenize_str(c)[0][0] for c in _ALL if not c.isascii()})
 
     def __missing__(self, part: str) -> bytes:
         ids = [t.id for t in self.model.tokenize(part if part.isascii() else part.translate(self.bytes))]

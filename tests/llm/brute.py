@@ -126,3 +126,76 @@ def decontaminate(docs, items, width=10):
                     hit |= set(range(s, s + k))
         out[d] = (len(w), len(hit), sorted(found))
     return out
+
+
+def boilerplate(rows, ratio, smooth):
+    """{(host, line)} of rows (host, text): lines on more than that ratio of a host's distinct texts, and so many more."""
+    hosts, on = {}, {}
+    for h, t in set(rows):
+        hosts[h] = hosts.get(h, 0) + 1
+        for x in {x.strip(" ") for x in (t or "").split("\n")} - {""}:
+            on[h, x] = on.get((h, x), 0) + 1
+    return {k for k, n in on.items() if n > ratio * (hosts[k[0]] + smooth)}
+
+
+def battery(token, unevenness, stray, serial):
+    """(chi, runs, serial) p-values of a string."""
+    from math import erfc, sqrt
+
+    low = lambda z: erfc(-z / sqrt(2)) / 2
+    upper, lower, digits = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz", "0123456789"
+    if re.fullmatch("[0-9a-f]+=*|[0-9A-F]+=*", token):
+        kind, abc, token = "hex", digits + "abcdef", token.lower()
+    elif re.fullmatch("[A-Z2-7]+=*", token):
+        kind, abc = "base32", upper + "234567"
+    elif re.fullmatch("[A-Za-z0-9]+=*", token):
+        kind, abc = "alnum", upper + lower + digits
+    else:
+        kind, abc = "base64", upper + lower + digits + "+/"
+    uneven = unevenness[kind]
+    body = re.sub("=+$", "", token.replace("-", "+").replace("_", "/"))
+    x, n, k = [abc.find(c) for c in body], len(body), len(abc)
+    if n < 2:
+        return 1.0, 1.0, 1.0
+    even = n / k
+    chi2 = sum((body.count(c) - even) ** 2 / even for c in abc)
+    chi = (chi2 - (k - 1) - uneven * n) / sqrt(2 * (k - 1) + 4 * uneven * n)
+    up = [v >= k / 2 for v in x]
+    runs = 1 + sum(a != b for a, b in zip(up, up[1:]))
+    mean = 1 + 2 * sum(up) * (n - sum(up)) / n
+    var = (mean - 1) * (mean - 2) / (n - 1)
+    run = abs(runs - mean) / sqrt(var) - stray * sqrt(n) if var > 0 else 9.0
+    m = sum(x) / n
+    under = sum((v - m) ** 2 for v in x)
+    corr = sum((a - m) * (b - m) for a, b in zip(x, x[1:])) / under if under else None
+    ser = (abs(corr + 1 / n) - serial) * sqrt(n) if under else 9.0
+    return low(chi), low(run), low(ser)
+
+
+def weak_labels(votes, prior, on_good, on_bad, rounds):
+    """Posterior of good for each row of votes, by EM over the rows with those made-up votes a row."""
+    n, k = len(votes), len(votes[0])
+    share = lambda a, b: a / (a + b)
+    p, acc = share(*prior), [(share(*on_good), share(*on_bad))] * k
+
+    def post():
+        out = []
+        for v in votes:
+            g, b = p, 1 - p
+            for x, (right_g, right_b) in zip(v, acc):
+                if x:
+                    g *= right_g if x > 0 else 1 - right_g
+                    b *= 1 - right_b if x > 0 else right_b
+            out.append(g / (g + b))
+        return out
+
+    for _ in range(rounds):
+        q = post()
+        p = (prior[0] * n + sum(q)) / (n + sum(prior) * n)
+        acc = []
+        for j in range(k):
+            c = [(x, v[j]) for x, v in zip(q, votes)]
+            g = share(on_good[0] * n + sum(x for x, v in c if v > 0), on_good[1] * n + sum(x for x, v in c if v < 0))
+            b = share(on_bad[0] * n + sum(1 - x for x, v in c if v < 0), on_bad[1] * n + sum(1 - x for x, v in c if v > 0))
+            acc.append((g, b))
+    return post()

@@ -27,6 +27,8 @@ def test_tree_paths(spark):
     assert got == {("a", 4): [1, 3, 4], ("a", 5): [1, 2, 5], ("a", 6): [1, 2, 6], ("a", 7): [7], ("b", 1): [1]}
     best = chat.leaf_paths(nodes, Scratch(spark, "t"), per_tree=1).select("tree", "leaf").distinct().collect()
     assert {tuple(r) for r in best} == {("a", 6), ("b", 1)}
+    ranked = chat.leaf_paths(nodes.union(nodes.where("node in (2, 4)")), Scratch(spark, "t")).select("tree", "leaf", "rank").distinct().collect()
+    assert {tuple(r) for r in ranked} == {("a", 6, 1), ("a", 5, 2), ("a", 4, 3), ("a", 7, 4), ("b", 1, 1)}
 
 
 def test_round_trip(spark):
@@ -65,21 +67,19 @@ def test_lines(spark):
         host = "hot" if i % 3 else r.choice(["h1", "h2", None])
         lines = [f"line {r.randrange(3000)}" for _ in range(r.randint(0, 6))] + ["menu "] * (i % 2) + ["  menu"] * (i % 5 == 0) + ["", " "]
         rows.append((i, host, "\n".join(lines), "clash"))
-    rows += [(300, "hot", None, "c"), (301, "hot", "", "c"), (302, "rare", "menu\nmenu", "c"), (0, *rows[0][1:])]
-    df = spark.createDataFrame(rows, "doc_id long, source string, text string, h string").repartition(3)
-    hosts, on = {}, {}
-    for _, h, t, _ in rows:
-        hosts[h] = hosts.get(h, 0) + 1
-        for x in {x.strip(" ") for x in (t or "").split("\n")} - {""}:
-            on[h, x] = on.get((h, x), 0) + 1
-    drop = {k for k, n in on.items() if hosts[k[0]] >= line_dedup.MIN_PAGES and n >= line_dedup.MIN_LINE_PAGES and n > line_dedup.RATIO * hosts[k[0]]}
-    want = sorted(str((i, h, t if t is None else "\n".join(x for x in t.split("\n") if (h, x.strip(" ")) not in drop), c)) for i, h, t, c in rows)
+    rows += [(300, "hot", None, "c"), (301, "hot", "", "c"), (302, "one", "menu\nmenu", "c"), (303, "two", "menu\na", "c"), (304, "two", "b\nmenu", "c"), (0, *rows[0][1:])]
+    rows += [(400 + i, "copies", "copied\ntext", "c") for i in range(30)] + [(430, "copies", "other", "c")]
+    rows.append((500, "long", "\n".join(["menu", *(f"x{k}" for k in range(50_000))]), "c"))
+    names = ["doc_id", "host", "text", "listed", "page", "h", "kept", "line"]
+    df = spark.createDataFrame([(*x, 1, "h", "k", "l") for x in rows], "doc_id long, host string, text string, listed string, page int, h string, kept string, line string").repartition(3)
+    drop = brute.boilerplate([(h, t) for _, h, t, _ in rows], line_dedup.RATIO, line_dedup.SMOOTH)
+    want = sorted(str((i, h, t if t is None else "\n".join(x for x in t.split("\n") if (h, x.strip(" ")) not in drop), c, 1, "h", "k", "l")) for i, h, t, c in rows)
     for size in (1 << 20, 0):  # the broadcast and the join
-        out = line_dedup.drop_lines(df, F.col("source"), broadcast_bytes=size)
-        assert out.columns == df.columns
+        out = line_dedup.drop_lines(df, F.col("host"), broadcast_bytes=size)
+        assert out.columns == names
         assert sorted(str(tuple(x)) for x in out.collect()) == want
-    assert any(k[1] == "menu" for k in drop)
-    assert line_dedup.drop_lines(df.where("false"), F.col("source")).count() == 0
+    assert {("hot", "menu"), ("two", "menu")} <= drop and not {k for k in drop if k[0] in ("one", "copies", "long")}
+    assert line_dedup.drop_lines(df.where("false"), F.col("host")).count() == 0
 
 
 # ---- packing
@@ -154,6 +154,19 @@ def test_pack_rows(spark):
     assert packing.pack(df.where("false"), path).count() == 0
 
 
+def test_ids_of_all_plain_characters():
+    """Alone and in context, every code point up to U+024F, and strings of them."""
+    path = tokenizer()
+    encode = packing.Encoder(path, 2)
+    chars = [chr(c) for c in range(0x250)]
+    r = random.Random(6)
+    texts = chars + [f"a{c}b" for c in chars] + [f"{c} x{c}'s 1{c}" for c in chars] + ["caf\u00e9 \u023a"]
+    texts += ["".join(r.choice(chars[32:] + list("abc 's")) for _ in range(r.randint(1, 12))) for _ in range(10_000)]
+    want = encode.tokenizer.encode_batch(texts, add_special_tokens=False)
+    wrong = [t for t, w in zip(texts, want, strict=True) if encode(t).tolist() != [*w.ids, 2]]
+    assert not wrong
+
+
 # ---- decontamination
 
 
