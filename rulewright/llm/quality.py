@@ -9,7 +9,8 @@ Counting repeated words needs no shuffle: a document's five-word windows are has
 their neighbours inside the row; documents whose windows are all distinct skip the sort.
 
 Defined results: null or empty texts have no words, all counts 0, and are rejected; each of repeated rows gets the same
-answer; a posterior of exactly one half keeps; an empty table gives no rows; other columns pass through ``filter_documents``.
+answer; a posterior of exactly one half keeps; an empty table gives no rows; other columns, whatever their names, pass through
+``filter_documents``.
 """
 
 from __future__ import annotations
@@ -27,10 +28,11 @@ SPACE = "[\\x20\\x09-\\x0D]"
 WINDOW = 5
 MIN_WORDS, MAX_REPEATED = 10, 20
 ROUNDS = 50
-#: Limits within which EM may move the share of good documents, and how often a rule that votes is right on good and on bad
-#: documents. A rule looks for one defect and is silent about others, so it may miss most bad documents, but is seldom wrong on a
-#: good one; right on good plus right on bad is above one, which is all that better than chance means.
-PRIOR, ON_GOOD, ON_BAD = (0.5, 0.95), (0.975, 0.995), (0.15, 0.98)
+#: What EM assumes ahead, as votes (right, wrong) made up for each document: good documents prevail; a rule looks for one defect, so
+#: it is seldom wrong on good documents and may miss most bad ones. The data may move estimates anywhere within LIMITS, which
+#: only keep logarithms finite.
+PRIOR, ON_GOOD, ON_BAD = (0.09, 0.01), (0.098, 0.002), (0.003, 0.007)
+LIMITS = (0.001, 0.9995)
 
 #: name: (good where, bad where) over the feature columns; else the rule abstains.
 RULES: dict[str, tuple[str, str]] = {
@@ -61,26 +63,30 @@ def repeat_words(words: Column, k: int = WINDOW) -> Column:
         gaps = let(at, lambda p: F.transform(p, lambda x, i: F.least(F.lit(k), F.coalesce(F.get(p, i + 1) - x, F.lit(k)))))
         return F.aggregate(gaps, none, lambda a, x: a + x)
 
-    hashes = F.transform(F.sequence(F.lit(1), F.size(words) - k + 1), lambda i: F.xxhash64(F.slice(words, i, k)))
+    def windows(h: Column) -> Column:
+        return F.transform(F.slice(h, 1, F.size(h) - k + 1), lambda x, i: F.xxhash64(x, *(F.get(h, i + j) for j in range(1, k))))
+
+    hashes = let(F.transform(words, lambda w: F.xxhash64(w)), windows)
     return F.when(F.size(words) <= k, none).otherwise(let(hashes, lambda h: F.when(F.size(F.array_distinct(h)) == F.size(h), none).otherwise(covered(h))))
 
 
-def features(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """The documents with the columns FEATURES."""
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    out = docs.withColumn("__words", F.array_remove(F.split(text, SPACE + "+", -1), ""))
+def features(docs: DataFrame, text_col: str = "text", passed: str | None = None) -> DataFrame:
+    """The columns FEATURES of the documents, and those named ``passed`` ahead, as a struct ``doc``: no name of theirs can clash."""
+    text = F.coalesce(F.col("text"), F.lit(""))
+    names = docs.columns if passed is None else [passed]
+    out = docs.select(F.struct(*(F.col(f"`{c}`") for c in names)).alias("doc"), F.col(f"`{text_col}`").alias("text"))
     lines = F.filter(F.split(text, "\n", -1), lambda x: x.rlike("[^\\x20\\x09-\\x0D]"))
-    out = out.withColumn("__lines", lines)
+    out = out.withColumns({"words": F.array_remove(F.split(text, SPACE + "+", -1), ""), "lines": lines})
     n = lambda c: c.cast("long")
     return out.select(
-        *(F.col(f"`{c}`") for c in docs.columns),
-        n(F.size("__words")).alias("n_words"),
+        "doc",
+        n(F.size("words")).alias("n_words"),
         n(F.length(text) - F.regexp_count(text, F.lit(SPACE))).alias("word_chars"),
         n(F.regexp_count(text, F.lit("[#*$%&|<>]"))).alias("n_symbols"),
-        n(F.size("__lines") - F.size(F.array_distinct("__lines"))).alias("n_dup_lines"),
-        repeat_words(F.col("__words")).alias("n_repeat_words"),
-        n(F.size("__lines")).alias("n_lines"),
-        n(F.size(F.array_distinct("__words"))).alias("n_distinct"),
+        n(F.size("lines") - F.size(F.array_distinct("lines"))).alias("n_dup_lines"),
+        repeat_words(F.col("words")).alias("n_repeat_words"),
+        n(F.size("lines")).alias("n_lines"),
+        n(F.size(F.array_distinct("words"))).alias("n_distinct"),
         n(F.regexp_count(text, F.lit("[A-Z]"))).alias("n_upper"),
         n(F.regexp_count(text, F.lit("[!?]"))).alias("n_marks"),
     )
@@ -92,13 +98,15 @@ def votes() -> dict[str, Column]:
 
 
 def fit(patterns: Iterable[tuple[tuple[int, ...], int]], n_rules: int, rounds: int = ROUNDS) -> tuple[float, list[tuple[float, float]]]:
-    """(share of good, for each rule its accuracy on good and on bad documents) from counts of vote patterns. Abstaining
-    says nothing of the class. Estimates are smoothed by a few made-up votes."""
+    """(share of good, for each rule its accuracy on good and on bad documents) from counts of vote patterns: the most probable
+    values by expectation-maximisation. Abstaining says nothing of the class."""
     seen = sorted((tuple(p), c) for p, c in patterns if any(p))
-    prior, acc = 0.85, [(0.98, 0.3)] * n_rules
+    n = max(1, sum(c for _, c in seen))
+    share = lambda right, wrong: min(max(right / (right + wrong), LIMITS[0]), LIMITS[1])
+    prior, acc = share(*PRIOR), [(share(*ON_GOOD), share(*ON_BAD))] * n_rules
     for _ in range(rounds):
-        good = bad = 0.0
-        right = [[2.0, 0.1, 0.5, 1.0] for _ in range(n_rules)]  # good: right, wrong; bad: right, wrong
+        good, bad = PRIOR[0] * n, PRIOR[1] * n
+        right = [[x * n for x in (*ON_GOOD, *ON_BAD)] for _ in range(n_rules)]  # on good: right, wrong; on bad: right, wrong
         for p, c in seen:
             q = posterior(p, prior, acc)
             good, bad = good + c * q, bad + c * (1 - q)
@@ -106,9 +114,7 @@ def fit(patterns: Iterable[tuple[tuple[int, ...], int]], n_rules: int, rounds: i
                 if v:
                     right[j][0 if v > 0 else 1] += c * q
                     right[j][3 if v > 0 else 2] += c * (1 - q)
-        clip = lambda x, lo, hi: min(max(x, lo), hi)
-        prior = clip((good + 9) / (good + bad + 10), *PRIOR)
-        acc = [(clip(a / (a + b), *ON_GOOD), clip(d / (d + e), *ON_BAD)) for a, b, d, e in right]
+        prior, acc = share(good, bad), [(share(a, b), share(d, e)) for a, b, d, e in right]
     return prior, acc
 
 
@@ -120,7 +126,7 @@ def weights(prior: float, acc: list[tuple[float, float]]) -> tuple[float, list[t
 def posterior(pattern: tuple[int, ...], prior: float, acc: list[tuple[float, float]]) -> float:
     z, w = weights(prior, acc)
     z += sum(w[j][0] if v > 0 else w[j][1] for j, v in enumerate(pattern) if v)
-    return 1 / (1 + math.exp(-z))
+    return 1 / (1 + math.exp(-min(max(z, -500.0), 500.0)))
 
 
 def judge(table: DataFrame) -> DataFrame:
@@ -140,12 +146,12 @@ def judge(table: DataFrame) -> DataFrame:
 def assess(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The id with features, votes, posterior, base_failed and kept."""
     work = Scratch(docs.sparkSession, "quality")
-    return judge(work.save(features(docs, text_col).select(id_col, *FEATURES), "features"))
+    told = judge(work.save(features(docs, text_col, id_col), "features"))
+    return told.select(F.col("doc").getField(id_col).alias(id_col), *(c for c in told.columns if c != "doc"))
 
 
 def filter_documents(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """The documents kept, with their columns; texts are read and worked on once, and written once."""
     work = Scratch(docs.sparkSession, "quality")
-    names = docs.columns
-    table = work.save(features(docs, text_col).select(F.struct(*(F.col(f"`{c}`") for c in names)).alias("__doc"), *FEATURES), "features")
-    return judge(table).where("kept").select(*(F.col("__doc").getField(c).alias(c) for c in names))
+    table = work.save(features(docs, text_col), "features")
+    return judge(table).where("kept").select(*(F.col("doc").getField(c).alias(c) for c in docs.columns))
