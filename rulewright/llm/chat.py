@@ -13,8 +13,9 @@ back. The loss mask covers each assistant text and nothing else, as spans in cod
 Defined results: null texts, roles and scores count as empty, empty and 0; rows of a null tree are one tree (trees are
 joined as structs, which are equal where both hold null); a parent that is no node of the tree makes a
 root; nodes whose ancestors run in a circle have no root and are left out, with their circle; equal scores are ranked by
-leaf; a node id that occurs twice in a tree is refused by the adapter below numbering rows itself; an empty table gives no
-conversations; other columns are ignored.
+leaf; of rows with one node id in a tree the least counts (by parent and score, and by role and text); rows without a node id
+are left out; conversations stored by turn number their rows anew, so that none is lost; an empty table gives no conversations;
+other columns are ignored.
 """
 
 from __future__ import annotations
@@ -46,9 +47,10 @@ def unescape_role(x: Column) -> Column:
 
 
 def leaf_paths(nodes: DataFrame, work: Scratch, per_tree: int | None = None) -> DataFrame:
-    """(tree, leaf, node, up, path_score) of every root-to-leaf path (the best per_tree of each tree, if told); up counts
-    from the leaf. nodes: tree, node, parent, score."""
-    bare = work.save(nodes.select(F.struct("tree").alias("tree"), "node", "parent", F.coalesce("score", F.lit(0.0)).cast("double").alias("score")), "nodes")
+    """(tree, leaf, node, up, path_score, rank) of every root-to-leaf path (the best per_tree of each tree, if told); up counts
+    from the leaf, rank from 1. nodes: tree, node, parent, score."""
+    bare = nodes.where("node is not null").groupBy(F.struct("tree").alias("tree"), "node").agg(F.min(F.struct("parent", F.coalesce("score", F.lit(0.0)).cast("double").alias("score"))).alias("x"))
+    bare = work.save(bare.select("tree", "node", "x.parent", "x.score"), "nodes")
     known = bare.select("tree", F.col("node").alias("parent"))
     step = work.save(bare.select("tree", "node", "parent").join(known, ["tree", "parent"], "left_semi").select("tree", "node", F.col("parent").alias("anc")), "anc")
     ladder: list[DataFrame] = []
@@ -69,18 +71,20 @@ def leaf_paths(nodes: DataFrame, work: Scratch, per_tree: int | None = None) ->
             "tree", "leaf", F.inline(F.filter(F.array(F.struct("node", "up"), F.struct(F.col("anc").alias("node"), (F.col("up") + (1 << k)).alias("up"))), lambda x: x["node"].isNotNull()))
         )
     paths = work.save(paths, "paths")
-    if per_tree is None:
-        return paths.withColumn("tree", F.col("tree.tree"))
     scored = paths.join(bare.select("tree", "node", "score"), ["tree", "node"]).groupBy("tree", "leaf").agg(F.avg("score").alias("path_score"))
-    best = scored.withColumn("rank", F.row_number().over(Window.partitionBy("tree").orderBy(F.desc("path_score"), "leaf"))).where(F.col("rank") <= per_tree)
+    best = scored.withColumn("rank", F.row_number().over(Window.partitionBy("tree").orderBy(F.desc("path_score"), "leaf")).cast("long"))
+    if per_tree is not None:
+        best = best.where(F.col("rank") <= per_tree)
     return paths.join(best, ["tree", "leaf"]).withColumn("tree", F.col("tree.tree"))
 
 
 def format_paths(paths: DataFrame, messages: DataFrame) -> DataFrame:
-    """One row per path: tree, leaf, n_turns, formatted, loss_spans (start, end). messages: tree, node, role, text."""
-    role, text = F.coalesce("role", F.lit("")), F.coalesce("text", F.lit(""))
-    turn = paths.select(F.struct("tree").alias("tree"), "leaf", "node", "up").join(
-        messages.select(F.struct("tree").alias("tree"), "node", (role == "assistant").alias("told"), F.concat(F.lit(START), escape_role(role), F.lit("\n")).alias("head"), escape(text).alias("body")), ["tree", "node"]
+    """One row per path: tree, leaf, rank, path_score, n_turns, formatted, loss_spans (start, end). messages: tree, node, role,
+    text."""
+    role, text = F.coalesce("x.role", F.lit("")), F.coalesce("x.text", F.lit(""))
+    once = messages.groupBy(F.struct("tree").alias("tree"), "node").agg(F.min(F.struct("role", "text")).alias("x"))
+    turn = paths.select(F.struct("tree").alias("tree"), F.struct("leaf", "rank", "path_score").alias("leaf"), "node", "up").join(
+        once.select("tree", "node", (role == "assistant").alias("told"), F.concat(F.lit(START), escape_role(role), F.lit("\n")).alias("head"), escape(text).alias("body")), ["tree", "node"]
     )
     turn = turn.withColumn("piece", F.concat("head", "body", F.lit(END + "\n")))
     so_far = Window.partitionBy("tree", "leaf").orderBy(F.desc("up")).rowsBetween(Window.unboundedPreceding, 0)
@@ -89,7 +93,7 @@ def format_paths(paths: DataFrame, messages: DataFrame) -> DataFrame:
     whole = turn.groupBy("tree", "leaf").agg(F.array_sort(F.collect_list(F.struct("at", "piece", "told", "start", "end"))).alias("t"))
     return whole.select(
         F.col("tree.tree").alias("tree"),
-        "leaf",
+        "leaf.*",
         F.size("t").cast("long").alias("n_turns"),
         F.array_join(F.transform("t", lambda x: x["piece"]), "").alias("formatted"),
         F.transform(F.filter("t", lambda x: x["told"]), lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"))).alias("loss_spans"),
@@ -124,8 +128,11 @@ def from_turns(rows: DataFrame, conv: str = "conv_id", turn: str = "turn", role:
 
 
 def format_conversations(rows: DataFrame, per_tree: int | None = None, **names: str) -> DataFrame:
+    """As ``format_paths``, of conversations stored by turn; a turn's score is its number of words, so that of several branches
+    the one that says more comes first."""
     work = Scratch(rows.sparkSession, "chat")
     _, messages = from_turns(rows, **names)
     messages = work.save(messages, "messages")
-    nodes = messages.select("tree", "node", F.when(F.col("node") > 1, F.col("node") - 1).alias("parent"), F.lit(0.0).alias("score"))
+    words = F.size(F.filter(F.split(F.coalesce("text", F.lit("")), "\\s+", -1), lambda w: w != "")).cast("double")
+    nodes = messages.select("tree", "node", F.when(F.col("node") > 1, F.col("node") - 1).alias("parent"), words.alias("score"))
     return format_paths(leaf_paths(nodes, work, per_tree), messages)

@@ -3,7 +3,8 @@
 The patterns are all runs of ``width`` words of the benchmark items (an item of fewer words is one pattern). Words are the
 alphabet and two adjacent words a block: a shift table of fixed size says for the block under the cursor how far the cursor
 can move without passing the end of any pattern; where it says nought, the block's bucket gives the patterns that end so,
-and comparing all their words confirms an occurrence. Texts are cut into lanes of equal length that overlap by a pattern
+and comparing all their words, one by one, confirms an occurrence (words are 64-bit hashes of their bytes throughout; two of
+1e7 different words share one with a chance below 1e-5). Texts are cut into lanes of equal length that overlap by a pattern
 less a word, and the cursors of all lanes of a batch move together, so that a step is one NumPy operation and a very long
 text is many lanes.
 
@@ -179,6 +180,13 @@ def find(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col
     return df.mapInArrow(over(broadcasts(sc, held, width), False), schema)
 
 
+def clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", **more) -> DataFrame:
+    """The documents without a benchmark passage, with their columns, whatever their names."""
+    packed = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("doc"), F.col(f"`{text_col}`").alias("text"))
+    found = find(packed, benchmark, id_col="doc", keep=["doc"], **more)
+    return found.where(F.col("n_hit") == 0).select(*(F.col("doc").getField(c).alias(c) for c in docs.columns))
+
+
 def at_once(found: Iterator[list], n: int) -> Iterator[list[list]]:
     some: list[list] = []
     for x in found:

@@ -42,6 +42,8 @@ def op1_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.length("loss").cast("long").alias("loss_chars"),
         digest(F.col("loss")).alias("loss_sha256"),
         F.length("formatted").cast("long").alias("formatted_chars"),
+        "rank",
+        F.col("path_score").alias("mean_words"),
     )
 
 
@@ -53,7 +55,8 @@ SELECT conv_id, count(*) AS n_turns,
        CAST(sum(CASE WHEN role = 'assistant' THEN length(text) ELSE 0 END) AS BIGINT) AS loss_chars,
        sha256(coalesce(string_agg(CASE WHEN role = 'assistant' THEN text END, '' ORDER BY turn, role, text), '')) AS loss_sha256,
        CAST(sum(24 + length(replace(replace(replace(role, '&', '&amp;'), '<|', '&lt;|'), chr(10), '&#10;'))
-                   + length(replace(replace(text, '&', '&amp;'), '<|', '&lt;|'))) AS BIGINT) AS formatted_chars
+                   + length(replace(replace(text, '&', '&amp;'), '<|', '&lt;|'))) AS BIGINT) AS formatted_chars,
+       CAST(1 AS BIGINT) AS rank, avg(CAST(len(regexp_extract_all(text, '[^\\s]+')) AS DOUBLE)) AS mean_words
 FROM t GROUP BY conv_id"""
 
 
@@ -80,13 +83,15 @@ def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secrets.find(table(spark, sf_dir, "documents"))
     names = F.array(*map(F.lit, secrets.KINDS))
-    named = F.transform("spans", lambda s: F.struct(s["kind"].alias("no"), F.get(names, s["kind"]).alias("kind"), s["start"].alias("start"), s["end"].alias("end")))
+    named = F.transform("spans", lambda s: F.struct(s["kind"].alias("no"), F.get(names, s["kind"]).alias("kind"), s["start"].alias("start"), s["end"].alias("end"), s["random"].alias("random")))
     found = found.select("doc_id", named.alias("spans"))
     return found.select(
         "doc_id",
         *(count_of("no", i).alias(f"n_{secrets.KINDS[i]}") for i in range(3)),
         digest(joined_spans(F.col("spans"), lambda s: s["no"] < 3)).alias("base_sha256"),
         joined_spans(F.col("spans")).alias("spans"),
+        count_of("random", True).alias("n_random"),
+        joined_spans(F.col("spans"), lambda s: s["random"]).alias("random_spans"),
     )
 
 
@@ -140,10 +145,10 @@ def op10_line_dedup_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 def line_sql(table: str, key: str, text: str, host: str) -> str:
     return f"""
 WITH p AS (SELECT {key}, {host} AS host, {text} AS text, string_split({text}, chr(10)) AS lines FROM {table}),
-l AS (SELECT {key}, host, unnest(lines) AS line, generate_subscripts(lines, 1) AS at FROM p),
-totals AS (SELECT host, count(*) AS n FROM p GROUP BY host HAVING count(*) >= {line_dedup.MIN_PAGES}),
-c AS (SELECT host, trim(line) AS line, count(DISTINCT {key}) AS n FROM l WHERE trim(line) <> '' GROUP BY ALL),
-d AS (SELECT c.host, c.line FROM c JOIN totals ON c.host IS NOT DISTINCT FROM totals.host WHERE c.n > {line_dedup.RATIO} * totals.n AND c.n >= {line_dedup.MIN_LINE_PAGES}),
+l AS (SELECT {key}, host, text, unnest(lines) AS line, generate_subscripts(lines, 1) AS at FROM p),
+totals AS (SELECT host, count(DISTINCT text) + CAST(bool_or(text IS NULL) AS INT) AS n FROM p GROUP BY host),
+c AS (SELECT host, trim(line) AS line, count(DISTINCT text) AS n FROM l WHERE trim(line) <> '' GROUP BY ALL),
+d AS (SELECT c.host, c.line FROM c JOIN totals ON c.host IS NOT DISTINCT FROM totals.host WHERE c.n > {line_dedup.RATIO} * (totals.n + {line_dedup.SMOOTH})),
 r AS (SELECT l.{key}, count(*) AS n_lines, count(d.line) AS n_dropped,
       coalesce(string_agg(CASE WHEN d.line IS NULL THEN l.line END, chr(10) ORDER BY l.at), '') AS kept
       FROM l LEFT JOIN d ON l.host IS NOT DISTINCT FROM d.host AND trim(l.line) = d.line GROUP BY l.{key})

@@ -9,8 +9,8 @@ The models are fitted on at most ``sample`` labelled rows (those with the least
 training reads and what it sends to the driver, with ``n_features`` features by the gain of their presence about the last
 category). Prediction covers every whole text, in one pass without a shuffle.
 
-``labels`` tells toxic or not. The chain's categories come from it: ``insult`` is a toxic text with an insult of ``INSULTS``,
-``abuse`` one without (another language, other words), ``toxic`` either.
+``labels`` tells quality and toxicity, each yes or no; the chain's categories are the combinations that this gives: ``poor``,
+``poor_toxic`` and ``toxic``. Others can be given as conditions over the columns of labels; no word is listed anywhere.
 
 Defined results: null or empty texts have no features and get the models' base rates; labels without a document, nulls among
 labels and repeated labels of one document beyond its first are no training rows; with fewer than ``MIN_CLASS`` rows of either
@@ -34,8 +34,6 @@ U = np.uint64
 SAMPLE, FEATURES, FOLDS, MIN_CLASS = 10_000, 768, 5, 8
 PREFIXES = (0, 4, 5, 6)  # 0: the whole word
 BYTES = 1 << 20
-# fixed values: a word list
-INSULTS = ("clown", "disgusting", "idiot", "loser", "moron", "pathetic", "scum", "stupid", "trash", "worthless")
 
 
 def text_features(data: np.ndarray, offs: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -122,6 +120,7 @@ def sparse_rows(row: np.ndarray, f: np.ndarray, features: np.ndarray, n: int) ->
 
 def train(docs: DataFrame, labels: DataFrame, categories: dict[str, Column], id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE, n_features: int = FEATURES) -> Chain:
     """categories: conditions, in the chain's order, over the columns of labels and the text (column ``text``)."""
+    labels = labels.drop(*({"text", text_col} - {id_col}))
     some = labels.where(F.col(id_col).isNotNull()).dropDuplicates([id_col]).orderBy(F.xxhash64(id_col), id_col).limit(sample)
     rows = docs.select(id_col, F.coalesce(F.col(text_col), F.lit("")).alias("text")).join(F.broadcast(some), id_col)
     told = rows.select(id_col, "text", F.array(*(c.cast("int") for c in categories.values())).alias("told")).where(~F.exists("told", lambda v: v.isNull()))
@@ -177,6 +176,6 @@ def score(docs: DataFrame, chain: Chain, id_col: str = "doc_id", text_col: str =
 
 
 def label_categories() -> dict[str, Column]:
-    toxic = F.col("toxic") == 1
-    insult = F.col("text").rlike("(?i)\\b(?:" + "|".join(INSULTS) + ")\\b")
-    return {"insult": toxic & insult, "abuse": toxic & ~insult, "toxic": toxic}
+    """The chain's categories as the labels tell them: poor text, poor and toxic text, toxic text."""
+    poor, toxic = F.col("quality") == 0, F.col("toxic") == 1
+    return {"poor": poor, "poor_toxic": poor & toxic, "toxic": toxic}

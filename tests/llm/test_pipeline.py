@@ -44,12 +44,7 @@ def test_quality(tables, spark):
 
 def test_lines(tables):
     before = tables[1].collect()
-    hosts, on = {}, {}
-    for r in before:
-        hosts[r["source"]] = hosts.get(r["source"], 0) + 1
-        for x in {x.strip(" ") for x in (r["text"] or "").split("\n")} - {""}:
-            on[r["source"], x] = on.get((r["source"], x), 0) + 1
-    drop = {k for k, n in on.items() if hosts[k[0]] >= line_dedup.MIN_PAGES and n >= line_dedup.MIN_LINE_PAGES and n > line_dedup.RATIO * hosts[k[0]]}
+    drop = brute.boilerplate([(r["source"], r["text"]) for r in before], line_dedup.RATIO, line_dedup.SMOOTH)
     want = {r["doc_id"]: "\n".join(x for x in r["text"].split("\n") if (r["source"], x.strip(" ")) not in drop) for r in before}
     assert rows(tables[2]) == want
 
@@ -76,3 +71,11 @@ def test_packing(tables):
             assert start == at
             at += n
         assert at == total
+
+
+def test_no_documents(spark, tables, tmp_path):
+    docs = tables[0].where("false")
+    for k, (_, f) in enumerate(corpus_pipeline.STAGES):
+        f(spark, docs, SF).write.parquet(f"{tmp_path}/{k}")
+        docs = spark.read.parquet(f"{tmp_path}/{k}")
+        assert docs.count() == 0

@@ -1,10 +1,12 @@
 """PII, secrets and quality rules against plain versions, on odd texts and on the small tables."""
 
+import os
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
-from rulewright.llm import pii, quality, secrets
+from rulewright.llm import decontam, pii, quality, secrets
 
 from . import brute
 
@@ -50,7 +52,27 @@ def test_secrets(frame):
     assert len(got) == len(texts)
     for i, t in enumerate(texts):
         assert [s for s in got[i] if s[0] != "random"] == brute.secrets(t), t
-    assert any(s[0] == "random" for s in got[12])
+
+
+def test_battery(spark):
+    """Its p-values are those of a plain version; most drawn strings are found, hardly any of the others, whatever their length."""
+    r = random.Random(9)
+    drawn = ["".join(r.choice(a) for _ in range(n)) for a in ("0123456789abcdef", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/") for n in (24, 27, 36, 40, 50, 64, 100, 200) for _ in range(8)]
+    words = "the quick brown fox jumps over lazy dog page index section number value result total order customer item".split()
+    made = ["".join(r.choice(words).title() + str(r.randrange(10)) for _ in range(9)) for _ in range(150)] + ["a1" * 20, "0" * 23 + "a", "abcdefghijklmnopqrstuvwxyz0123456789", "x" * 300 + "1"]
+    texts = [f"see {t} here" for t in drawn + made] + [f"password={drawn[-1]}", "token: aaaaaaaa", "secret=Q"]
+    df = spark.createDataFrame([(i, t, "x", 1.0) for i, t in enumerate(texts)], "doc_id long, text string, spans string, p double").repartition(2)
+    got = {x["doc_id"]: x["spans"] for x in secrets.find(df).collect()}
+    ps = spark.createDataFrame([(t,) for t in drawn + made], "t string").select("t", secrets.battery(F.col("t")).alias("b")).collect()
+    for x in ps:
+        want = brute.battery(x["t"], secrets.UNEVEN, secrets.STRAY, secrets.SERIAL)
+        assert all(abs(a - b) < 1e-6 for a, b in zip((x["b"]["chi"], x["b"]["runs"], x["b"]["serial"]), want)), x["t"]
+    hits = [any(s["random"] for s in got[i]) for i in range(len(drawn + made))]
+    long = [h for x, h in zip(drawn, hits) if len(x) >= 64]
+    assert sum(long) >= 0.9 * len(long)
+    assert sum(hits[len(drawn) :]) <= 0.1 * sum(hits)
+    n = len(drawn + made)
+    assert [(s["kind"], s["random"]) for s in got[n]] == [(0, True)] and [(s["kind"], s["random"]) for s in got[n + 1]] == [(0, False)] and got[n + 2] == []
 
 
 def test_quality(frame):
@@ -60,6 +82,32 @@ def test_quality(frame):
         for k, v in brute.quality(t).items():
             assert got[i][k] == v, (k, t)
         assert not (got[i]["kept"] and got[i]["base_failed"])
+    names = list(quality.RULES)
+    rows = list(got.values())
+    want = brute.weak_labels([[x[f"vote_{n}"] for n in names] for x in rows if any(x[f"vote_{n}"] for n in names)], quality.PRIOR, quality.ON_GOOD, quality.ON_BAD, quality.ROUNDS)
+    for x, q in zip([x for x in rows if any(x[f"vote_{n}"] for n in names)], want, strict=True):
+        assert abs(x["posterior"] - q) < 1e-6 and x["kept"] == (not x["base_failed"] and q >= 0.5)
+
+
+def test_no_estimate_is_at_its_limit(spark):
+    sf = "/root/testdata/sf0.01"
+    if not os.path.isdir(sf):
+        pytest.skip("no test data")
+    votes = quality.assess(spark.read.parquet(f"{sf}/documents.parquet")).groupBy(*(f"vote_{n}" for n in quality.RULES)).count().collect()
+    prior, acc = quality.fit([(tuple(x)[:-1], x["count"]) for x in votes], len(quality.RULES))
+    lo, hi = quality.LIMITS
+    assert all(lo < x < hi for x in (prior, *(y for a in acc for y in a)))
+
+
+def test_clashing_columns(spark):
+    """No name of a documents table disturbs the filtering stages."""
+    text = "a quiet text of more than ten words that nobody would want to throw away at all, is it?"
+    names = ["doc_id", "text", "doc", "words", "lines", "n_words", "n_hit", "items", "hits", "posterior", "kept", "vote_length", "base_failed", "__doc", "__words"]
+    df = spark.createDataFrame([(1, text, *("x" * (len(names) - 2))), (2, None, *("y" * (len(names) - 2)))], names)
+    assert [tuple(x) for x in quality.filter_documents(df).collect()] == [(1, text, *("x" * (len(names) - 2)))]
+    items = spark.createDataFrame([("i", text)], "item_id string, text string")
+    left = decontam.clean(df, items)
+    assert left.columns == names and [x["doc_id"] for x in left.collect()] == [2]
 
 
 def test_empty(spark):

@@ -42,3 +42,34 @@ def test_empty(spark):
     assert X.score(docs, chain).count() == 0
     one = spark.createDataFrame([(1, "a b")], "doc_id long, text string")
     assert X.score(one, chain).first()["p_toxic"] < 0.5
+
+
+def test_chain_is_the_plain_one():
+    """Weights of a plain chain: each category's model gets the earlier ones' out-of-fold probabilities."""
+    import numpy as np
+
+    r = np.random.default_rng(2)
+    x = (r.random((600, 12)) < 0.3).astype(np.float32)
+    a = (x[:, 0] + x[:, 1] + 0.3 * r.random(600) > 1).astype(np.float32)
+    b = ((a == 1) & (x[:, 2] == 1)).astype(np.float32)
+    y = np.stack([a, b], 1)
+    chain = X.fit_chain(x, y, ("a", "b"), np.arange(12, dtype=np.uint64), folds=3)
+
+    def plain(x, y, l2=1e-3):  # Newton's method
+        z = np.hstack([x, np.ones((len(x), 1))]).astype(np.float64)
+        w, ridge = np.zeros(z.shape[1]), l2 * np.diag([1.0] * x.shape[1] + [0.0])
+        for _ in range(30):
+            p = 1 / (1 + np.exp(-z @ w))
+            w -= np.linalg.solve((z * (p * (1 - p))[:, None]).T @ z / len(z) + ridge, z.T @ (p - y) / len(z) + ridge @ w)
+        return w
+
+    held, first = np.zeros(600), plain(x, a)
+    for i in range(3):
+        out = np.arange(600) % 3 == i
+        w = plain(x[~out], a[~out])
+        held[out] = 1 / (1 + np.exp(-(x[out] @ w[:-1] + w[-1])))
+    second = plain(np.hstack([x, held[:, None]]), b)
+    p1 = 1 / (1 + np.exp(-(x @ first[:-1] + first[-1])))
+    p2 = 1 / (1 + np.exp(-(np.hstack([x, p1[:, None]]) @ second[:-1] + second[-1])))
+    got = chain.predict(x)
+    assert np.abs(got[:, 0] - p1).max() < 0.05 and np.abs(got[:, 1] - p2).max() < 0.05
