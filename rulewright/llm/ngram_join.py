@@ -267,31 +267,53 @@ def alike(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return out, (out == 15).any(1)
 
 
-def signed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, n, key, sigs, sketch); a task lists signatures and sketch of equal sets once."""
+def fresh_rows(n: np.ndarray, key: np.ndarray, seen: set[int]) -> np.ndarray:
+    """Which sets a task has not met yet (nor in earlier rows); empty ones never count."""
+    fresh = np.zeros(len(n), bool)
+    for k, v in enumerate(key.tolist()):
+        if n[k] and v not in seen:
+            seen.add(v)
+            fresh[k] = True
+    return fresh
+
+
+def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(id, n, key, sketch); a task lists the sketch of equal sets once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for b in batches:
             for i, j, s, at in shingled(b.column(1)):
                 n, key = np.diff(at), set_keys(s, at)
-                row, sig = signatures(s, at)
-                order = np.argsort(row, kind="stable")
-                row, sig = row[order], sig[order]
-                fresh = np.zeros(len(n), bool)
-                for k, v in enumerate(key.tolist()):
-                    if n[k] and v not in seen:
-                        seen.add(v)
-                        fresh[k] = True
-                keep = fresh[row]
-                sig = sig[keep]
-                offs = np.concatenate([[0], np.cumsum(np.bincount(row[keep], minlength=len(n)))]).astype(np.int32)
+                fresh = fresh_rows(n, key, seen)
                 brief = pa.array([sketch(s[at[k] : at[k + 1]]) if fresh[k] else None for k in range(len(n))], pa.binary())
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), pa.array(n, pa.int64()), pa.array(key.view(np.int64)), pa.ListArray.from_arrays(offs, pa.array(sig.view(np.int64))), brief], names=["id", "n", "key", "sigs", "sketch"])
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), pa.array(n, pa.int64()), pa.array(key.view(np.int64)), brief], names=["id", "n", "key", "sketch"])
         X.release()
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.where(F.col(id_col).isNotNull()).select(id_col, text_col).mapInArrow(run, f"id {kind}, n long, key long, sigs array<long>, sketch binary")
+    return docs.where(F.col(id_col).isNotNull()).select(id_col, text_col).mapInArrow(run, f"id {kind}, n long, key long, sketch binary")
+
+
+def signed(docs: DataFrame, id_col: str, text_col: str, among: DataFrame | None = None) -> DataFrame:
+    """(sig, node, n) of what all sets sign first, a task's equal sets once; as far as they may be among some signatures, if told (no
+    wanted one is missing). They are worked out from the texts each time: they are more than the texts."""
+    bit = F.col("sig").bitwiseAND(BITMAP_BITS - 1)
+    bitmap = None if among is None else docs.sparkSession.sparkContext.broadcast(bitmap_of(among.select(bit.alias("bit"))))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
+        for b in batches:
+            for _, _, s, at in shingled(b.column(0)):
+                n, key = np.diff(at), set_keys(s, at)
+                fresh = fresh_rows(n, key, seen)
+                row, sig = signatures(s, at)
+                keep = fresh[row]
+                if bitmap is not None:
+                    keep &= has_bit(bitmap.value, sig.view(np.int64) & (BITMAP_BITS - 1))
+                yield told(sig[keep], key.view(np.int64)[row[keep]], n[row[keep]])
+        X.release()
+
+    return docs.where(F.col(id_col).isNotNull()).select(text_col).mapInArrow(run, "sig long, node long, n int")
 
 
 def shared(rows: DataFrame) -> DataFrame:
@@ -733,21 +755,7 @@ def more_signatures(sets: DataFrame, hot: DataFrame) -> DataFrame:
     return sets.join(hot, "node").select("node", "shingles", "sigs", "step").mapInArrow(run, "sig long, node long, n int, step int")
 
 
-def among(table: DataFrame, sigs: DataFrame) -> DataFrame:
-    """(sig, node, n) of the first signing of all sets, as far as they may be among the signatures (no wanted one is missing)."""
-    bit = F.col("sig").bitwiseAND(BITMAP_BITS - 1)
-    bitmap = table.sparkSession.sparkContext.broadcast(bitmap_of(sigs.select(bit.alias("bit"))))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            sig, size = b.column(0).flatten().to_numpy(), np.diff(b.column(0).offsets.to_numpy())
-            ok = has_bit(bitmap.value, sig & (BITMAP_BITS - 1))
-            yield told(sig[ok], np.repeat(b.column(1).to_numpy(), size)[ok], np.repeat(b.column(2).to_numpy(), size)[ok])
-
-    return table.where(F.size("sigs") > 0).select("sigs", F.col("key").alias("node"), "n").mapInArrow(run, "sig long, node long, n int")
-
-
-def linked(table: DataFrame, members: DataFrame, sets: Sets, work: Scratch) -> Components:
+def linked(members: DataFrame, sets: Sets, work: Scratch) -> Components:
     """The components of all similar sets."""
     graph = Components(work)
     hot = settle(members, sets, graph, work)
@@ -768,7 +776,7 @@ def linked(table: DataFrame, members: DataFrame, sets: Sets, work: Scratch) -> C
         fresh = more.where("sig is not null")
         if fresh.isEmpty():
             break
-        rows = fresh.select("sig", "node", "n").union(among(table, fresh))
+        rows = fresh.select("sig", "node", "n").union(signed(sets.docs, *sets.names, among=fresh))
         if later is not None:
             rows = rows.union(later.join(fresh.select("sig").distinct(), "sig", "left_semi").select("sig", "node", "n"))
         again = work.save(shared(rows.join(hot.select("sig").distinct(), "sig", "left_anti")), "members")
@@ -788,19 +796,18 @@ def linked(table: DataFrame, members: DataFrame, sets: Sets, work: Scratch) -> C
     return graph
 
 
-def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", work: Scratch | None = None) -> DataFrame:
     """(id, n_shingles, component_id) of each document; a component is named by its least id."""
-    work = Scratch(docs.sparkSession, "ngram")
-    table = work.save(signed(docs, id_col, text_col), "signed")
-    thin = table.where("n > 0").select("id", "key")
-    members = work.save(shared(table.select(F.explode("sigs").alias("sig"), F.col("key").alias("node"), F.col("n").cast("int").alias("n"))), "members")
-    first = thin.groupBy("key").agg(F.min("id").alias("first"))
+    work = work or Scratch(docs.sparkSession, "ngram")
+    members = work.save(shared(signed(docs, id_col, text_col)), "members")
+    work.sweep()
+    table = work.save(keyed(docs, id_col, text_col), "keyed")
+    first = table.where("n > 0").groupBy("key").agg(F.min("id").alias("first"))
     names = first.withColumn("comp", F.col("key"))
     if not members.isEmpty():
-        work.sweep()
         sets = Sets(docs, id_col, text_col, table, work.save(first, "first", thin=True), work)
         sets.know(members.select("node"))
-        graph = linked(table, members, sets, work)
+        graph = linked(members, sets, work)
         names = graph.of(first.select(F.col("key").alias("node"), "first")).select(F.col("node").alias("key"), "first", "comp")
     work.drop(members)
     least = names.groupBy("comp").agg(F.min("first").alias("least"))
@@ -811,8 +818,9 @@ def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The documents without those that have an earlier one in their component."""
-    work = Scratch(docs.sparkSession, "ngram")
-    found = work.save(similar_components(docs, id_col, text_col), "components")
+    work, inner = Scratch(docs.sparkSession, "ngram"), Scratch(docs.sparkSession, "ngram")
+    found = work.save(similar_components(docs, id_col, text_col, inner), "components")
+    inner.clear()
     later = work.save(found.where(F.col("component_id") != F.col(id_col)).select(id_col).distinct(), "later", thin=True)
     kept = docs.join(small(later), id_col, "left_anti").select(docs.columns)
     if found.groupBy(id_col).count().where("count > 1").isEmpty():

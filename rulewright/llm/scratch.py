@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import gc
+import re
 import tempfile
 import uuid
 
@@ -14,9 +15,11 @@ _OWN: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``; where it is unset (as in tests), one of our own."""
+    """The folder in ``spark.checkpoint.dir``; in local mode (as in tests), where it is unset, one of our own."""
     if told := spark.conf.get("spark.checkpoint.dir", None):
         return told.rstrip("/")
+    if not re.match(r"local(\[|$)", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir is not set: executors would not see a folder of the driver's")
     if not _OWN:
         _OWN.append("file://" + tempfile.mkdtemp(prefix="rulewright-"))
     return _OWN[0]
@@ -35,11 +38,15 @@ def bound_batches(spark: SparkSession) -> None:
 class Scratch:
     """Writes intermediate tables as Parquet, reads them again, and drops those no longer needed."""
 
+    #: All made so far, for those who know when a result has been written and what it was made from can go.
+    made: list[Scratch] = []
+
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
         bound_batches(spark)
         self.root = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
         self.n = 0
+        Scratch.made.append(self)
 
     def save(self, df: DataFrame, name: str = "t", thin: bool = False) -> DataFrame:
         """Writes and rereads. thin: rows are so much smaller than those of the corpus (ids, links) that an eighth of the
@@ -59,6 +66,13 @@ class Scratch:
         gc.collect()
         self.spark._jvm.System.gc()
 
+    def clear(self) -> None:
+        """Deletes all tables."""
+        p = self.spark._jvm.org.apache.hadoop.fs.Path(self.root)
+        p.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(p, True)
+        if self in Scratch.made:
+            Scratch.made.remove(self)
+
     def drop(self, *tables: DataFrame) -> None:
         jvm, conf = self.spark._jvm, self.spark._jsc.hadoopConfiguration()
         for t in tables:
