@@ -1,8 +1,10 @@
 """SPARQL expressions as Spark columns.
 
 A text is tokenised, parsed by precedence, and compiled to columns that are null where SPARQL has an error or an unbound
-value: null in a filter drops the row, in a binding it leaves the variable unbound. Comparison is by value: numbers as decimals,
-dates and times as timestamps, booleans, plain strings; other terms by identity, and null where two values can't be compared.
+value: null in a filter drops the row, in a binding it leaves the variable unbound. Comparison is by value: numbers as decimals
+(as doubles where they are too large for that), times with times and dates with dates, booleans, plain strings; other terms by
+identity, and null where two values can't be compared. Functions of strings keep the language tag of what they take a part of;
+parts of dates are read from the lexical form, in its own time zone.
 """
 
 from __future__ import annotations
@@ -10,6 +12,7 @@ from __future__ import annotations
 import re
 from collections.abc import Callable
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -21,10 +24,15 @@ DECIMAL = "decimal(38,18)"
 _INTEGERS = tuple(T.XSD + n for n in ("integer", "int", "long", "short", "byte", "nonNegativeInteger", "positiveInteger", "negativeInteger", "nonPositiveInteger", "unsignedInt", "unsignedLong", "unsignedShort", "unsignedByte"))
 _DECIMALS = (T.XSD + "decimal", T.XSD + "double", T.XSD + "float")
 NUMERIC = _INTEGERS + _DECIMALS
-_TIMES = (T.XSD + "dateTime", T.XSD + "date")
+_TIME, _DATE = T.XSD + "dateTime", T.XSD + "date"
+_ZONE = r"(Z|[+-]\d\d:\d\d)?"
+_DATE_TEXT = r"^(-?\d{4,})-(\d\d)-(\d\d)"
+_TIME_TEXT = _DATE_TEXT + r"T(\d\d):(\d\d):(\d\d(?:\.\d+)?)" + _ZONE + "$"
+#: Lexical forms that casts from strings accept.
+_INTEGER_TEXT, _DECIMAL_TEXT, _DOUBLE_TEXT = r"^[+-]?\d+$", r"^[+-]?(\d+(\.\d*)?|\.\d+)$", r"^[+-]?(\d+(\.\d*)?|\.\d+)([eE][+-]?\d+)?$"
 
 _TOKEN = re.compile(
-    r"""\s*(?:(?P<iri><[^<>"{}|^`\\\s]*>)|(?P<var>[?$][A-Za-z_]\w*)|(?P<str>"(?:[^"\\\n]|\\.)*"|'(?:[^'\\\n]|\\.)*')(?:@(?P<lang>[A-Za-z]+(?:-[A-Za-z0-9]+)*)|\^\^(?P<dt><[^>]*>))?"""
+    r"""\s*(?:(?P<iri><[^<>"{}|^`\\\s]*>)|(?P<var>[?$]\w+)|(?P<str>"(?:[^"\\\n]|\\.)*"|'(?:[^'\\\n]|\\.)*')(?:@(?P<lang>[A-Za-z]+(?:-[A-Za-z0-9]+)*)|\^\^(?P<dt><[^>]*>))?"""
     r"""|(?P<num>\d+\.\d+(?:[eE][+-]?\d+)?|\d+(?:[eE][+-]?\d+)?|\.\d+)|(?P<op>\|\||&&|!=|<=|>=|[=<>!+*/(),-])|(?P<name>[A-Za-z_]\w*))"""
 )
 
@@ -69,7 +77,7 @@ def check_text(text: str) -> set[str]:
             break
     if depth:
         raise RuleError(f"expression {text!r} has unbalanced parentheses")
-    return {v[1:] for v in re.findall(r"[?$][A-Za-z_]\w*", bare)}
+    return {v[1:] for v in re.findall(r"[?$]\w+", bare)}
 
 
 def tokens(text: str) -> list[tuple[str, object]]:
@@ -178,11 +186,14 @@ def parse(text: str) -> tuple:
 
 @dataclass(frozen=True)
 class Value:
-    """kind: term (canonical text, any type), str, num, bool or time. ``whole``: a number that is an integer."""
+    """kind: term (canonical text, any type), str, num or bool. ``whole``: a number that is an integer; ``big``: a number as a
+    double, where it may be too large for the decimal; ``lang``: the language tag of a string, empty or none at all if it has none."""
 
     kind: str
     col: Column
     whole: Column | None = None
+    big: Column | None = None
+    lang: Column | None = None
 
 
 def null() -> Column:
@@ -200,7 +211,8 @@ def _family(t: Column) -> Column:
     return (
         F.when(~T.col_is_literal(t), F.lit("node"))
         .when(dt.isin(*NUMERIC), F.lit("num"))
-        .when(dt.isin(*_TIMES), F.lit("time"))
+        .when(dt == _TIME, F.lit("time"))
+        .when(dt == _DATE, F.lit("date"))
         .when(dt == T.XSD + "boolean", F.lit("bool"))
         .when(dt == T.XSD + "string", F.lit("str"))
         .otherwise(F.lit("other"))
@@ -246,30 +258,61 @@ def boolean(v: Value) -> Column:
     return F.lit(None).cast("boolean")
 
 
-def time(v: Value) -> Column:
-    if v.kind == "time":
-        return v.col
+def double(v: Value) -> Column:
+    if v.kind == "num":
+        return v.col.cast("double") if v.big is None else v.big
     if v.kind == "term":
-        dt = T.col_datatype(v.col)
-        return F.when(dt.isin(*_TIMES), T.col_lexical(v.col).try_cast("timestamp"))
+        return F.when(T.col_datatype(v.col).isin(*NUMERIC), T.col_lexical(v.col).try_cast("double"))
+    return F.lit(None).cast("double")
+
+
+def time(v: Value, datatype: str = _TIME) -> Column:
+    """The instant of a dateTime, or of a date's beginning."""
+    if v.kind == "term":
+        return F.when(T.col_datatype(v.col) == datatype, T.col_lexical(v.col).try_cast("timestamp"))
     return F.lit(None).cast("timestamp")
 
 
+def tag(v: Value) -> Column | None:
+    """The language tag, empty if it has none; None where it can't have any."""
+    return T.col_language(v.col) if v.kind == "term" else v.lang
+
+
+def tagged(x: Column, like: Value) -> Value:
+    """A string with the language tag of another."""
+    return Value("str", x, lang=tag(like))
+
+
+def language(v: Value) -> Column:
+    lang = tag(v)
+    return F.lit("") if lang is None else F.lower(lang)
+
+
+def compatible(a: Value, b: Value) -> Column:
+    """Whether b can be looked for in a: it has no tag, or the same."""
+    if tag(b) is None:
+        return F.lit(True)
+    return (language(b) == "") | (language(a) == language(b))
+
+
 def as_term(v: Value) -> Column:
     """Canonical text."""
     if v.kind == "term":
         return v.col
     if v.kind == "str":
-        return T.col_plain(v.col)
+        plain = T.col_plain(v.col)
+        return plain if v.lang is None else F.when(v.lang == "", plain).otherwise(F.concat(plain, F.lit("@"), v.lang))
     if v.kind == "bool":
         return T.col_typed(v.col.cast("string"), T.XSD + "boolean")
-    if v.kind == "time":
-        return T.col_typed(F.date_format(v.col, "yyyy-MM-dd'T'HH:mm:ss"), T.XSD + "dateTime")
     text = decimal_text(v.col)
+    if v.big is not None:
+        return F.when(v.col.isNull(), T.col_typed(v.big.cast("string"), T.XSD + "double")).when(v.whole, T.col_typed(text, T.XSD + "integer")).otherwise(T.col_typed(text, T.XSD + "decimal"))
     return F.when(v.whole, T.col_typed(text, T.XSD + "integer")).otherwise(T.col_typed(text, T.XSD + "decimal"))
 
 
 def _kind(v: Value) -> Column:
+    if v.kind == "str" and v.lang is not None:
+        return F.when(v.lang == "", F.lit("str")).otherwise(F.lit("other"))
     return _family(v.col) if v.kind == "term" else F.lit(v.kind)
 
 
@@ -278,7 +321,8 @@ def compare(op: str, a: Value, b: Value) -> Column:
     f = ops[op]
     ka, kb = _kind(a), _kind(b)
     both = lambda k: (ka == k) & (kb == k)
-    out = F.when(both("num"), f(number(a)[0], number(b)[0])).when(both("str"), f(string(a), string(b))).when(both("time"), f(time(a), time(b))).when(both("bool"), f(boolean(a), boolean(b)))
+    out = F.when(both("num"), F.coalesce(f(number(a)[0], number(b)[0]), f(double(a), double(b)))).when(both("str"), f(string(a), string(b)))
+    out = out.when(both("time"), f(time(a), time(b))).when(both("date"), f(time(a, _DATE), time(b, _DATE))).when(both("bool"), f(boolean(a), boolean(b)))
     if op in ("=", "!="):
         ta, tb = as_term(a), as_term(b)
         out = out.when((ka == "node") | (kb == "node"), f(ta, tb)).when(ta == tb, F.lit(op == "="))
@@ -288,10 +332,8 @@ def compare(op: str, a: Value, b: Value) -> Column:
 
 def arithmetic(op: str, a: Value, b: Value) -> Value:
     (x, xi), (y, yi) = number(a), number(b)
-    if op == "/":
-        return Value("num", F.try_divide(x, y).try_cast(DECIMAL), F.lit(False))
-    f = {"+": F.try_add, "-": F.try_subtract, "*": F.try_multiply}[op]
-    return Value("num", f(x, y).try_cast(DECIMAL), xi & yi)
+    f = {"+": F.try_add, "-": F.try_subtract, "*": F.try_multiply, "/": F.try_divide}[op]
+    return Value("num", f(x, y).try_cast(DECIMAL), F.lit(False) if op == "/" else xi & yi, f(double(a), double(b)))
 
 
 #: Refused by name: they give another value every time, so that an Assert rule would never come to rest.
@@ -304,6 +346,10 @@ _ARITY = {
 }
 
 
+#: Groups of the lexical form of a dateTime.
+_PARTS = {"YEAR": 1, "MONTH": 2, "DAY": 3, "HOURS": 4, "MINUTES": 5, "SECONDS": 6}
+
+
 def build(tree: tuple, columns: dict[str, Column]) -> Value:
     kind = tree[0]
     if kind == "term":
@@ -350,39 +396,46 @@ def call(name: str, trees: list[tuple], columns: dict[str, Column]) -> Value:
         "SHA512": lambda s: F.sha2(s, 512), "ENCODE_FOR_URI": T.col_encode,
     }
     if name in one:
-        return Value("str", one[name](text(0)))
+        return tagged(one[name](text(0)), v[0]) if name in ("UCASE", "LCASE") else Value("str", one[name](text(0)))
     if name == "STR":
         return Value("str", string(v[0], any_term=True))
     if name == "DATATYPE":
         return Value("term", T.col_iri(T.col_datatype(as_term(v[0]))))
     if name == "LANG":
-        return Value("str", T.col_language(as_term(v[0])))
+        return Value("str", T.col_language(as_term(v[0])) if v[0].kind != "str" or v[0].lang is None else v[0].lang)
     if name in ("IRI", "URI"):
         t = as_term(v[0])
         return Value("term", F.when(T.col_is_iri(t), t).otherwise(T.col_iri(string(v[0]))))
     if name == "CONCAT":
-        return Value("str", F.concat(*(string(x) for x in v)) if v else F.lit(""))
+        whole = F.concat(*(string(x) for x in v)) if v else F.lit("")
+        if not v or any(tag(x) is None for x in v):  # one without a tag: the whole has none
+            return Value("str", whole)
+        same = reduce(lambda x, y: x & y, (language(x) == language(v[0]) for x in v))
+        return Value("str", whole, lang=F.when(same, tag(v[0])).otherwise(F.lit("")))
     if name == "IF":
         c = boolean(v[0])
-        if v[1].kind == v[2].kind and v[1].kind in ("str", "bool", "time"):
-            return Value(v[1].kind, F.when(c, v[1].col).when(~c, v[2].col))
+        if v[1].kind == v[2].kind and v[1].kind in ("str", "bool"):
+            langs = [tag(x) for x in v[1:]]
+            lang = None if langs[0] is None and langs[1] is None else F.when(c, F.lit("") if langs[0] is None else langs[0]).otherwise(F.lit("") if langs[1] is None else langs[1])
+            return Value(v[1].kind, F.when(c, v[1].col).when(~c, v[2].col), lang=lang)
         return Value("term", F.when(c, as_term(v[1])).when(~c, as_term(v[2])))
     if name == "COALESCE":
         return Value("term", F.coalesce(*(as_term(x) for x in v)))
     if name in ("STRSTARTS", "STRENDS", "CONTAINS"):
-        return Value("bool", {"STRSTARTS": F.startswith, "STRENDS": F.endswith, "CONTAINS": F.contains}[name](text(0), text(1)))
+        return Value("bool", F.when(compatible(v[0], v[1]), {"STRSTARTS": F.startswith, "STRENDS": F.endswith, "CONTAINS": F.contains}[name](text(0), text(1))))
     if name in ("STRBEFORE", "STRAFTER"):
         x, y = text(0), text(1)
-        at = F.instr(x, y) if not isinstance(y, str) else None
+        at = F.when(compatible(v[0], v[1]), F.instr(x, y))
         cut = F.substr(x, F.lit(1), at - 1) if name == "STRBEFORE" else F.substr(x, at + F.length(y))
-        return Value("str", F.when(at > 0, cut).when(at == 0, F.lit("")))
+        lang = tag(v[0])
+        return Value("str", F.when(at > 0, cut).when(at == 0, F.lit("")), lang=None if lang is None else F.when(at > 0, lang).otherwise(F.lit("")))
     if name in ("REPLACE", "REGEX"):
         return regex(name, trees, v)
     if name == "STRLEN":
         return Value("num", F.length(text(0)).cast(DECIMAL), F.lit(True))
     if name == "SUBSTR":
         at = number(v[1])[0].cast("int")
-        return Value("str", F.substr(text(0), at, number(v[2])[0].cast("int")) if len(v) > 2 else F.substr(text(0), at))
+        return tagged(F.substr(text(0), at, number(v[2])[0].cast("int")) if len(v) > 2 else F.substr(text(0), at), v[0])
     if name in ("ROUND", "ABS", "CEIL", "FLOOR"):
         x, whole = number(v[0])
         y = {"ROUND": lambda c: F.floor(c + F.lit(0.5).cast("decimal(2,1)")), "ABS": F.abs, "CEIL": F.ceil, "FLOOR": F.floor}[name](x)
@@ -401,11 +454,16 @@ def call(name: str, trees: list[tuple], columns: dict[str, Column]) -> Value:
     if name == "LANGMATCHES":
         a, b = F.lower(text(0)), F.lower(text(1))
         return Value("bool", F.when(b == "*", a != "").otherwise((a == b) | F.startswith(a, F.concat(b, F.lit("-")))))
-    if name in ("YEAR", "MONTH", "DAY", "HOURS", "MINUTES", "SECONDS"):
-        f = {"YEAR": F.year, "MONTH": F.month, "DAY": F.dayofmonth, "HOURS": F.hour, "MINUTES": F.minute, "SECONDS": F.second}[name]
-        return Value("num", f(time(v[0])).cast(DECIMAL), F.lit(name != "SECONDS"))
+    if name in _PARTS:
+        t = as_term(v[0])
+        lex, dt = T.col_lexical(t), T.col_datatype(t)
+        told = F.when(dt == _TIME, F.regexp_extract(lex, _TIME_TEXT, _PARTS[name]))
+        if _PARTS[name] <= 3:
+            told = told.when(dt == _DATE, F.regexp_extract(lex, _DATE_TEXT + _ZONE + "$", _PARTS[name]))
+        return Value("num", told.try_cast(DECIMAL), F.lit(name != "SECONDS"))
     if name == "TZ":
-        return Value("str", F.regexp_extract(string(v[0], any_term=True), r"(Z|[+-]\d\d:\d\d)$", 1))
+        t = as_term(v[0])
+        return Value("str", F.when((T.col_datatype(t) == _TIME) & T.col_lexical(t).rlike(_TIME_TEXT), F.regexp_extract(T.col_lexical(t), _TIME_TEXT, 7)))
     raise RuleError(f"unknown function {name}")
 
 
@@ -418,24 +476,36 @@ def regex(name: str, trees: list[tuple], v: list[Value]) -> Value:
         pattern = F.concat(F.lit("(?"), string(v[n]), F.lit(")"), pattern)
     if name == "REGEX":
         return Value("bool", F.rlike(string(v[0]), pattern))
-    return Value("str", F.regexp_replace(string(v[0]), pattern, string(v[2])))
+    return tagged(F.regexp_replace(string(v[0]), pattern, string(v[2])), v[0])
 
 
 def cast(datatype: str, v: list[Value]) -> Value:
     if len(v) != 1:
         raise RuleError(f"a cast takes one argument, not {len(v)}")
-    lex = string(v[0], any_term=True)
+    x = v[0]
+    lex, family = string(x, any_term=True), _kind(x)
+    flag = boolean(x).cast("int").cast(DECIMAL)
+
+    def numeric(form: str) -> Column:
+        """Of a string in that form, of a number or of a boolean."""
+        read = lex.try_cast(DECIMAL) if form != _DOUBLE_TEXT else F.coalesce(lex.try_cast(DECIMAL), lex.try_cast("double").try_cast(DECIMAL))
+        return F.when(family == "num", number(x)[0]).when(family == "bool", flag).when((family == "str") & lex.rlike(form), read)
+
     if datatype == T.XSD + "string":
         return Value("str", lex)
     if datatype in _INTEGERS:
-        return Value("num", F.floor(lex.try_cast(DECIMAL)).try_cast(DECIMAL), F.lit(True))
+        n = numeric(_INTEGER_TEXT)
+        return Value("num", (F.signum(n) * F.floor(F.abs(n))).try_cast(DECIMAL), F.lit(True))
     if datatype in _DECIMALS:
-        return Value("num", F.coalesce(lex.try_cast(DECIMAL), lex.try_cast("double").try_cast(DECIMAL)), F.lit(False))
+        return Value("num", numeric(_DECIMAL_TEXT if datatype == T.XSD + "decimal" else _DOUBLE_TEXT), F.lit(False))
     if datatype == T.XSD + "boolean":
-        return Value("bool", lex.try_cast("boolean"))
-    if datatype in _TIMES:
-        x = lex.try_cast("timestamp")
-        return Value("time", F.date_trunc("day", x) if datatype == T.XSD + "date" else x)
+        return Value("bool", F.when(family == "num", number(x)[0] != 0).when(family == "bool", boolean(x)).when((family == "str") & lex.isin("true", "1"), True).when((family == "str") & lex.isin("false", "0"), False))
+    if datatype == _TIME:
+        text = F.when((family.isin("time", "str")) & lex.rlike(_TIME_TEXT), lex).when(family == "date", F.regexp_replace(lex, _DATE_TEXT, "$1-$2-$3T00:00:00"))
+        return Value("term", F.when(text.try_cast("timestamp").isNotNull(), T.col_typed(text, _TIME)))
+    if datatype == _DATE:
+        text = F.when((family.isin("date", "str")) & lex.rlike(_DATE_TEXT + _ZONE + "$"), lex).when(family == "time", F.regexp_replace(lex, r"T\d\d:\d\d:\d\d(\.\d+)?", ""))
+        return Value("term", F.when(F.regexp_extract(text, r"^-?\d{4,}-\d\d-\d\d", 0).try_cast("date").isNotNull(), T.col_typed(text, _DATE)))
     raise RuleError(f"no cast to {datatype}")
 
 

@@ -86,11 +86,16 @@ class Engine:
             derived = C.compile_rule(spec, self.store, source)
         return derived.join(self.known(spec, source), SPO, "left_anti")
 
+    @property
+    def next_ordinal(self) -> int:
+        """The number that the next firing gets; those of firings undone since are not used again."""
+        return self.store.ordinal + 1
+
     # ---- one application
 
     def entry(self, spec: RuleSpec, graph: str, source: list[str], iteration: int, count: int, began: str, actor: str, rule_set: str | None, **more) -> dict:
         return {
-            "graph": graph, "rule": spec.iri, "mode": spec.mode, "rule_set": rule_set, "actor": actor, "started_at": began, "ended_at": now(), "ordinal": self.store.ordinal + 1, "iteration": iteration,
+            "graph": graph, "rule": spec.iri, "mode": spec.mode, "rule_set": rule_set, "actor": actor, "started_at": began, "ended_at": now(), "ordinal": self.next_ordinal, "iteration": iteration,
             "triple_count": count, "removed_count": None, "target": None, "tombstone": None, "sources": sorted(source),
         } | more
 
@@ -115,10 +120,8 @@ class Engine:
             graphs[spec.destination] = [*self.store.graphs.get(spec.destination, []), copy]
         return self.record(graphs, self.entry(spec, graph, source, iteration, n, began, actor, rule_set, target=spec.destination))
 
-    def halves(self, spec: RuleSpec, target: str) -> tuple[DataFrame, DataFrame]:
-        """(added, removed) of a Rewrite, both against the target as it is; the solutions are worked out once."""
-        check(spec)
-        solved = self.store.stage_solutions(C.solutions(spec, self.store, [target]))
+    def halves(self, spec: RuleSpec, target: str, solved: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """(added, removed) of a Rewrite with these solutions, both against the target as it is."""
         have = self.store.merged([target])
         added = C.instantiate(solved, construct_only(spec)).join(have, SPO, "left_anti")
         removed = C.instantiate(solved, match_only(spec)).join(have, SPO, "left_semi")
@@ -134,15 +137,22 @@ class Engine:
         C.check_collisions(spec, self.store, source)
         began, target = now(), source[0]
         graph, tomb = FIRING + str(uuid.uuid4()), TOMBSTONE + str(uuid.uuid4())
-        added, removed = self.halves(spec, target)
+        check(spec)
+        solved_path, solved = self.store.stage_solutions(C.solutions(spec, self.store, [target]))
+        added, removed = self.halves(spec, target, solved)
         gone_path, gone = self.store.stage(removed, tomb)
         new_path, new = self.store.stage(added, graph)
+        self.store.discard(solved_path)
         if not gone and not new:
             return None
-        after = self.store.merged([target]).join(self.store.read_staged(gone_path), SPO, "left_anti").unionByName(self.store.read_staged(new_path)).distinct()
-        path, _ = self.store.stage(after, target)
+        after = self.store.merged([target])
+        if gone:
+            after = after.join(self.store.read_staged(gone_path), SPO, "left_anti")
+        if new:
+            after = after.unionByName(self.store.read_staged(new_path)).distinct()
+        path, left = self.store.stage(after, target)
         row = self.entry(spec, graph, source, iteration, new, began, actor, rule_set, target=target, tombstone=tomb, removed_count=gone)
-        return self.record({graph: [new_path], tomb: [gone_path], target: [path]}, row)
+        return self.record({graph: [new_path] * bool(new), tomb: [gone_path] * bool(gone), target: [path] * bool(left)}, row)
 
     # ---- previews
 
@@ -158,9 +168,14 @@ class Engine:
     def dry_run_rewrite(self, spec: RuleSpec, source: list[str], limit: int = 25) -> tuple[int, list[tuple], int, list[tuple]]:
         if len(source) != 1:
             refuse(spec, f"a Rewrite needs exactly one source graph, its target, not {len(source)}")
-        added, removed = self.halves(spec, source[0])
-        sample = lambda df: [tuple(r) for r in df.orderBy(*SPO).limit(limit).collect()]
-        return added.count(), sample(added), removed.count(), sample(removed)
+        check(spec)
+        solved = C.solutions(spec, self.store, source).persist()  # nothing is written
+        try:
+            added, removed = self.halves(spec, source[0], solved)
+            sample = lambda df: [tuple(r) for r in df.orderBy(*SPO).limit(limit).collect()]
+            return added.count(), sample(added), removed.count(), sample(removed)
+        finally:
+            solved.unpersist()
 
     # ---- strategies
 
@@ -281,7 +296,8 @@ class Engine:
             if row["tombstone"]:
                 after = after.unionByName(self.store.merged([row["tombstone"]])).distinct()
                 change[row["tombstone"]] = None
-            change[row["target"]] = [self.store.stage(after, row["target"])[0]]
+            path, n = self.store.stage(after, row["target"])
+            change[row["target"]] = [path] * bool(n)
         self.store.commit(change, [r for r in self.store.ledger if r["graph"] != graph])
 
     def ledger(self) -> DataFrame:
@@ -305,7 +321,7 @@ class Engine:
             if v is not None:
                 quads = quads.where(F.col(c) == T.iri(v))
         log = self.ledger().select(F.col("tombstone").alias("g"), F.col("graph").alias("firing"), "rule", "actor", "started_at", "ordinal")
-        return quads.join(F.broadcast(log), "g").drop("g").orderBy(F.desc("started_at"), F.desc("ordinal"), *SPO)
+        return quads.join(log, "g").drop("g").orderBy(F.desc("started_at"), F.desc("ordinal"), *SPO)
 
 
 def stamp(text: str) -> datetime:

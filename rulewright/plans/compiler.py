@@ -11,6 +11,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 from functools import reduce
+from itertools import combinations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -90,31 +91,28 @@ def triple_scan(scan: DataFrame, t: PatternTriple, graph: Var | None) -> DataFra
     return df.select(*(c.alias(PREFIX + n) for n, c in out.items()))
 
 
-def part_scan(data: Dataset, part: Part, source: list[str]) -> tuple[DataFrame, Var | None]:
+def match_part(data: Dataset, part: Part, source: list[str], delta: tuple[int, DataFrame] | None = None, distinct: bool = True) -> DataFrame:
+    """The solutions of one part. delta: the place of the pattern that reads new triples only, and those. distinct: a triple that is
+    in several graphs of the merged source gives one solution; where what is made of the solutions is a set anyway, that needs
+    no shuffle for each pattern."""
     scope = part.scope
-    if isinstance(scope, DataSource):
-        return tabular.cells_as_triples(tabular.read_table(data.spark, dict(scope.options))), None
-    if isinstance(scope, str):
-        return data.scan([scope]).select("s", "p", "o"), None
-    if isinstance(scope, Var):
-        return data.scan(source), scope
-    return data.merged(source or [""]), None
-
-
-def match_part(data: Dataset, part: Part, source: list[str], delta: tuple[int, DataFrame] | None = None) -> DataFrame:
-    """The solutions of one part. delta: the place of the pattern that reads new triples only, and those."""
-    scan, graph = part_scan(data, part, source)
+    table = tabular.cells_as_triples(tabular.read_table(data.spark, dict(scope.options))) if isinstance(scope, DataSource) else None
+    graphs = [scope] if isinstance(scope, str) else source or [""]
     out: DataFrame | None = None
     for k, t in enumerate(connected_order(part.triples)):
         if delta and delta[0] == k:
             from_ = delta[1]
-        elif part.scope is None and len(set(source)) > 1:  # constants below the merge
-            raw = data.scan(source)
-            consts = [F.col(n) == x for n, x in zip(("s", "p", "o"), t.terms, strict=True) if isinstance(x, str)]
-            from_ = (raw.where(reduce(lambda x, y: x & y, consts)) if consts else raw).select("s", "p", "o").distinct()
+        elif table is not None:
+            from_ = table
+        elif isinstance(scope, Var):
+            from_ = data.scan(source, t.p if isinstance(t.p, str) else None)
         else:
-            from_ = scan
-        out = natural_join(out, triple_scan(from_, t, graph))
+            raw = data.scan(graphs, t.p if isinstance(t.p, str) else None)
+            if distinct and len(set(graphs)) > 1:  # constants below the merge
+                consts = [F.col(n) == x for n, x in zip(("s", "p", "o"), t.terms, strict=True) if isinstance(x, str)]
+                raw = (raw.where(reduce(lambda x, y: x & y, consts)) if consts else raw).select("s", "p", "o").distinct()
+            from_ = raw.select("s", "p", "o")
+        out = natural_join(out, triple_scan(from_, t, scope if isinstance(scope, Var) else None))
     return out
 
 
@@ -174,29 +172,37 @@ def with_mints(df: DataFrame, mints: Iterable[Mint]) -> DataFrame:
 
 
 def without_nacs(df: DataFrame, spec: RuleSpec, data: Dataset, source: list[str]) -> DataFrame:
-    """Rows for which no negative condition holds. A variable that may be unbound correlates only where it is bound."""
+    """Rows for which no negative condition holds. A variable that may be unbound correlates only where it is bound: an anti-join
+    on equality for the rows where all are bound, and one for each set of variables that may be unbound together, on the others
+    alone."""
     sure = {PREFIX + v for v in spec.matched}
     for n in spec.nacs:
         if not n.triples:
             continue
-        found = match_part(data, n, source)
+        found = match_part(data, n, source, distinct=False)
         shared = [c for c in df.columns if c in found.columns]
-        if all(c in sure for c in shared) and shared:
-            df = df.join(found.select(*shared).distinct() if len(shared) < len(found.columns) else found, shared, "left_anti")
-            continue
-        inner = found.select(*(F.col(c).alias("n_" + c) for c in shared)) if shared else found.limit(1).select(F.lit(True).alias("n_there"))
-        on = [F.col(c) == F.col("n_" + c) if c in sure else F.col(c).isNull() | (F.col(c) == F.col("n_" + c)) for c in shared]
-        df = df.join(inner, reduce(lambda a, b: a & b, on) if on else F.lit(True), "left_anti")
+        unsure = [c for c in shared if c not in sure]
+        for k in range(len(unsure) + 1):
+            for gone in combinations(unsure, k):
+                keys = [c for c in shared if c not in gone]
+                # the extra key is null for the rows that this join is not about; made of a column, so that it stays a key
+                about = reduce(lambda a, b: a & b, (F.col(c).isNull() for c in gone), F.lit(True))
+                there = found.select(*(F.col(c).alias("n_" + c) for c in keys), (F.length(gone[0]) * 0 if gone else F.lit(0)).alias("n_about"))
+                there = there.distinct() if keys and len(keys) < len(found.columns) else there if keys else there.limit(1)
+                on = [F.when(about, F.lit(0)) == F.col("n_about")] if gone or not keys else []
+                df = df.join(there, reduce(lambda a, b: a & b, [*on, *(F.col(c) == F.col("n_" + c) for c in keys)]), "left_anti")
     return df
 
 
 def solutions(spec: RuleSpec, data: Dataset, source: list[str], *, filters: bool = True, mints: Iterable[Mint] | None = None, deltas: tuple[int, DataFrame] | None = None) -> DataFrame:
+    """The solutions of a rule's conditions; one may occur more than once where a triple is in several source graphs. All that is
+    made of them is a set or counts different ones."""
     if spec.source_maps:
         df = source_map_solutions(data, spec)
     else:
         df = None
         for p in part_order(spec.match):
-            df = natural_join(df, match_part(data, p, source, deltas))
+            df = natural_join(df, match_part(data, p, source, deltas, distinct=False))
     df = with_enums(df, spec)
     df = with_bindings(df, spec)
     df = with_mints(df, spec.mints if mints is None else mints)

@@ -6,6 +6,7 @@ prefix and the brackets taken off.
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Callable
@@ -16,7 +17,8 @@ from pyspark.sql import functions as F
 from .functions import terms as T
 from .operators.engine import Engine
 from .plans import compiler as C
-from .plans.spec import ASSERT, CONSTRUCT, REWRITE, Binding, DataSource, Mint, Part, RuleSpec, SourceMap, Var, triple
+from .plans.loader import RuleBook, Vocabulary
+from .plans.spec import ASSERT, CONSTRUCT, REWRITE, Binding, DataSource, Mint, Part, RuleSet, RuleSpec, SourceMap, Var, triple
 from .sources import rdf, tabular
 from .sources.store import FrameDataset, QuadStore, union_all
 
@@ -59,8 +61,8 @@ def number(c: str | Column) -> Column:
     return tabular.int_literal(F.col(c) if isinstance(c, str) else c)
 
 
-def lens(df: DataFrame, graph: str, subject: Column, predicates: dict[str, Column]) -> DataFrame:
-    return tabular.table_quads(df, P + graph, subject, {(T.RDF + "type" if k == "a" else P + k): v for k, v in predicates.items()})
+def lens(df: DataFrame, graph: str, subject: Column, predicates: dict[str, Column]) -> tabular.Lens:
+    return tabular.Lens(df, P + graph, subject, {T.iri(T.RDF + "type" if k == "a" else P + k): v for k, v in predicates.items()})
 
 
 def nations(spark, sf):
@@ -130,13 +132,34 @@ def told(triples: DataFrame, *names: str) -> DataFrame:
     return triples.select(*(full[n].alias(n) for n in names or ("subject", "object")))
 
 
-def run(spark, quads: list[DataFrame], spec: RuleSpec, graphs: list[str]) -> DataFrame:
-    return C.compile_rule(spec, FrameDataset(union_all(quads)), [P + g for g in graphs])
+def run(spark, quads: list[DataFrame | tabular.Lens], spec: RuleSpec, graphs: list[str]) -> DataFrame:
+    return C.compile_rule(spec, FrameDataset(*quads), [P + g for g in graphs])
 
 
-def engine(spark: SparkSession) -> Engine:
-    root = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="rulewright-")
-    return Engine(QuadStore(spark, f"{root.rstrip('/')}/quads-{uuid.uuid4().hex}"))
+def shared_dir(spark: SparkSession) -> str:
+    """The folder in spark.checkpoint.dir; in local mode, where it is unset, a new one."""
+    if told := spark.conf.get("spark.checkpoint.dir", None):
+        return told.rstrip("/")
+    if not re.match(r"local(\[|$)", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir is not set: executors would not see a folder of the driver's")
+    return "file://" + tempfile.mkdtemp(prefix="rulewright-")
+
+
+def engine(spark: SparkSession, *quads: DataFrame | tabular.Lens) -> Engine:
+    e = Engine(QuadStore(spark, f"{shared_dir(spark)}/quads-{uuid.uuid4().hex}"))
+    if quads:
+        e.store.add(union_all([q.quads() if isinstance(q, tabular.Lens) else q for q in quads]))
+    return e
+
+
+class Rules(dict):
+    """Rules by IRI, for sets that are put together here."""
+
+    rule = dict.__getitem__
+
+    @classmethod
+    def of(cls, *rules: RuleSpec) -> Rules:
+        return cls((r.iri, r) for r in rules)
 
 
 # ---- matching
@@ -164,7 +187,7 @@ def q03_construct_template(spark, sf):
 @query("""SELECT 'customer/' || c_custkey AS subject, 'nation/' || c_nationkey AS object FROM customer
 UNION SELECT 'supplier/' || s_suppkey, 'nation/' || s_nationkey FROM supplier""")
 def q04_default_merge(spark, sf):
-    c = customers(spark, sf)
+    c = customers(spark, sf).quads()
     again = c.withColumn("g", F.lit(P + "copies"))  # the same triples in another graph: a merge counts them once
     return told(run(spark, [c, again, suppliers(spark, sf)], rule("?x inNation ?n", "?x locatedIn ?n"), ["customers", "copies", "suppliers"]))
 
@@ -277,8 +300,8 @@ def q20_dedupe_set(spark, sf):
 @query("""SELECT 'customer/' || c_custkey AS subject, 'nation/' || c_nationkey AS object FROM customer
 EXCEPT SELECT 'customer/' || c_custkey, 'nation/' || c_nationkey FROM customer WHERE c_custkey % 4 = 0""")
 def q21_prune_known(spark, sf):
-    known = customers(spark, sf).where(F.col("p") == term("inNation")).where(F.regexp_extract("s", r"/(\d+)>", 1).cast("long") % 4 == 0).select(F.lit(P + "known").alias("g"), "s", F.lit(term("livesIn")).alias("p"), "o")
-    data = FrameDataset(union_all([customers(spark, sf), known]))
+    known = customers(spark, sf).quads().where(F.col("p") == term("inNation")).where(F.regexp_extract("s", r"/(\d+)>", 1).cast("long") % 4 == 0).select(F.lit(P + "known").alias("g"), "s", F.lit(term("livesIn")).alias("p"), "o")
+    data = FrameDataset(customers(spark, sf), known)
     source = [P + "customers", P + "known"]
     new = C.compile_rule(rule("?c inNation ?n", "?c livesIn ?n"), data, source).join(data.merged(source), ["s", "p", "o"], "left_anti")
     return told(new)
@@ -288,7 +311,7 @@ def q21_prune_known(spark, sf):
 def q22_prune_destination(spark, sf):
     """True in the source already, but new to the destination, which has a fifth of it."""
     e = engine(spark)
-    names = nations(spark, sf).where(F.col("p") == term("name"))
+    names = nations(spark, sf).quads().where(F.col("p") == term("name"))
     e.store.add(names)
     e.store.put_graph(names.where(F.regexp_extract("s", r"/(\d+)>", 1).cast("long") < 5).select("s", "p", "o"), P + "dest")
     (f,) = e.run_rule(rule("?n name ?x", "?n name ?x", construct_scope=P + "dest"), [P + "nations"])
@@ -307,22 +330,19 @@ def closure(e: Engine, source: str, edge: str = "next", **kw) -> DataFrame:
 r AS (SELECT a, b FROM e UNION SELECT r.a, e.b FROM r JOIN e ON r.b = e.a)
 SELECT 'turn/' || a AS subject, 'turn/' || b AS object FROM r""")
 def q23_fixpoint_closure(spark, sf):
-    e = engine(spark)
-    e.store.add(turns(spark, sf))
+    e = engine(spark, turns(spark, sf))
     return told(closure(e, P + "turns"))
 
 
 @query("SELECT 'nation/' || a.n_nationkey AS subject, 'nation/' || b.n_nationkey AS object FROM nation a CROSS JOIN nation b")
 def q24_fixpoint_ring(spark, sf):
-    e = engine(spark)
-    e.store.add(nations(spark, sf).where(F.col("p") == term("next")))
+    e = engine(spark, nations(spark, sf).quads().where(F.col("p") == term("next")))
     return told(closure(e, P + "nations"))
 
 
 @query("SELECT 'nation/' || a.n_nationkey AS subject, 'nation/' || b.n_nationkey AS object FROM nation a JOIN nation b ON a.n_nationkey < b.n_nationkey")
 def q25_fixpoint_in_place(spark, sf):
-    e = engine(spark)
-    e.store.add(nations(spark, sf).where((F.col("p") == term("next")) & ~F.col("o").endswith("/0>")))
+    e = engine(spark, nations(spark, sf).quads().where((F.col("p") == term("next")) & ~F.col("o").endswith("/0>")))
     return told(closure(e, P + "nations", construct_scope=P + "nations"))
 
 
@@ -334,7 +354,7 @@ def q26_fan_in(spark, sf):
     m = Mint("m", P + "home/{n}", (("n", "k"),))
     keys = lens(table(spark, sf, "nation"), "nations", ent("nation", "n_nationkey"), {"key": number("n_nationkey")})
     r = rule("?c inNation ?n; ?n key ?k", "?m of ?c", mints=(m,))
-    found = C.fan_in(r, FrameDataset(union_all([customers(spark, sf), keys])), [P + "customers", P + "nations"], m)
+    found = C.fan_in(r, FrameDataset(customers(spark, sf), keys), [P + "customers", P + "nations"], m)
     return found.select(strip("minted").alias("minted"), "n")
 
 
@@ -349,7 +369,7 @@ def q27_collisions(spark, sf):
     two = lens(p, "keys", ent("k2", "p_partkey"), {"first": text(dash(size, size)), "second": text(rank)})
     m = Mint("m", P + "pair/{a}-{b}", (("a", "x"), ("b", "y")))
     r = rule("?k first ?x; ?k second ?y", "?m of ?k", mints=(m,))
-    return C.collisions(r, FrameDataset(one.union(two)), [P + "keys"], m).select(strip("minted").alias("minted"), "n")
+    return C.collisions(r, FrameDataset(one, two), [P + "keys"], m).select(strip("minted").alias("minted"), "n")
 
 
 # ---- rewrites and the ledger
@@ -358,9 +378,8 @@ RENAME = rule("?n a Nation; ?n name ?x", "?n a Nation; ?n title ?x", REWRITE, "r
 
 
 def renamed(spark, sf):
-    e = engine(spark)
-    e.store.add(nations(spark, sf))
-    titled = nations(spark, sf).where((F.col("p") == term("name")) & F.col("s").endswith("/7>")).select("g", "s", F.lit(term("title")).alias("p"), "o")
+    e = engine(spark, nations(spark, sf))
+    titled = nations(spark, sf).quads().where((F.col("p") == term("name")) & F.col("s").endswith("/7>")).select("g", "s", F.lit(term("title")).alias("p"), "o")
     e.store.add(titled)
     return e, e.run_rule(RENAME, [P + "nations"])
 
@@ -404,8 +423,7 @@ def q32_retractions(spark, sf):
 @query("SELECT 1 AS ordinal, 1 AS iteration, 23 AS triple_count UNION ALL SELECT 2, 2, 22 + 21")
 def q33_firings_log(spark, sf):
     """Two rounds over a chain of 25: the 23 edges of two steps, then those of three and four."""
-    e = engine(spark)
-    e.store.add(nations(spark, sf).where((F.col("p") == term("next")) & ~F.col("o").endswith("/0>")))
+    e = engine(spark, nations(spark, sf).quads().where((F.col("p") == term("next")) & ~F.col("o").endswith("/0>")))
     spec = rule("?a next ?b; ?b next ?c", "?a next ?c", ASSERT)
     one = e.run_rule(spec, [P + "nations"], strategy="Once")
     e.apply_rule(spec, [P + "nations", one[0].graph], iteration=2)
@@ -422,8 +440,7 @@ STEPS = [
 
 @query("SELECT 'region/' || n_regionkey AS subject, 'customer/' || c_custkey AS object FROM customer JOIN nation ON c_nationkey = n_nationkey")
 def q34_ruleset_cascade(spark, sf):
-    e = engine(spark)
-    e.store.add(union_all([customers(spark, sf), nations(spark, sf), regions(spark, sf)]))
+    e = engine(spark, customers(spark, sf), nations(spark, sf), regions(spark, sf))
     *_, last = e.run_rules(STEPS, [P + g for g in ("customers", "nations", "regions")], ordered=True, rule_set=P + "set")
     return told(e.store.merged([last.graph]))
 
@@ -431,24 +448,56 @@ def q34_ruleset_cascade(spark, sf):
 @query("SELECT 'region/' || n_regionkey AS subject, 'customer/' || c_custkey AS object FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE c_custkey % 2 = 1")
 def q35_ruleset_rerun(spark, sf):
     """The input changes, the set's firings are undone and run again: nothing stale is left."""
-    e = engine(spark)
-    e.store.add(union_all([customers(spark, sf), nations(spark, sf), regions(spark, sf)]))
+    e = engine(spark, customers(spark, sf), nations(spark, sf), regions(spark, sf))
     source = [P + g for g in ("customers", "nations", "regions")]
-    e.run_rules(STEPS, source, ordered=True, rule_set=P + "set")
-    half = customers(spark, sf).where(F.regexp_extract("s", r"/(\d+)>", 1).cast("long") % 2 == 1).select("s", "p", "o")
+    told_ = RuleSet(P + "set", tuple(r.iri for r in STEPS), "", None, None)
+    e.run_rule_set(Rules.of(*STEPS), told_, source)
+    half = customers(spark, sf).quads().where(F.regexp_extract("s", r"/(\d+)>", 1).cast("long") % 2 == 1).select("s", "p", "o")
     e.store.put_graph(half, P + "customers")
-    for r in sorted(e.store.ledger, key=lambda r: -r["ordinal"]):
-        e.undo_firing(r["graph"])
-    *_, last = e.run_rules(STEPS, source, ordered=True, rule_set=P + "set")
+    _, (*_, last) = e.rerun_rule_set(Rules.of(*STEPS), told_, source)
     return told(e.store.merged([last.graph]))
 
 
+ACCOUNT = Mint("a", P + "account/{name}", (("name", "x"),))
+LEDGER_RULES = [
+    rule("?c a Customer; ?c name ?x", "?a of ?c; ?a a Account", name="g1_account", mints=(ACCOUNT,), construct_scope=P + "accounts"),
+    rule("?a of ?c; ?c segment ?s", "?a segment ?y", name="g2_segment", bindings=(Binding("y", "LCASE(?s)"),), construct_scope=P + "accounts"),
+    rule("?a of ?c; ?c inNation ?n; ?n name ?x", "?a country ?x", name="g3_country", construct_scope=P + "accounts"),
+    rule('?o status "F"; ?o number ?k', "?t closes ?o", name="g4_trade", mints=(Mint("t", P + "trade/{k}", (("k", "k"),)),), construct_scope=P + "trades"),
+    rule("?t closes ?o; ?o by ?c; ?a of ?c", "?t account ?a", name="g5_trader", construct_scope=P + "trades"),
+    rule("?t closes ?o; ?o priority ?p", '?t urgent "yes"', name="g6_urgent", filters=('STRSTARTS(?p, "1")',), construct_scope=P + "trades"),
+    rule("?t account ?a; ?a country ?x", "?m trades ?t", name="g7_market", mints=(Mint("m", P + "market/{x}", (("x", "x"),)),), construct_scope=P + "report"),
+    rule("?a a Account; ?a of ?c", "?a idle ?c", name="g8_idle", nacs=(part("?t account ?a", "N"),), construct_scope=P + "report"),
+]
+LEDGER_GRAPHS = ("accounts", "trades", "report")
+
+
+def closed_books(spark: SparkSession, sf: str) -> tuple[Engine, list, list[str]]:
+    """Eight rules in order, over three graphs into three others; each rule reads what the ones before it have made."""
+    e = engine(spark, customers(spark, sf), nations(spark, sf), orders(spark, sf))
+    source = [P + g for g in ("customers", "nations", "orders", *LEDGER_GRAPHS)]
+    told_ = RuleSet(P + "books", tuple(r.iri for r in LEDGER_RULES), "", None, None)
+    return e, e.run_rule_set(Rules.of(*LEDGER_RULES), told_, source), source
+
+
+@query("""WITH c AS (SELECT 'account/' || replace(replace(c_name, '#', '%23'), ' ', '%20') AS a, * FROM customer JOIN nation ON c_nationkey = n_nationkey), o AS (SELECT 'trade/' || o_orderkey AS t, * FROM orders JOIN c ON o_custkey = c_custkey WHERE o_orderstatus = 'F')
+SELECT 'accounts' AS graph, a AS subject, 'of' AS predicate, 'customer/' || c_custkey AS object FROM c UNION ALL SELECT 'accounts', a, 'http://www.w3.org/1999/02/22-rdf-syntax-ns#type', 'Account' FROM c
+UNION ALL SELECT 'accounts', a, 'segment', lower(c_mktsegment) FROM c UNION ALL SELECT 'accounts', a, 'country', n_name FROM c
+UNION ALL SELECT 'trades', 'trade/' || o_orderkey, 'closes', 'order/' || o_orderkey FROM orders WHERE o_orderstatus = 'F' UNION ALL SELECT 'trades', t, 'account', a FROM o
+UNION ALL SELECT 'trades', 'trade/' || o_orderkey, 'urgent', 'yes' FROM orders WHERE o_orderstatus = 'F' AND starts_with(o_orderpriority, '1')
+UNION ALL SELECT 'report', 'market/' || replace(n_name, ' ', '%20'), 'trades', t FROM o
+UNION ALL SELECT 'report', a, 'idle', 'customer/' || c_custkey FROM c WHERE a NOT IN (SELECT a FROM o)""")
+def q51_eight_rules(spark, sf):
+    e, _, _ = closed_books(spark, sf)
+    made = e.store.scan([P + g for g in LEDGER_GRAPHS])
+    return made.select(F.regexp_replace("g", f"^{P}", "").alias("graph"), strip("s").alias("subject"), strip("p").alias("predicate"), strip("o").alias("object"))
+
+
 # ---- tables of files
 
 
 def as_csv(spark: SparkSession, df: DataFrame) -> DataSource:
-    root = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="rulewright-")
-    path = f"{root.rstrip('/')}/csv-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/csv-{uuid.uuid4().hex}"
     df.write.option("header", True).option("escape", '"').csv(path)
     return DataSource(P + "file", (("csv.headers", "true"), ("location", path)))
 
@@ -480,15 +529,24 @@ def q38_pattern_filters(spark, sf):
 
 @query("SELECT subject, object FROM (SELECT 'customer/' || c_custkey AS subject, 'nation/' || c_nationkey AS object FROM customer ORDER BY '<urn:t:customer/' || c_custkey || '>' LIMIT 25)")
 def q39_preview_sample(spark, sf):
-    new = run(spark, [customers(spark, sf)], rule("?c inNation ?n", "?c livesIn ?n"), ["customers"])
-    return told(new.orderBy("s", "p", "o").limit(25))
+    e = engine(spark, customers(spark, sf))
+    _, sample = e.dry_run(rule("?c inNation ?n", "?c livesIn ?n"), [P + "customers"], 25)
+    return told(spark.createDataFrame(sample, "s string, p string, o string"))
 
 
-@query("""SELECT 'customers' AS graph, p AS predicate, n FROM (SELECT 'name' AS p, count(*) AS n FROM customer UNION ALL SELECT 'inNation', count(*) FROM customer UNION ALL SELECT 'segment', count(*) FROM customer
-UNION ALL SELECT 'rich', count(*) FROM customer WHERE c_acctbal > 9000 UNION ALL SELECT 'http://www.w3.org/1999/02/22-rdf-syntax-ns#type', count(*) FROM customer)""")
+@query("SELECT 'region_' || r_regionkey AS rule, 'Construct' AS mode, r_regionkey % 3 AS negative_conditions FROM region")
 def q40_count_by(spark, sf):
-    q = customers(spark, sf)
-    return q.groupBy("g", "p").agg(F.count("*").alias("n")).select(F.regexp_replace("g", f"^{P}", "").alias("graph"), strip("p").alias("predicate"), "n")
+    """A rule for each region, declared as text, with none to two negative conditions: counted for each, also where there is none."""
+    keys = [r[0] for r in table(spark, sf, "region").select("r_regionkey").collect()]
+    v = Vocabulary()
+    lines = [f"<{P}v> {v.p_variableText} \"?x\" ."]
+    for k in keys:
+        at = lambda g, k=k: f"<{P}region_{k}{g}>"
+        lines += [f"{at('')} {v.r_hasMatchPattern} {at('/match')} ; {v.r_hasConstructPattern} {at('/made')} ; {v.r_rewriteMode} {v.r__RewriteMode_construct} .", f"{at('/match')} {{ <{P}v> <{P}p> <{P}region/{k}> . }}", f"{at('/made')} {{ <{P}v> <{P}q> <{P}region/{k}> . }}"]
+        for i in range(k % 3):
+            lines += [f"{at('')} {v.r_hasNegativeCondition} {at(f'/not{i}')} .", f"{at(f'/not{i}')} {{ <{P}v> <{P}r{i}> <{P}region/{k}> . }}"]
+    rows = [(c["rule"].removeprefix(P), c["mode"], c["negative_conditions"]) for c in RuleBook.parse("\n".join(lines)).catalogue()]
+    return spark.createDataFrame(rows, "rule string, mode string, negative_conditions int")
 
 
 @query("SELECT 'genid:' || n_nationkey AS subject, 'genid:' || ((n_nationkey + 1) % 25) AS object FROM nation")
@@ -506,12 +564,16 @@ def q42_ask(spark, sf):
     return spark.range(1).select(F.lit(ask("rich", '"yes"')).alias("some"), F.lit(ask("rich", '"never"')).alias("none"))
 
 
-@query("SELECT coalesce(max(o_orderkey), 0) + 1 AS next FROM orders UNION ALL SELECT 1")
+@query("SELECT 1 AS next UNION ALL SELECT 4")
 def q43_max_plus_one(spark, sf):
-    """One row even where there is nothing to take the greatest of."""
-    o = table(spark, sf, "orders")
-    up = (F.coalesce(F.max("o_orderkey"), F.lit(0)) + 1).cast("long").alias("next")
-    return o.agg(up).union(o.where("o_orderkey < 0").agg(up))
+    """The number of the next firing: one where there is none, and above all that there have been, undone ones too."""
+    e = engine(spark, nations(spark, sf))
+    found = [e.next_ordinal]
+    spec = rule("?n name ?x", "?n title ?x")
+    for _ in range(3):
+        (f,) = e.run_rule(spec, [P + "nations"])
+        e.undo_firing(f.graph)
+    return spark.createDataFrame([(x,) for x in [*found, e.next_ordinal]], "next int")
 
 
 @query("SELECT 'document/' || doc_id AS subject, lang AS language, 'http://www.w3.org/1999/02/22-rdf-syntax-ns#langString' AS datatype FROM documents WHERE lang IN ('fr', 'de')")
@@ -533,6 +595,78 @@ def q45_variable_predicate(spark, sf):
     return told(run(spark, [q], r, ["nations"]), "predicate", "object")
 
 
+# ---- expressions
+
+
+def bound(spark, q, match: str, predicate: str, text_: str, **kw) -> DataFrame:
+    """What a rule binds by one expression."""
+    r = rule(match, f"?s {predicate} ?y", bindings=(Binding("y", text_),), **kw)
+    return told(run(spark, [q], r, [q.graph.removeprefix(P)]))
+
+
+@query("""SELECT 'order/' || o_orderkey AS subject, year(o_orderdate) || '-' || month(o_orderdate) || '-' || day(o_orderdate) || '/23/45/13.815/-05:00' AS object FROM orders""")
+def q46_date_parts(spark, sf):
+    """As the text has them, whatever the time zone of the session or of the text."""
+    o = table(spark, sf, "orders")
+    at = T.col_typed(F.concat(F.date_format("o_orderdate", "yyyy-MM-dd"), F.lit("T23:45:13.815-05:00")), T.XSD + "dateTime")
+    parts_ = ('STR(YEAR(?d))', '"-"', 'STR(MONTH(?d))', '"-"', 'STR(DAY(?d))', '"/"', 'STR(HOURS(?d))', '"/"', 'STR(MINUTES(?d))', '"/"', 'STR(SECONDS(?d))', '"/"', 'TZ(?d)')
+    return bound(spark, lens(o, "orders", ent("order", "o_orderkey"), {"at": at}), "?s at ?d", "told", f"CONCAT({', '.join(parts_)})")
+
+
+@query("""SELECT 'supplier/' || s_suppkey AS subject, CAST(CAST(trunc(s_acctbal) AS BIGINT) AS VARCHAR) || '/' || CAST(s_acctbal <> 0 AS VARCHAR) || '/none' AS object FROM supplier""")
+def q47_casts(spark, sf):
+    """Towards nought; a text that is no integer is an error, not a number."""
+    s = table(spark, sf, "supplier")
+    q = lens(s, "suppliers", ent("supplier", "s_suppkey"), {"balance": T.col_typed(F.col("s_acctbal").cast("decimal(18,2)").cast("string"), T.XSD + "decimal")})
+    x = f'CONCAT(STR(<{T.XSD}integer>(?b)), "/", STR(<{T.XSD}boolean>(?b)), "/", COALESCE(STR(<{T.XSD}integer>(STR(?b))), "none"))'
+    return bound(spark, q, "?s balance ?b", "told", x)
+
+
+@query("""SELECT 'part/' || p_partkey AS subject, CAST(CAST((p_size * 2 + 1) / 4.0 AS DECIMAL(12, 2)) AS VARCHAR) || '/' || CAST(abs(p_size - 25) AS VARCHAR) || '/' || CAST(CAST(floor((p_size * 2 + 1) / 4.0 + 0.5) AS BIGINT) AS VARCHAR) AS object
+FROM part WHERE p_size * 3 - 10 > p_size""")
+def q48_arithmetic(spark, sf):
+    r = 'CONCAT(STR((?z * 2 + 1) / 4), "/", STR(ABS(?z - 25)), "/", STR(ROUND((?z * 2 + 1) / 4)))'
+    return bound(spark, parts(spark, sf), "?s size ?z", "told", r, filters=("?z * 3 - 10 > ?z", "?z * 1e24 > 1"))
+
+
+@query("""SELECT 'document/' || doc_id AS subject, upper(source) || '@' || lang || '/' || substr(source, 2, 2) || '@' || lang AS object FROM documents WHERE lang IS NOT NULL AND source IS NOT NULL""")
+def q49_language_tags(spark, sf):
+    """Functions of strings keep the tag."""
+    d = table(spark, sf, "documents")
+    q = lens(d, "documents", ent("document", "doc_id"), {"source": F.concat(text(F.col("source")), F.lit("@"), F.col("lang"))})
+    x = 'CONCAT(STR(UCASE(?x)), "@", LANG(UCASE(?x)), "/", STR(SUBSTR(?x, 2, 2)), "@", LANG(SUBSTR(?x, 2, 2)))'
+    return bound(spark, q, "?s source ?x", "told", x)
+
+
+@query("SELECT 'nation/' || n_nationkey AS subject, 'yes' AS object FROM nation WHERE n_nationkey % 2 = 0")
+def q50_repeated_variable(spark, sf):
+    q = lens(table(spark, sf, "nation"), "nations", ent("nation", "n_nationkey"), {"likes": ent("nation", F.col("n_nationkey") - F.col("n_nationkey") % 2)})
+    return told(run(spark, [q], rule("?n likes ?n", '?n proud "yes"'), ["nations"]))
+
+
+@query("""SELECT 'order/' || o_orderkey AS subject, CASE WHEN o_orderkey % 5 = 0 THEN 'unknown' ELSE o_orderstatus END AS object FROM orders
+WHERE CASE WHEN o_orderkey % 5 = 0 THEN false ELSE o_orderstatus <> 'F' END""")
+def q52_negative_condition_unbound(spark, sf):
+    """Where an expression has an error its variable is unbound: there, the negative condition holds with any value, and is met."""
+    o = table(spark, sf, "orders")
+    number_ = F.when(F.col("o_orderkey") % 5 == 0, T.col_plain(F.lit("none"))).otherwise(T.col_typed(F.lit("1"), T.XSD + "integer"))
+    q = lens(o, "orders", ent("order", "o_orderkey"), {"status": text("o_orderstatus"), "weight": number_})
+    bad = lens(table(spark, sf, "region").where("r_regionkey = 0"), "bad", ent("region", "r_regionkey"), {"bans": F.lit(T.literal("F1"))})
+    r = rule("?s status ?x; ?s weight ?w", "?s fine ?x", bindings=(Binding("y", "CONCAT(?x, STR(?w * 1))"),), nacs=(part("?r bans ?y", "N"),))
+    return told(run(spark, [q, bad], r, ["orders", "bad"]))
+
+
+@query("SELECT 25 AS added, 25 AS removed, (SELECT count(*) FROM region) AS files")
+def q53_preview_rewrite(spark, sf):
+    """A preview of a Rewrite, and of how many files it leaves behind in the store: none but the regions that are put there."""
+    e = engine(spark, nations(spark, sf))
+    added, _, removed, _ = e.dry_run_rewrite(RENAME, [P + "nations"])
+    for r in table(spark, sf, "region").select("r_regionkey").collect():
+        e.store.put_graph(spark.createDataFrame([("<urn:s>", "<urn:p>", "<urn:o>")], "s string, p string, o string"), f"{P}r{r[0]}")
+    made = e.store.vacuum(0)
+    return spark.createDataFrame([(added, removed, sum(len(d) for d in e.store.graphs.values()) - 1 if made >= 0 else -1)], "added int, removed int, files int")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(QUERIES)
 

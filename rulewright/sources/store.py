@@ -9,6 +9,7 @@ another writer was first, and is refused. The manifest holds one line per graph
 from __future__ import annotations
 
 import json
+import time
 import uuid
 from functools import reduce
 
@@ -16,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.terms import RuleError, check_iri
-from . import rdf
+from . import rdf, tabular
 
 DEFAULT = ""
 
@@ -26,7 +27,8 @@ class Dataset:
 
     spark: SparkSession
 
-    def scan(self, graphs: list[str]) -> DataFrame:
+    def scan(self, graphs: list[str], predicate: str | None = None) -> DataFrame:
+        """predicate: all that is read of it are triples with that one (a hint; others may come, too)."""
         raise NotImplementedError
 
     def merged(self, graphs: list[str]) -> DataFrame:
@@ -36,13 +38,20 @@ class Dataset:
 
 
 class FrameDataset(Dataset):
-    """Quads of a DataFrame; each graph of it must be a set of triples."""
+    """Quads of DataFrames and of tables seen as quads; each graph must be a set of triples. Of a table, a pattern with a constant
+    predicate reads the columns that this one is made of."""
 
-    def __init__(self, quads: DataFrame):
-        self.quads, self.spark = quads.select("g", "s", "p", "o"), quads.sparkSession
+    def __init__(self, *sources: DataFrame | tabular.Lens):
+        self.sources, self.spark = sources, sources[0].sparkSession
 
-    def scan(self, graphs: list[str]) -> DataFrame:
-        return self.quads.where(F.col("g").isin(*graphs))
+    def scan(self, graphs: list[str], predicate: str | None = None) -> DataFrame:
+        out = []
+        for x in self.sources:
+            if not isinstance(x, tabular.Lens):
+                out.append(x.select("g", "s", "p", "o").where(F.col("g").isin(*graphs)))
+            elif x.graph in graphs and (predicate is None or predicate in x.predicates):
+                out.append(x.quads(predicate))
+        return union_all(out) if out else self.spark.createDataFrame([], rdf.SCHEMA)
 
 
 class QuadStore(Dataset):
@@ -90,7 +99,7 @@ class QuadStore(Dataset):
 
     # ---- reading
 
-    def scan(self, graphs: list[str]) -> DataFrame:
+    def scan(self, graphs: list[str], predicate: str | None = None) -> DataFrame:
         """A directory can hold several graphs, of which some may have been replaced since: of each directory, only the
         graphs that still point to it are read; directories with the same graphs are one scan."""
         by_dir: dict[str, list[str]] = {}
@@ -116,23 +125,45 @@ class QuadStore(Dataset):
         """Writes triples as a directory of a graph (not yet named by the manifest), and counts them."""
         path = f"{self.path}/data/{uuid.uuid4().hex}"
         triples.select(F.lit(graph).alias("g"), "s", "p", "o").write.parquet(path)
-        return path, self.spark.read.schema(rdf.SCHEMA).parquet(path).count()
+        n = self.spark.read.schema(rdf.SCHEMA).parquet(path).count()  # from the files' footers
+        if not n:
+            self.discard(path)
+        return path, n
+
+    def discard(self, *paths: str) -> None:
+        """Deletes directories that no manifest names."""
+        for path in paths:
+            self._fs.delete(self._p(path), True)
+
+    def vacuum(self, older_than: float = 24 * 3600.0) -> int:
+        """Deletes directories that the newest version doesn't name and that have not changed for so many seconds (readers and
+        writers may still be at younger ones), and versions but the newest that are as old; returns how many it deleted."""
+        self.refresh()
+        named = {d.rsplit("/", 1)[-1] for dirs in self.graphs.values() for d in dirs}
+        before, gone = (time.time() - older_than) * 1000, 0
+        for folder, keep in (("data", named), ("manifest", {f"{self.version:012d}.json"})):
+            if not self._fs.exists(self._p(f"{self.path}/{folder}")):
+                continue
+            for s in self._fs.listStatus(self._p(f"{self.path}/{folder}")):
+                if s.getPath().getName() not in keep and s.getModificationTime() <= before:
+                    gone += bool(self._fs.delete(s.getPath(), True))
+        return gone
 
     def read_staged(self, path: str) -> DataFrame:
         return self.spark.read.schema(rdf.SCHEMA).parquet(path).select("s", "p", "o")
 
-    def stage_solutions(self, solved: DataFrame) -> DataFrame:
-        """Solutions of a rule, written once and read by all that builds on them."""
+    def stage_solutions(self, solved: DataFrame) -> tuple[str, DataFrame]:
+        """Solutions of a rule, written once and read by all that builds on them; discard the path after that."""
         path = f"{self.path}/data/{uuid.uuid4().hex}"
         if not solved.columns:
             solved = solved.withColumn("v__", F.lit(True))
         solved.write.parquet(path)
-        return self.spark.read.schema(solved.schema).parquet(path)
+        return path, self.spark.read.schema(solved.schema).parquet(path)
 
     def put_graph(self, triples: DataFrame, graph: str) -> int:
         """Replaces one graph."""
         path, n = self.stage(triples.select("s", "p", "o").distinct(), graph)
-        self.commit({graph: [path]})
+        self.commit({graph: [path] * bool(n)})
         return n
 
     def add(self, quads: DataFrame) -> None:

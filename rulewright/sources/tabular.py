@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -33,11 +35,34 @@ def read_table(spark: SparkSession, options: dict[str, str]) -> DataFrame:
     return reader.csv(location)
 
 
+@dataclass(frozen=True)
+class Lens:
+    """A table seen as quads: one for each predicate of each row whose subject and object aren't null. predicates: predicate (as
+    canonical text) to the object's."""
+
+    table: DataFrame
+    graph: str
+    subject: Column
+    predicates: dict[str, Column]
+
+    @property
+    def sparkSession(self) -> SparkSession:  # noqa: N802  as a DataFrame has it
+        return self.table.sparkSession
+
+    def quads(self, predicate: str | None = None) -> DataFrame:
+        """All in one pass over the table; of one predicate, from its columns alone."""
+        if predicate is None:
+            cells = F.array(*(F.struct(F.lit(p).alias("p"), o.alias("o")) for p, o in self.predicates.items()))
+            df = self.table.select(self.subject.alias("s"), F.inline(cells))
+        else:
+            df = self.table.select(self.subject.alias("s"), F.lit(predicate).alias("p"), self.predicates[predicate].alias("o"))
+        return df.where("s is not null and o is not null").select(F.lit(self.graph).alias("g"), "s", "p", "o")
+
+
 def table_quads(df: DataFrame, graph: str, subject: Column, predicates: dict[str, Column]) -> DataFrame:
     """A table as quads: one row for each column of each row that isn't null. predicates: predicate IRI to the object's
     canonical text; one pass over the table."""
-    cells = F.array(*(F.struct(F.lit(T.iri(p)).alias("p"), o.alias("o")) for p, o in predicates.items()))
-    return df.select(subject.alias("s"), F.inline(cells)).where("s is not null and o is not null").select(F.lit(graph).alias("g"), "s", "p", "o")
+    return Lens(df, graph, subject, {T.iri(p): o for p, o in predicates.items()}).quads()
 
 
 def cells_as_triples(df: DataFrame) -> DataFrame:

@@ -1,5 +1,7 @@
 """Terms, templates and expressions on their own."""
 
+import hashlib
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -53,12 +55,13 @@ CASES = [
     ("STRBEFORE(\"abc\", \"x\")", T.literal("")),
     ("STRAFTER(\"abc.to\", \".\")", T.literal("to")),
     ("REPLACE(\"q r\", \"\\\\W\", \"-\")", T.literal("q-r")),
-    ("MD5(\"10.5\")", T.literal("10b3adf4529649ecb009c579e7713c8e")),
-    ("MD5(STR(ROUND(14544.2770 * 1000) / 1000))", T.literal("a631446d" + "0" * 0) if False else None),
+    ("MD5(\"ruling\")", T.literal(hashlib.md5(b"ruling").hexdigest())),
     ("1 + 2 * 3", INT(7)),
     ("1.50 + 2", DEC("3.5")),
     ("7 / 2", DEC("3.5")),
     ("1 / 0", None),
+    ("1e20 * 1e20", T.literal("1.0E40", T.XSD + "double")),
+    ("1 + ?none", None),
     ("ROUND(2.5)", DEC(3)),
     ("ROUND(-2.5)", DEC(-2)),
     ("ABS(-3)", INT(3)),
@@ -73,9 +76,40 @@ CASES = [
     ("SUBSTR(\"hello\", 2, 3)", T.literal("ell")),
     ("ENCODE_FOR_URI(\"E 9902/A~*\")", T.literal("E%209902%2FA~%2A")),
     ("IRI(\"urn:x\")", T.iri("urn:x")),
-    ("SHA256(\"\")", T.literal("e3b0c44298fc1c149afbf4c8996fb92427ae41e4649b934ca495991b7852b855")),
+    ("SHA256(\"\")", T.literal(hashlib.sha256(b"").hexdigest())),
     ("<http://www.w3.org/2001/XMLSchema#integer>(\"42\")", INT(42)),
     ("STRLANG(\"a\", \"fr\")", '"a"@fr'),
+    # language tags
+    ('UCASE("a"@en)', '"A"@en'),
+    ('CONCAT("a"@en, "b"@en)', '"ab"@en'),
+    ('CONCAT("a"@en, "b"@fr)', '"ab"'),
+    ('CONCAT("a"@en, "b")', '"ab"'),
+    ('STRBEFORE("abc"@en, "b")', '"a"@en'),
+    ('STRBEFORE("abc"@en, "b"@en)', '"a"@en'),
+    ('STRBEFORE("abc"@en, "z")', '""'),
+    ('STRBEFORE("abc"@en, "b"@fr)', None),
+    ('STRAFTER("abc"@en, "b")', '"c"@en'),
+    ('SUBSTR("hello"@en, 2, 3)', '"ell"@en'),
+    ('REPLACE("abc"@en, "b", "x")', '"axc"@en'),
+    ('MD5("a"@en)', T.literal("0cc175b9c0f1b6a831c399e269772661")),
+    # parts of dates
+    *((f'{f}("2011-01-10T14:45:13.815-05:00"^^<{T.XSD}dateTime>)', w) for f, w in (("YEAR", INT(2011)), ("MONTH", INT(1)), ("DAY", INT(10)), ("HOURS", INT(14)), ("MINUTES", INT(45)), ("SECONDS", DEC("13.815")), ("TZ", '"-05:00"'))),
+    (f'DAY("2011-01-10T23:45:13-05:00"^^<{T.XSD}dateTime>)', INT(10)),
+    (f'TZ("2011-01-10T23:45:13Z"^^<{T.XSD}dateTime>)', '"Z"'),
+    (f'TZ("2011-01-10T23:45:13"^^<{T.XSD}dateTime>)', '""'),
+    ('TZ("Z")', None),
+    (f'DAY("2011-01-10"^^<{T.XSD}date>)', INT(10)),
+    (f'HOURS("2011-01-10"^^<{T.XSD}date>)', None),
+    ('YEAR("2011")', None),
+    # casts
+    *((f"<{T.XSD}{k}>({x})", w) for k, x, w in (
+        ("integer", "-1.5", INT(-1)), ("integer", "1.5", INT(1)), ("integer", '"1.5"', None), ("integer", '" 7"', None), ("integer", "true", INT(1)), ("integer", '"x"', None), ("decimal", '"1.50"', DEC("1.5")),
+        ("decimal", '"1e3"', None), ("double", '"1e3"', DEC(1000)), ("boolean", '"yes"', None), ("boolean", '"1"', T.literal("true", T.XSD + "boolean")), ("boolean", "0", T.literal("false", T.XSD + "boolean")),
+        ("dateTime", '"2020-02-30T00:00:00"', None), ("dateTime", '"2020-02-03T01:02:03.5Z"', T.literal("2020-02-03T01:02:03.5Z", T.XSD + "dateTime")), ("dateTime", f'"2020-02-03Z"^^<{T.XSD}date>', T.literal("2020-02-03T00:00:00Z", T.XSD + "dateTime")),
+        ("date", f'"2020-02-03T01:02:03Z"^^<{T.XSD}dateTime>', T.literal("2020-02-03Z", T.XSD + "date")), ("date", '"2020-02-03"', T.literal("2020-02-03", T.XSD + "date")), ("date", '"2020"', None), ("string", "1.0", T.literal("1.0")), ("integer", "<urn:a>", None),
+    )),
+    ("?1 + 1", INT(6)),
+    ("?naïve", T.literal("n")),
 ]
 FILTERS = [
     ("?v = 4735.2", True),
@@ -96,23 +130,31 @@ FILTERS = [
     ("sameTerm(1, 1.0)", False),
     ("LANGMATCHES(\"en-GB\", \"en\")", True),
     ("<urn:a> = <urn:a>", True),
+    ("1e25 > 1", True),
+    ("1e25 = 1e25", True),
+    ("12345678901234567890123 > 5", True),
+    (f'"2020-01-01T00:00:00Z"^^<{T.XSD}dateTime> = "2020-01-01"^^<{T.XSD}date>', None),
+    (f'"2020-01-01"^^<{T.XSD}date> < "2020-01-02"^^<{T.XSD}date>', True),
+    (f'"2020-01-01T05:00:00+05:00"^^<{T.XSD}dateTime> = "2020-01-01T00:00:00Z"^^<{T.XSD}dateTime>', True),
+    ('"a"@en = "a"', None),
+    ('"a"@en = "a"@en', True),
+    ('CONTAINS("abc"@en, "b")', True),
+    ('CONTAINS("abc"@en, "b"@fr)', None),
 ]
 
 
 def test_expressions(spark):
     df = spark.range(1).select(F.lit(DEC("4735.20")).alias("v"))
-    cols = {"v": F.col("v")}
-    cases = [c for c in CASES if c[1] is not None or "None" in str(c[1])]
-    got = df.select(*(E.binding_column(t, cols).alias(f"c{i}") for i, (t, _) in enumerate(cases))).first()
-    for i, (t, want) in enumerate(cases):
-        if t.startswith("MD5(STR(ROUND"):
-            continue
+    cols = {"v": F.col("v"), "1": F.lit(INT(5)), "naïve": F.lit(T.literal("n"))}
+    got = df.select(*(E.binding_column(t, cols).alias(f"c{i}") for i, (t, _) in enumerate(CASES))).first()
+    for i, (t, want) in enumerate(CASES):
         assert got[i] == want, t
     got = df.select(*(E.filter_column(t, cols).alias(f"c{i}") for i, (t, _) in enumerate(FILTERS))).first()
     for i, (t, want) in enumerate(FILTERS):
         assert got[i] is want, t
+    # fixed value: a number hashes as its shortest plain notation, 14544.277
     money = df.select(E.binding_column("MD5(STR(14000 + 544.277000))", {}).alias("x")).first()["x"]
-    assert money.startswith('"a631446d')
+    assert money == T.literal(hashlib.md5(b"14544.277").hexdigest())
 
 
 @pytest.mark.parametrize(
