@@ -9,8 +9,10 @@ less a word, and the cursors of all lanes of a batch move together, so that a st
 text is many lanes.
 
 The benchmark is the stated query set: it is read in blocks of at most ``block_words`` words, each block's tables go to the
-executors as one broadcast of bounded size, and the documents are scanned against each block: up to ``BLOCKS_AT_ONCE`` of them in
-a pass; a larger benchmark takes more passes, with what was found so far stored in between. Nothing is shuffled.
+executors as one broadcast of bounded size, and the documents are scanned against each block, up to ``BLOCKS_AT_ONCE`` of them in
+a pass. A larger benchmark takes more passes; what each has found is stored by the document's place in the table (a row number that
+is given once, when the texts are written for it), and put together at the end, so that no text is written again. In one pass,
+nothing is shuffled.
 
 Defined results: null or empty texts have no words and no hits; items without words match nothing; repeated items each count;
 repeated documents each get a row; an empty benchmark leaves every document clean; other columns are ignored.
@@ -19,10 +21,11 @@ repeated documents each get a row; an empty benchmark leaves every document clea
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -37,6 +40,7 @@ BLOCK_WORDS = 200_000
 #: Blocks whose tables are on the executors at a time; each lot of so many is a pass over the documents.
 BLOCKS_AT_ONCE = 8
 LANE = 256
+FOUND = ("n_words", "n_hit", "hits", "items")
 U = np.uint64
 
 
@@ -121,29 +125,21 @@ def find(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col
     run_t = T.ArrayType(T.StructType([T.StructField("first", T.LongType()), T.StructField("last", T.LongType())]))
     schema = T.StructType([*(docs.schema[c] for c in keep), T.StructField("n_words", T.LongType()), T.StructField("n_hit", T.LongType()), T.StructField("hits", run_t), T.StructField("items", T.ArrayType(T.StringType()))])
 
-    def over(tables: list, carry: bool):
+    def over(tables: list, columns: list[str], only_hits: bool = False):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
-                text = b.column(b.num_columns - 1)
-                data, offs = X.utf8(text)
+                data, offs = X.utf8(b.column(b.num_columns - 1))
                 for i, j in X.pieces(offs, 1 << 18):
-                    yield scan(b.slice(i, j - i), data[offs[i] : offs[j]], offs[i : j + 1] - offs[i], tables, text.slice(i, j - i) if carry else None)
+                    out = scan(b.slice(i, j - i), data[offs[i] : offs[j]], offs[i : j + 1] - offs[i], tables, columns)
+                    yield out.filter(pa.array(out.column("n_hit").to_numpy() > 0)) if only_hits else out
             X.release()
 
         return run
 
-    def scan(b: pa.RecordBatch, data: np.ndarray, offs: np.ndarray, tables: list, text: pa.Array | None) -> pa.RecordBatch:
+    def scan(b: pa.RecordBatch, data: np.ndarray, offs: np.ndarray, tables: list, columns: list[str]) -> pa.RecordBatch:
         h, row, at = X.words(data, offs, X.ALNUM)
         mark = np.zeros(len(h) + 1, np.int64)
         items: dict[int, set[str]] = {}
-        n_keep = len(keep)
-        if b.num_columns > n_keep + 1:  # what earlier blocks have found
-            for r, (runs, names) in enumerate(zip(b.column(n_keep + 2).to_pylist(), b.column(n_keep + 3).to_pylist(), strict=True)):
-                for x in runs:
-                    mark[at[r] + x["first"]] += 1
-                    mark[at[r] + x["last"] + 1] -= 1
-                if names:
-                    items[r] = set(names)
         for t in tables:
             built, names = t.value
             for wm in built:
@@ -161,23 +157,37 @@ def find(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col
             x = np.concatenate([[False], hit[at[r] : at[r + 1]], [False]])
             e = np.flatnonzero(x[1:] != x[:-1]).reshape(-1, 2)
             runs[r] = [{"first": int(a), "last": int(z) - 1} for a, z in e]
-        cols = [b.column(i) for i in range(n_keep)]
         more = [pa.array(np.diff(at), pa.int64()), pa.array(n_hit, pa.int64()), pa.array(runs, pa.list_(pa.struct([("first", pa.int64()), ("last", pa.int64())]))), pa.array([sorted(items.get(r, ())) for r in range(n)], pa.list_(pa.string()))]
-        if text is not None:
-            return pa.RecordBatch.from_arrays([*cols, *more, text], names=[*schema.names, "__text"])
-        return pa.RecordBatch.from_arrays([*cols, *more], names=schema.names)
+        return pa.RecordBatch.from_arrays([*(b.column(i) for i in range(len(columns))), *more], names=[*columns, *FOUND])
 
     df = docs.select(*keep, F.col(text_col).alias("__text"))
-    sc, work = docs.sparkSession.sparkContext, None
-    groups = at_once(blocks(benchmark, item_col, item_text, block_words), blocks_at_once)
-    held = next(groups)
-    for nxt in groups:  # more than may be broadcast at once: a pass for each lot, with what was found so far
-        work = work or Scratch(docs.sparkSession, "decontam")
-        wider = T.StructType([*schema.fields, T.StructField("__text", T.StringType())])
-        before, df = df, work.save(df.mapInArrow(over(broadcasts(sc, held, width), True), wider), "found")
-        work.drop(before)
-        held = nxt
-    return df.mapInArrow(over(broadcasts(sc, held, width), False), schema)
+    sc = docs.sparkSession.sparkContext
+    lots = at_once(blocks(benchmark, item_col, item_text, block_words), blocks_at_once)
+    lot, after = next(lots), next(lots, None)
+    if after is None:
+        return df.mapInArrow(over(broadcasts(sc, lot, width), keep), schema)
+    work = Scratch(docs.sparkSession, "decontam")
+    df = work.save(df.select(F.monotonically_increasing_id().alias("__no"), *keep, "__text"), "numbered")
+    narrow = T.StructType([T.StructField("__no", T.LongType()), *schema.fields[len(keep) :]])
+    passes = []
+    while lot is not None:
+        held = broadcasts(sc, lot, width)
+        passes.append(work.save(df.select("__no", "__text").mapInArrow(over(held, ["__no"], bool(passes)), narrow), "found"))
+        for x in held:
+            x.destroy()
+        lot, after = after, next(lots, None)
+    told = reduce(lambda x, y: x.union(y), passes).groupBy("__no").agg(F.max("n_words").alias("n_words"), merged_runs(F.array_sort(F.flatten(F.collect_list("hits")))).alias("hits"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
+    n_hit = F.aggregate("hits", F.lit(0).cast("long"), lambda n, x: n + x["last"] - x["first"] + 1)
+    return df.drop("__text").join(told.withColumn("n_hit", n_hit), "__no").select(schema.names)
+
+
+def merged_runs(runs: Column) -> Column:
+    """Ascending runs (first, last) with those that overlap or adjoin put together."""
+    last = lambda a: F.try_element_at(a, F.lit(-1))
+    both = lambda a, x: F.struct(last(a)["first"].alias("first"), F.greatest(last(a)["last"], x["last"]).alias("last"))
+    return F.aggregate(
+        runs, F.array().cast("array<struct<first:bigint,last:bigint>>"), lambda a, x: F.when((F.size(a) == 0) | (x["first"] > F.coalesce(F.try_element_at(a, F.lit(-1))["last"], F.lit(-9)) + 1), F.concat(a, F.array(x))).otherwise(F.concat(F.slice(a, 1, F.greatest(F.size(a) - 1, F.lit(0))), F.array(both(a, x))))
+    )
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", **more) -> DataFrame:

@@ -649,7 +649,7 @@ def hopeful(rows: DataFrame, work: Scratch) -> DataFrame:
         for sig, a, b in ready:
             yield pa.RecordBatch.from_arrays([pa.array(sig), pa.array(a), pa.nulls(len(a), pa.int64()) if b is None else pa.array(b)], names=["sig", "a", "b"])
 
-    found = work.save(dealt(rows, "all").mapInArrow(run, "sig long, a long, b long"), "hopeful", thin=True)
+    found = work.save(dealt(rows, "all").mapInArrow(run, "sig long, a long, b long"), "hopeful")
     pairs = found.where("b is not null").groupBy("a", "b").agg(F.min("sig").alias("sig"))
     return pairs.select("sig", F.explode(F.array("a", "b")).alias("node")).union(found.where("b is null").select("sig", "a")).distinct()
 

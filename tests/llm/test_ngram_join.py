@@ -31,7 +31,7 @@ def corpus(seed: int, n: int = 60) -> list[str | None]:
     return out
 
 
-@pytest.mark.parametrize("seed,pairs", [(1, J.PAIRS), (2, 1), (3, 6)])
+@pytest.mark.parametrize("seed,pairs", [(1, J.PAIRS), (2, 1)])
 def test_components(spark, monkeypatch, seed, pairs):
     monkeypatch.setattr(J, "PAIRS", pairs)
     texts = corpus(seed)
@@ -127,13 +127,13 @@ def near_threshold(n, changed, words=200, seed=1):
     return out
 
 
-@pytest.mark.parametrize("changed", [1, 2, 3])
+@pytest.mark.parametrize("changed", [1, 3])
 def test_pairs_follow_the_members(spark, monkeypatch, changed):
     """Near copies whose likeness lies about the threshold: the pairs that leave a task stay in proportion to the members."""
     given = []
     links = J.Sets.links
     monkeypatch.setattr(J.Sets, "links", lambda self, pairs, *a: (given.append(pairs.count()), links(self, pairs, *a))[1])
-    texts = near_threshold(300, changed)
+    texts = near_threshold(200, changed)
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
     got = {x["doc_id"]: (x["n_shingles"], x["component_id"]) for x in J.similar_components(df).collect()}
     assert got == brute.components(dict(enumerate(texts)))
