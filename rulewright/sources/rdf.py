@@ -1,20 +1,24 @@
 """Readers and writers of RDF documents.
 
 N-Triples and N-Quads are line formats: they are read with ``spark.read.text`` and taken apart by one regular expression, on
-as many executors as there are splits. Turtle and TriG nest, and are parsed on the driver: they hold rules and small data.
+as many executors as there are splits. Turtle and TriG nest: a file is parsed as a whole, by one task; documents given as text, such
+as rules, by the driver.
 """
 
 from __future__ import annotations
 
+import hashlib
 import re
 import uuid
 from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import terms as T
 from ..functions.terms import RuleError
+from ..ship import ship
 
 SCHEMA = "g string, s string, p string, o string"
 Quad = tuple[str, str, str, str]
@@ -30,7 +34,7 @@ _TOKEN = re.compile(
 class Parser:
     """Turtle and TriG to quads of canonical text; labels of blank nodes are made unique for each document."""
 
-    def __init__(self, text: str):
+    def __init__(self, text: str, salt: str | None = None):
         self.toks, at = [], 0
         while at < len(text):
             m = _TOKEN.match(text, at)
@@ -42,7 +46,7 @@ class Parser:
         self.text, self.at = text, 0
         self.prefixes: dict[str, str] = {}
         self.base = ""
-        self.salt, self.fresh = uuid.uuid4().hex[:12], 0
+        self.salt, self.fresh = salt or uuid.uuid4().hex[:12], 0
         self.graph, self.out = "", []
 
     def peek(self) -> tuple[str, str]:
@@ -172,9 +176,9 @@ class Parser:
         raise RuleError(f"unexpected {v!r}")
 
 
-def parse(text: str) -> list[Quad]:
-    """Quads of a Turtle or TriG document, without repetitions."""
-    return list(dict.fromkeys(Parser(text).document()))
+def parse(text: str, salt: str | None = None) -> list[Quad]:
+    """Quads of a Turtle or TriG document, without repetitions. salt: what tells its blank nodes from those of others."""
+    return list(dict.fromkeys(Parser(text, salt).document()))
 
 
 _LINE = r'^\s*(<[^>]*>|_:\S+)\s+(<[^>]*>)\s+(<[^>]*>|_:\S+|"(?:[^"\\]|\\.)*"(?:@[A-Za-z0-9-]+|\^\^<[^>]*>)?)\s*(<[^>]*>|_:\S+)?\s*\.\s*(?:#.*)?$'
@@ -198,11 +202,22 @@ def frame(spark: SparkSession, quads: list[Quad]) -> DataFrame:
 
 
 def load_file(spark: SparkSession, path: str) -> DataFrame:
-    """By extension: .nt and .nq line by line, .trig and all others as TriG (which Turtle is part of)."""
+    """By extension: .nt and .nq line by line, .trig and all others as TriG (which Turtle is part of). A Turtle or TriG file is
+    parsed as a whole, by one task; several files are parsed side by side, and blank nodes are told apart by file."""
     if path.endswith((".nt", ".nq")):
         return read_lines(spark, path)
-    text = "\n".join(r["value"] for r in spark.read.option("wholetext", True).text(path).collect())
-    return frame(spark, parse(text))
+    ship(spark)
+    own = uuid.uuid4().hex[:12]  # from here, so that a task that runs again gives the same labels
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for text, name in zip(b.column(0), b.column(1), strict=True):
+                quads = parse(text.as_py(), own + hashlib.md5(name.as_py().encode()).hexdigest()[:12])
+                for k in range(0, len(quads), 8192):
+                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in zip(*quads[k : k + 8192], strict=True)], names=["g", "s", "p", "o"])
+
+    texts = spark.read.option("wholetext", True).text(path).select("value", F.col("_metadata.file_path").alias("path"))
+    return texts.mapInArrow(run, SCHEMA).distinct()
 
 
 def to_lines(triples: DataFrame) -> DataFrame:

@@ -20,6 +20,8 @@ from ..functions.terms import RuleError, check_iri
 from . import rdf, tabular
 
 DEFAULT = ""
+#: In the names of directories that hold several graphs.
+ADDED = "-added"
 
 
 class Dataset:
@@ -100,15 +102,21 @@ class QuadStore(Dataset):
     # ---- reading
 
     def scan(self, graphs: list[str], predicate: str | None = None) -> DataFrame:
-        """A directory can hold several graphs, of which some may have been replaced since: of each directory, only the
-        graphs that still point to it are read; directories with the same graphs are one scan."""
+        """A directory of several graphs (``ADDED``) may hold some that have been replaced since: of each, only the graphs that
+        still point to it are read. All other directories hold one graph, and are one scan, however many firings there are."""
+        one: list[str] = []
+        groups: dict[tuple[str, ...], list[str]] = {}
         by_dir: dict[str, list[str]] = {}
         for g in sorted(set(graphs)):
             for d in self.graphs.get(g, []):
                 by_dir.setdefault(d, []).append(g)
-        groups: dict[tuple[str, ...], list[str]] = {}
         for d, gs in by_dir.items():
-            groups.setdefault(tuple(gs), []).append(d)
+            if ADDED in d.rsplit("/", 1)[-1]:
+                groups.setdefault(tuple(gs), []).append(d)
+            else:
+                one.append(d)
+        if one:
+            groups.setdefault(tuple(sorted({g for d in one for g in by_dir[d]})), []).extend(one)
         if not groups:
             return self.spark.createDataFrame([], rdf.SCHEMA)
         return union_all([self.spark.read.schema(rdf.SCHEMA).parquet(*sorted(dirs)).where(F.col("g").isin(*gs)) for gs, dirs in sorted(groups.items())])
@@ -171,7 +179,7 @@ class QuadStore(Dataset):
         quads = quads.select("g", "s", "p", "o").distinct()
         names = [r["g"] for r in quads.select("g").distinct().collect()]
         fresh = quads.join(self.scan(names), ["g", "s", "p", "o"], "left_anti") if any(n in self.graphs for n in names) else quads
-        path = f"{self.path}/data/{uuid.uuid4().hex}"
+        path = f"{self.path}/data/{uuid.uuid4().hex}{ADDED}"
         fresh.sortWithinPartitions("g", "p", "s").write.parquet(path)
         self.commit({n: [*self.graphs.get(n, []), path] for n in names})
 
