@@ -249,9 +249,10 @@ def may_be_similar(a: pa.Array, b: pa.Array, n: np.ndarray) -> np.ndarray:
     size_a, size_b = (pa.compute.binary_length(x).to_numpy() for x in (a, b))
     out = np.ones(len(n), bool)
     for k in np.unique(size_a[size_a == size_b]):  # sketches of one kind at once
-        at = np.flatnonzero((size_a == k) & (size_b == k))
-        (u, u_low), (v, v_low) = ((alike(X.binary_rows(x.take(pa.array(at)), int(k)))) for x in (a, b))
-        out[at] = u_low | v_low | (9 * np.abs(u - v).sum(1) <= n[at])
+        every = np.flatnonzero((size_a == k) & (size_b == k))
+        for at in (every[i : i + 1024] for i in range(0, len(every), 1024)):
+            (u, u_low), (v, v_low) = ((alike(X.binary_rows(x.take(pa.array(at)), int(k)))) for x in (a, b))
+            out[at] = u_low | v_low | (9 * np.abs(u - v).sum(1, dtype=np.int64) <= n[at])
     for i in np.flatnonzero(size_a != size_b):
         (u, u_low), (v, v_low) = counts(a[i].as_py()), counts(b[i].as_py())
         out[i] = u_low or v_low or 9 * apart(u, v) <= n[i]
@@ -261,8 +262,8 @@ def may_be_similar(a: pa.Array, b: pa.Array, n: np.ndarray) -> np.ndarray:
 def alike(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Counts of sketches of one length, a row each, and where one of them may be too low."""
     if raw.shape[1] == SKETCH[-1][1]:
-        return raw.astype(np.int32), (raw == 255).any(1)
-    out = np.empty((len(raw), 2 * raw.shape[1]), np.int32)
+        return raw.astype(np.int16), (raw == 255).any(1)
+    out = np.empty((len(raw), 2 * raw.shape[1]), np.int16)
     out[:, ::2], out[:, 1::2] = raw & 15, raw >> 4
     return out, (out == 15).any(1)
 
@@ -557,7 +558,7 @@ def unfolded(col: pa.Array) -> tuple[np.ndarray, np.ndarray, dict[int, tuple[np.
         if x.shape[1] > k1:
             place = np.zeros(len(size), np.int64)
             place[at] = np.arange(len(at))
-            finer[k] = x.astype(np.int16), place
+            finer[k] = x, place
     return fine.reshape(len(fine), -1, COARSE).sum(1, dtype=np.int16), fine, finer, low, size
 
 
@@ -579,8 +580,8 @@ def likely(t: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     go = (comp[i] != comp[j]) & (100 * small.astype(np.int64) >= SIMILAR * large) & ~same
     i, j = i[go], j[go]
     found = []
-    for lo in range(0, len(i), 1 << 14):
-        a, b = i[lo : lo + (1 << 14)], j[lo : lo + (1 << 14)]
+    for lo in range(0, len(i), 2048):  # a few megabytes at a time
+        a, b = i[lo : lo + 2048], j[lo : lo + 2048]
         for x in (coarse, fine):
             go = (9 * np.abs(x[a] - x[b]).sum(1, dtype=np.int64) <= n[a] + n[b]) | low[a] | low[b]
             a, b = a[go], b[go]
