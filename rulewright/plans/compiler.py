@@ -9,11 +9,11 @@ patterns appears only where the rule has one.
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 from functools import reduce
 from itertools import combinations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import expressions as E
@@ -28,6 +28,9 @@ from .spec import DataSource, Mint, Part, PatternTriple, RuleSpec, Var, triple
 #: Columns of solutions are named so, apart from any column a table may have.
 PREFIX = "v_"
 
+#: Joined rows of one key that a task makes at most, about, where parts are joined to a set of pairs.
+PAIRS = 4_000_000
+
 
 def col(name: str) -> Column:
     return F.col(PREFIX + name)
@@ -220,16 +223,80 @@ def instantiate(solved: DataFrame, template: Iterable[PatternTriple]) -> DataFra
     rows = [F.struct(value(t.s).alias("s"), value(t.p).alias("p"), value(t.o).alias("o")) for t in sorted(set(template), key=lambda t: t.key)]
     if not rows:
         return solved.sparkSession.createDataFrame([], "s string, p string, o string")
-    fine = F.col("s").isNotNull() & F.col("o").isNotNull() & F.startswith("p", F.lit("<")) & ~F.startswith("s", F.lit('"'))
-    return solved.select(F.inline(F.array(*rows))).where(fine).distinct()
+    return solved.select(F.inline(F.array(*rows))).where(fine()).distinct()
+
+
+def fine() -> Column:
+    """Of s, p, o: may they be a triple?"""
+    return F.col("s").isNotNull() & F.col("o").isNotNull() & F.startswith("p", F.lit("<")) & ~F.startswith("s", F.lit('"'))
+
+
+def shared_out(a: DataFrame, b: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame, list[str]]:
+    """Both sides with one more key, which deals out the joined rows of keys that have more than PAIRS of them: the side with more
+    rows of such a key is cut, each row of the other goes to all cuts. Every pair of rows meets once, as it does without."""
+    parts = int(a.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # told, as else small sides with many pairs are put together in one
+    counts = a.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_a")).join(b.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_b")), keys)
+    most = F.greatest("n_a", "n_b")
+    cuts = F.least(F.ceil(F.col("n_a").cast("double") * F.col("n_b") / PAIRS), most, F.lit(1_000_000)).cast("int")
+    heavy = counts.select(*keys, cuts.alias("cuts"), (F.col("n_a") >= F.col("n_b")).alias("cut_a")).where("cuts > 1")
+
+    def dealt(df: DataFrame, own: Column) -> DataFrame:
+        one = F.array(F.pmod(F.xxhash64(*df.columns), F.col("cuts")).cast("int"))
+        places = F.when(F.col("cuts").isNull(), F.array(F.lit(0))).when(own, one).otherwise(F.sequence(F.lit(0), F.col("cuts") - 1))
+        return df.join(heavy, keys, "left").withColumn("cut", F.explode(places)).drop("cuts", "cut_a").repartition(parts, *keys, "cut")
+
+    return dealt(a, F.col("cut_a")), dealt(b, ~F.col("cut_a")), [*keys, "cut"]
 
 
-def compile_rule(spec: RuleSpec, data: Dataset, source: list[str] | None = None) -> DataFrame:
-    """The triples (s, p, o) a Construct or Assert rule derives from the source graphs, lazily."""
+def paired(spec: RuleSpec, data: Dataset, source: list[str], show: Callable[[Column], Column]) -> DataFrame | None:
+    """The set of triples of a rule that only joins match parts and makes one triple of each solution, without a shuffle of the joined
+    rows: their number may be the square of the input's. The sides of the last join are made sets first. Then a solution can repeat
+    only if a variable of the join is left out of the triple, and both what comes from the left and what comes from the right have
+    several values of it; those pairs alone are made distinct. None if the rule has another shape."""
+    other = (spec.source_maps, spec.enums, spec.bindings, spec.mints, spec.nacs, spec.filters)
+    if len(spec.match) < 2 or len(set(spec.construct)) != 1 or any(other) or any(isinstance(p.scope, DataSource) for p in spec.match):
+        return None
+    (made,) = set(spec.construct)
+    *first, last = part_order(spec.match)
+    vars_a, vars_b = {v for p in first for v in p.variables}, last.variables
+    keys = sorted(PREFIX + v for v in vars_a & vars_b)
+    head_a, head_b = (sorted(PREFIX + v for v in made.variables & x) for x in (vars_a, vars_b))
+    if not keys or not head_a or not head_b or not made.variables <= vars_a | vars_b:
+        return None
+    left_out = not set(keys) <= {*head_a, *head_b}
+
+    def side(parts: list[Part], head: list[str], flag: str) -> DataFrame:
+        df = reduce(natural_join, (match_part(data, p, source, distinct=False) for p in parts))
+        df = df.repartition(*head).select(*dict.fromkeys((*head, *keys))).distinct()
+        return df.withColumn(flag, F.count(F.lit(1)).over(Window.partitionBy(*head)) == 1) if left_out else df
+
+    def shown(df: DataFrame, names: Iterable[str]) -> DataFrame:
+        return df.withColumns({"shown_" + c: show(F.col(c)) for c in names})
+
+    value = lambda t: col(t.name) if isinstance(t, Var) else F.lit(t)
+    triples = {n: value(t).alias(n) for n, t in zip(("s", "p", "o"), made.terms, strict=True)}
+    after = {n: F.col(f"shown_{PREFIX}{t.name}") if isinstance(t, Var) else show(F.lit(t)) for n, t in zip(triples, made.terms, strict=True)}
+    a, b = side(first, head_a, "one_a"), side([last], head_b, "one_b")
+    near, far, on = shared_out(shown(a, head_a), shown(b, (c for c in head_b if c not in head_a)), keys)
+    met = near.hint("merge").join(far, on)  # the rows of a side that goes to several cuts are more than Spark expects
+    met = met.where("one_a or one_b") if left_out else met
+    once = met.select(*triples.values(), *(c.alias("shown_" + n) for n, c in after.items())).where(fine()).select(*(F.col("shown_" + n).alias(n) for n in after))
+    if not left_out:
+        return once
+    again = a.where("not one_a").join(b.where("not one_b"), keys).select(*triples.values()).where(fine()).distinct()
+    return once.union(again.select(*(show(F.col(n)).alias(n) for n in triples)))
+
+
+def compile_rule(spec: RuleSpec, data: Dataset, source: list[str] | None = None, show: Callable[[Column], Column] | None = None) -> DataFrame:
+    """The triples (s, p, o) a Construct or Assert rule derives from the source graphs, lazily. show: each triple's terms are
+    returned as this has them (as a set of triples before that); where parts are joined to pairs, it is worked out before the join."""
     check(spec)
     source = list(dict.fromkeys(source or []))
     check_source(spec, source)
-    return instantiate(solutions(spec, data, source), spec.construct)
+    if (pairs := paired(spec, data, source, show or (lambda c: c))) is not None:
+        return pairs
+    made = instantiate(solutions(spec, data, source), spec.construct)
+    return made.select(*(show(F.col(n)).alias(n) for n in made.columns)) if show else made
 
 
 def semi_naive(spec: RuleSpec, data: Dataset, source: list[str], new: DataFrame) -> DataFrame | None:

@@ -122,9 +122,13 @@ def rule(match, construct: str, mode: str = CONSTRUCT, name: str = "rule", **kw)
     return RuleSpec(P + name, mode, parts_, pats(construct), **kw)
 
 
+def bare(x: Column) -> Column:
+    begin = F.when(x.startswith(f"<{P}"), len(P) + 2).otherwise(2)
+    return F.when(x.startswith("<"), F.substr(x, begin, F.length(x) - begin)).when(x.startswith('"'), T.col_lexical(x)).otherwise(x)
+
+
 def strip(c: str) -> Column:
-    x = F.col(c)
-    return F.when(x.startswith('"'), T.col_lexical(x)).otherwise(F.regexp_replace(x, f"^<({P})?|>$", ""))
+    return bare(F.col(c))
 
 
 def told(triples: DataFrame, *names: str) -> DataFrame:
@@ -132,8 +136,8 @@ def told(triples: DataFrame, *names: str) -> DataFrame:
     return triples.select(*(full[n].alias(n) for n in names or ("subject", "object")))
 
 
-def run(spark, quads: list[DataFrame | tabular.Lens], spec: RuleSpec, graphs: list[str]) -> DataFrame:
-    return C.compile_rule(spec, FrameDataset(*quads), [P + g for g in graphs])
+def run(spark, quads: list[DataFrame | tabular.Lens], spec: RuleSpec, graphs: list[str], show: Callable[[Column], Column] | None = None) -> DataFrame:
+    return C.compile_rule(spec, FrameDataset(*quads), [P + g for g in graphs], show)
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -195,7 +199,7 @@ def q04_default_merge(spark, sf):
 @query("SELECT DISTINCT 'customer/' || c_custkey AS subject, 'supplier/' || s_suppkey AS object FROM customer JOIN supplier ON c_nationkey = s_nationkey")
 def q05_multi_part(spark, sf):
     r = rule([part("?c inNation ?n", "L1", P + "customers"), part("?s inNation ?n", "L2", P + "suppliers")], "?c near ?s")
-    return told(run(spark, [customers(spark, sf), suppliers(spark, sf)], r, ["customers", "suppliers"]))
+    return run(spark, [customers(spark, sf), suppliers(spark, sf)], r, ["customers", "suppliers"], bare).select(F.col("s").alias("subject"), F.col("o").alias("object"))
 
 
 @query("""SELECT DISTINCT 'nation/' || c_nationkey AS subject, 'customers' AS object FROM customer
